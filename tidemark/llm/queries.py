@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, fingerprint, licenses
+from tidemark.llm import classifier, common, fingerprint, licenses, quality_rules
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,20 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(common.documents(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(common.documents(spark, sf_dir))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_fingerprint": op4_fingerprint,
         "op5_license_scan": op5_license_scan,
+        "op6_quality_rules": op6_quality_rules,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
