@@ -21,7 +21,7 @@ MODEL_ROWS = 4_000_000
 #: Distinct n-grams that a task holds before it hands them on.
 HELD = 4_000_000
 #: A band reaches so many times the distance between a language's median and its 10th or 90th percentile.
-LOWER_WIDTH, UPPER_WIDTH = 5.0, 5.0
+LOWER_WIDTH, UPPER_WIDTH = 4.0, 4.0
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
 _NEWLINE = np.zeros(256, bool)
