@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, common, fingerprint, licenses, quality_rules
+from tidemark.llm import classifier, common, fingerprint, langid, licenses, quality_rules
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(common.documents(spark, sf_dir))
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": op3_language_id,
         "op4_fingerprint": op4_fingerprint,
         "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
