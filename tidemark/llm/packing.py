@@ -37,7 +37,7 @@ Solution = dict[tuple[int, ...], int]
 
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
-_ODD_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+_ODD_SPACES = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 

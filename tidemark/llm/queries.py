@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, common, fingerprint, langid, licenses, packing, quality_rules
+from tidemark.llm import classifier, common, fingerprint, langid, licenses, mixing, packing, quality_rules, sharding
 
 
 def tokenizer_file() -> str:
@@ -15,6 +15,33 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.documents(spark, sf_dir)).drop("mix_start")
+
+
+OP2_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(text) AS h FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), placed AS (
+    SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS most FROM sources
+), levels AS (
+    SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM placed
+), targets AS (
+    SELECT source, source_size, least(most, weight * (SELECT min(level) FROM levels WHERE level * weight <= most)) AS target FROM levels
+), queue AS (
+    SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(concat('0:', coalesce(doc_id::VARCHAR, '')))[1:15], doc_id, h
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+    list_sum([least(size, greatest(floor(target)::BIGINT - e * source_size - first, 0)) FOR e IN [0, 1, 2]])::BIGINT AS taken
+FROM queue
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(common.documents(spark, sf_dir))
 
@@ -31,6 +58,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(common.documents(spark, sf_dir))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(common.documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), tokenizer_file())
 
@@ -41,14 +72,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": op2_mixing,
         "op3_language_id": op3_language_id,
         "op4_fingerprint": op4_fingerprint,
         "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
+        "op7_sharding": op7_sharding,
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": OP2_SQL}
