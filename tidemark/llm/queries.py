@@ -30,7 +30,7 @@ WITH sized AS (
     SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM placed
 ), targets AS (
-    SELECT source, source_size, least(most, weight * (SELECT min(level) FROM levels WHERE level * weight <= most)) AS target FROM levels
+    SELECT source, source_size, least(most, weight * (SELECT level FROM levels WHERE level * weight <= most ORDER BY most / weight, source LIMIT 1)) AS target FROM levels
 ), queue AS (
     SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(concat('0:', coalesce(doc_id::VARCHAR, '')))[1:15], doc_id, h
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
