@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, common, fingerprint, langid, licenses, mixing, packing, quality_rules, sharding
+from tidemark.llm import classifier, common, fingerprint, langid, licenses, mixing, ngram_join, packing, quality_rules, sharding
 
 
 def tokenizer_file() -> str:
@@ -15,6 +15,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(common.documents(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.documents(spark, sf_dir)).drop("mix_start")
 
@@ -72,6 +76,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_mixing": op2_mixing,
         "op3_language_id": op3_language_id,
         "op4_fingerprint": op4_fingerprint,
