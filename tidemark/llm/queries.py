@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, common, fingerprint, langid, licenses, mixing, ngram_join, packing, quality_rules, sharding
+from tidemark.llm import classifier, common, fingerprint, langid, licenses, mixing, ngram_join, packing, quality_rules, sharding, substring
 
 
 def tokenizer_file() -> str:
@@ -66,6 +66,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(common.documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.shared_passages(common.documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), tokenizer_file())
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_license_scan": op5_license_scan,
         "op6_quality_rules": op6_quality_rules,
         "op7_sharding": op7_sharding,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
     }
