@@ -22,6 +22,8 @@ MODEL_ROWS = 4_000_000
 HELD = 4_000_000
 #: A band reaches so many times the distance between a language's median and its 10th or 90th percentile.
 LOWER_WIDTH, UPPER_WIDTH = 4.0, 4.0
+#: Bands of at most so many languages are sent to the executors.
+BAND_ROWS = 100_000
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
 _NEWLINE = np.zeros(256, bool)
@@ -233,6 +235,9 @@ def apply_rules(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
     scored = scored.withColumns({"base_failed": failed, "log_perplexity": F.when(F.col("chars") > 0, -F.col("log_p") / F.col("chars")), "_lang": F.coalesce("lang", F.lit("\0"))})
     marks = scored.filter(~failed).groupBy("_lang").agg(F.percentile_approx("log_perplexity", [0.1, 0.5, 0.9], 10_000).alias("m"))
     bands = marks.select("_lang", (F.col("m")[1] - LOWER_WIDTH * (F.col("m")[1] - F.col("m")[0])).alias("low"), (F.col("m")[1] + UPPER_WIDTH * (F.col("m")[2] - F.col("m")[1])).alias("high"))
+    bands = stored(bands, "bands")
+    if bands.count() <= BAND_ROWS:  # else Spark deals both sides out by language and splits large ones
+        bands = F.broadcast(bands)
     within = F.col("log_perplexity").between(F.col("low"), F.col("high"))
     out = scored.join(bands, "_lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
