@@ -65,6 +65,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of ids, with a number each at most, that are sent to the executors; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """df, stored, with a broadcast hint if it has at most BROADCAST_ROWS rows."""
+    df = stored(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 # --- order without a single task ------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ It labels every position of a text and pools the positions' log probabilities in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.classifier import remainder
-from tidemark.llm.common import map_text
+from tidemark.llm.common import map_text, slices, table_rows
 
 UNKNOWN = "und"
 #: Size of each direction's state; bytes that the network reads in one go (its state starts anew with each span).
@@ -188,7 +189,32 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
-def identify(docs: DataFrame, model: tuple[ByteNetwork, list[str]] | None = None) -> DataFrame:
+def predictions(model: tuple[ByteNetwork | None, list[str]], data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(languages, scores) of texts."""
+    net, names = model
+    n = len(offsets) - 1
+    letters = np.diff(np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])[offsets]) > 0
+    for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
+        letters[i] = _has_letter(data[offsets[i] : offsets[i + 1]].tobytes())
+    if net is None:
+        return [UNKNOWN] * n, np.zeros(n)
+    spans, at = spans_of(data, offsets)
+    by_span = np.concatenate([net.pooled(spans[a : a + 2048]) for a in range(0, len(spans), 2048)] or [np.zeros((0, len(names)), np.float32)])
+    total = np.concatenate([np.zeros((1, len(names))), np.cumsum(by_span, 0, dtype=np.float64)])[at]
+    mean = np.diff(total, axis=0) / np.maximum(1, np.diff(offsets))[:, None]
+    p = np.exp(mean - mean.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    best = p.argmax(1)
+    return [names[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], np.where(letters, p[np.arange(n), best], 0.0)
+
+
+def fitted(docs: DataFrame) -> tuple[ByteNetwork | None, list[str]]:
+    """A model of the documents' own labels, without those held out."""
+    spans, labels, names = training_spans(docs)
+    return (train(spans, labels, len(names)) if names else None), names
+
+
+def identify(docs: DataFrame, model: tuple[ByteNetwork | None, list[str]] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document.
 
     Without a model, one is trained on the documents whose crc32(doc_id as text) mod 4 is not 2. Predictions come from the text
@@ -196,34 +222,28 @@ def identify(docs: DataFrame, model: tuple[ByteNetwork, list[str]] | None = None
     again. `und` with score 0 if the text is null, empty or without a letter, or if no language was learned. Repeated rows
     give repeated results; a null id is never held out and never learned from.
     """
-    if model is None:
-        spans, labels, names = training_spans(docs)
-        model = (train(spans, labels, len(names)) if names else None, names)
-    net, names = model
-    sent = docs.sparkSession.sparkContext.broadcast((net, names))
+    sent = docs.sparkSession.sparkContext.broadcast(model or fitted(docs))
     held_out = F.coalesce(remainder(docs["doc_id"].cast("long"), 4) == 2, F.lit(False))
 
     def step(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
-        net, names = sent.value
-        n = len(offsets) - 1
-        letters = np.diff(np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])[offsets]) > 0
-        for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
-            letters[i] = _has_letter(data[offsets[i] : offsets[i + 1]].tobytes())
-        if net is None:
-            return {"doc_id": part.column(0), "held_out": part.column(1), "lang_pred": [UNKNOWN] * n, "score": np.zeros(n)}
-        spans, at = spans_of(data, offsets)
-        by_span = np.concatenate([net.pooled(spans[a : a + 2048]) for a in range(0, len(spans), 2048)] or [np.zeros((0, len(names)), np.float32)])
-        total = np.concatenate([np.zeros((1, len(names))), np.cumsum(by_span, 0, dtype=np.float64)])[at]
-        mean = np.diff(total, axis=0) / np.maximum(1, np.diff(offsets))[:, None]
-        p = np.exp(mean - mean.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        return {
-            "doc_id": part.column(0),
-            "held_out": part.column(1),
-            "lang_pred": [names[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)],
-            "score": np.where(letters, p[np.arange(n), best], 0.0),
-        }
+        names, score = predictions(sent.value, data, offsets)
+        return {"doc_id": part.column(0), "held_out": part.column(1), "lang_pred": names, "score": score}
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     return map_text(rows, "doc_id long, held_out boolean, lang_pred string, score double", step)
+
+
+def with_known_language(docs: DataFrame, least: float, model: tuple[ByteNetwork | None, list[str]] | None = None) -> DataFrame:
+    """docs, all columns, without those whose language is `und` or has a score below `least`. Rows stay where they are."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    sent = docs.sparkSession.sparkContext.broadcast(model or fitted(docs))
+    kind = to_arrow_schema(docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in slices(batches):
+            names, score = predictions(sent.value, data, offsets)
+            kept = pa.array([name != UNKNOWN and s >= least for name, s in zip(names, score, strict=True)])
+            yield table_rows({f.name: part.column(i) for i, f in enumerate(kind)}, kind).filter(kept)
+
+    return docs.mapInArrow(run, docs.schema)
