@@ -484,11 +484,11 @@ def binary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.byte_changes(pairs, ["page_id"])
 
 
-@query(r"""WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[\x20-\x7e]{4,}')) AS a, list_distinct(regexp_extract_all(upper(text), '[\x20-\x7e]{4,}')) AS b FROM documents WHERE doc_id % 10 = 0)
+@query(r"""WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[\x20-\x7e]{4,}')) AS a, list_distinct(regexp_extract_all(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[\x20-\x7e]{4,}')) AS b FROM documents WHERE doc_id % 10 = 0)
 SELECT doc_id, len(list_filter(b, lambda s: NOT list_contains(a, s)))::BIGINT AS added, len(list_filter(a, lambda s: NOT list_contains(b, s)))::BIGINT AS removed FROM x""")
 def strings_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[\x20-\x7e]{4,}"), F.lit(0)))
-    df = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select("doc_id", found(F.col("text")).alias("a"), found(F.upper("text")).alias("b"))
+    df = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select("doc_id", found(F.col("text")).alias("a"), found(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("b"))
     return df.select("doc_id", F.size(F.array_except("b", "a")).cast("long").alias("added"), F.size(F.array_except("a", "b")).cast("long").alias("removed"))
 
 
