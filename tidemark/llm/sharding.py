@@ -28,6 +28,7 @@ def propagate(nodes: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) ->
         there = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"))
         # the fullest shard; of equal ones another for each group, so that groups don't all meet in the first
         best = there.groupBy("grp").agg(F.max_by("shard", F.struct("n", F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 20)))).alias("wish"))
+        best = stored(best, "best")  # so that the join deals out both sides and Spark can split a hot group
         movers = linked.join(best, "grp").filter("shard <> wish").select("row", "shard", "wish")
         counts = movers.groupBy("shard", "wish").agg(F.count("*").alias("n"))
         idle = free.groupBy("shard").agg(F.floor(F.count("*") / (shards - 1)).alias("idle"))
@@ -72,6 +73,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     group = F.coalesce(F.xxhash64("_text", "_text2", "text_crc32", "size"), F.lit(0))
     dealt = stored(dealt.select("row", group.alias("grp"), F.col("_text").isNotNull().alias("_some"), (F.col("_deal") % shards).cast("int").alias("shard")), "dealt")
     several = dealt.filter("_some").groupBy("grp").agg(F.count("*").alias("_n")).filter("_n > 1").select("grp", F.lit(True).alias("linked"))
+    several = stored(several, "several")
     nodes = stored(dealt.join(several, "grp", "left").select("row", "grp", (F.coalesce("linked", F.lit(False)) & F.col("_some")).alias("linked"), "shard"), "nodes")
     placed = rows.join(propagate(nodes, n, shards, rounds).select("row", "shard"), "row")
     out = ranked(placed, ["shard"], key_of("doc_id", "_text"), [F.col("doc_id"), F.col("text_crc32"), F.col("row")], n, "slot")
