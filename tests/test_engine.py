@@ -1,4 +1,4 @@
-"\ue000""Snapshots on disk: the facts that come out, in the shapes of small vectors."""
+"""Snapshots on disk: the facts that come out, in the shapes of small vectors."""
 
 import json
 import sqlite3
