@@ -10,7 +10,8 @@ from tidemark import api, cli
 from tidemark.config import load
 from tidemark.sources.archives import Limits, TooLarge, members
 from tidemark.sources.delimited import sniff, stacked
-from tidemark.sources.formats import bson, cbor, msgpack
+from tidemark.plans.engine import Node, fused_layers
+from tidemark.sources.formats import bson, cbor, msgpack, tables
 from tidemark.sources.records import document, json_table, kind_of, tagged
 
 
@@ -123,6 +124,9 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["diff", left, right, "-o", f"json:{tmp_path}/out.json"], spark) == 1
     assert json.loads((tmp_path / "out.json").read_text())[0]["root"]["action"] == "modify"
     assert cli.main(["diff", left], spark) == 2
+    assert cli.main(["changelog", f"{tmp_path}/out.json"], spark) == 0 and "x.txt" in capsys.readouterr().out
+    assert cli.main(["report", left, right, f"{tmp_path}/report"], spark) == 1
+    assert json.loads((tmp_path / "report" / "trace.json").read_text())[0] and (tmp_path / "report" / "snapshots" / "1" / "x.txt").read_text() == "b\n"
 
 
 def test_config():
@@ -144,6 +148,33 @@ def test_sources():
     assert bson(bytes.fromhex("0c0000001061000100000000")) == {"a": 1}
 
 
+def test_binary_tables(tmp_path):
+    import io
+
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table({"a": [1, None], "b": ["x", "y"]})
+    sink = io.BytesIO()
+    pq.write_table(table, sink)
+    assert tables(sink.getvalue(), ".parquet") == [("", ["a", "b"], [[tagged(document(b"1", ".json")), "x"], [None, "y"]])]
+    pd.DataFrame({"v": [1.0, 2.5], "s": ["p", "q"]}).to_stata(tmp_path / "x.dta", write_index=False)
+    assert tables((tmp_path / "x.dta").read_bytes(), ".dta") == [("", ["v", "s"], [["1", "p"], ["2.5", "q"]])]
+    schema = b'{"type":"record","name":"R","fields":[{"name":"id","type":"long"},{"name":"s","type":["null","string"]}]}'
+    text = lambda b: bytes([2 * len(b)]) + b if len(b) < 64 else bytes([(2 * len(b)) & 0x7F | 0x80, (2 * len(b)) >> 7]) + b
+    body = b"\x02\x02\x02p" + b"\x04\x00"
+    avro = b"Obj\x01" + b"\x02" + text(b"avro.schema") + text(schema) + b"\x00" + b"M" * 16 + b"\x04" + bytes([2 * len(body)]) + body + b"M" * 16
+    one, two = (tagged(document(x, ".json")) for x in (b"1", b"2"))
+    assert tables(avro, ".avro") == [("", ["id", "s"], [[one, "p"], [two, None]])]
+
+
+def test_layers():
+    names = {"d/r.shp", "d/r.shx", "d/r.dbf"}
+    found = fused_layers([Node("d/r.shp", "modify"), Node("d/r.dbf", "modify"), Node("d/r.shx", "modify"), Node("d/q.dbf", "modify")], names, names)
+    assert [n.path for n in found] == ["d/r.shp/>geometry", "d/r.shp/>attributes", "d/q.dbf"]
+
+
 def test_archive_limits(tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("../evil.txt", "x")

@@ -74,6 +74,7 @@ class Changeset:
     diagnostics: list[Diagnostic] = field(default_factory=list)
     left: str = ""
     right: str = ""
+    trace: list[dict] = field(default_factory=list)
 
     @property
     def changed(self) -> bool:
@@ -85,6 +86,16 @@ class Changeset:
     def to_json(self) -> str:
         return json.dumps(self.to_dict(), indent=2, ensure_ascii=False)
 
+    @classmethod
+    def from_dict(cls, raw: dict) -> Changeset:
+        """From what to_dict gave; hidden edits are gone."""
+
+        def node(x: dict) -> Node:
+            edits = [edit(e["verb"], e["params"]) for e in x.get("edits", [])]
+            return Node(x["path"], x["action"], x.get("source"), x["item_type"], x.get("tags", []), edits, [node(c) for c in x.get("children", [])], x.get("summary", ""))
+
+        return cls(node(raw["root"]), raw["claims"], raw["diagnostics"], raw["from"], raw["to"])
+
     def find(self, path: str) -> Node | None:
         return next((n for n in self.root.walk() if n.path == path), None)
 
@@ -375,6 +386,7 @@ def diff(spark: SparkSession, left: str, right: str, config: Config | dict | str
         config.pairs = [(names[0], names[1])]
     links, claims, found = pair_items(a, b, config)
     links = links.collect()
+    trace = [{"phase": "pair", "rule": rule, "links": n} for rule, n in sorted(Counter(x["evidence"].split(":")[0] for x in links).items())]
     columns = ["path", "name", "parent", "ext", "size", "hash", "is_dir", "container", "physical", "problem"]
     old, new = ({r["path"]: r.asDict() for r in d.select(*columns).collect()} for d in (a, b))
     diagnostics = list(config.diagnostics)
@@ -410,6 +422,8 @@ def diff(spark: SparkSession, left: str, right: str, config: Config | dict | str
             node.action, node.tags = "move", [*node.tags, "move", "move.modified"]
         if node.action != "identical":
             nodes.append(node)
+    nodes = fused_layers(nodes, set(old), set(new))
+    trace += [{"phase": "write", "path": n.path, "edits": len(n.edits), "cost": cost(n.edits)} for n in nodes if n.edits]
     gone, came = set(old) - {x["left"] for x in links}, set(new) - {x["right"] for x in links}
     claimed = {p for c in claims for p in [c["whole"], *c["parts"]]}
     nodes += [Node(p, "remove", item_type="directory" if old[p]["is_dir"] else "file") for p in sorted(gone - claimed)]
@@ -424,7 +438,32 @@ def diff(spark: SparkSession, left: str, right: str, config: Config | dict | str
         if (d["code"], d["location"]) not in seen:
             seen.add((d["code"], d["location"]))
             unique.append(d)
-    return Changeset(tree(nodes), claims, unique[:DIAGNOSTICS], left, right)
+    return Changeset(tree(nodes), claims, unique[:DIAGNOSTICS], left, right, trace)
+
+
+def stem(path: str) -> str:
+    """The path without its last extension, in lower case."""
+    head, dot, tail = path.rpartition(".")
+    return (head if dot and "/" not in tail else path).lower()
+
+
+def fused_layers(nodes: list[Node], old: set[str], new: set[str]) -> list[Node]:
+    """Shapefiles are layers: a .shp with a .shx and a .dbf of the same folder and stem has its geometry and its attribute table
+    inside it, and the index has no node of its own."""
+    kinds: dict[str, dict[str, str]] = defaultdict(dict)
+    for p in new & old:
+        if p.lower().endswith((".shp", ".shx", ".dbf")):
+            kinds[stem(p)].setdefault(p.lower()[-4:], p)
+    layers = {k: v[".shp"] for k, v in kinds.items() if len(v) == 3}
+    out = []
+    for n in nodes:
+        layer, ext = layers.get(stem(n.path)), n.path.lower()[-4:]
+        if layer and ext == ".shx":
+            continue
+        if layer and ext in (".shp", ".dbf"):
+            n.path, n.source = f"{layer}/>{'geometry' if ext == '.shp' else 'attributes'}", n.source
+        out.append(n)
+    return out
 
 
 def tree(nodes: list[Node]) -> Node:

@@ -28,8 +28,8 @@ from tidemark.sources.records import MARK, json_table, kind_of, same_across_type
 EDIT_LIMIT, EXAMPLES, CAPTURED = 5_000, 16, 16
 DELIMITED = {".csv", ".tsv", ".tab"}
 JSON = {".json", ".jsonl", ".ndjson", ".geojson"}
-BINARY = {".sqlite", ".sqlite3", ".db", ".parquet", ".arrow", ".feather", ".ipc", ".xlsx", ".xlsm", ".dbf", ".xpt"}
-CONTAINERS = {".sqlite", ".sqlite3", ".db", ".xlsx", ".xlsm", ".xpt"}
+BINARY = {".sqlite", ".sqlite3", ".db", ".parquet", ".arrow", ".feather", ".ipc", ".xlsx", ".xlsm", ".ods", ".avro", ".dta", ".sas7bdat", ".dbf", ".xpt"}
+CONTAINERS = {".sqlite", ".sqlite3", ".db", ".xlsx", ".xlsm", ".ods", ".xpt"}
 
 
 @dataclass

@@ -1,4 +1,4 @@
-"""Binary formats: SQLite, Excel, Parquet, Arrow, DBF, SAS transport, CBOR, MessagePack, BSON and shapefile headers."""
+"""Binary formats: SQLite, Excel, OpenDocument, Parquet, Arrow, Avro, DBF, Stata, SAS, CBOR, MessagePack, BSON and shapefile headers."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from tidemark.operators.documents import Number
 from tidemark.operators.schema import complete_headers
-from tidemark.sources.records import _plain, tagged
+from tidemark.sources.records import MARK, _plain, tagged
 
 Table = tuple[str, list[str], list[list[str | None]]]
 
@@ -81,7 +81,7 @@ def xlsx_sheets(data: bytes) -> Iterator[Table]:
                 rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
             if rows:
                 width = max(map(len, rows))
-                yield sheet.get("name"), complete_headers([(h or "").lstrip("") for h in rows[0]], width), rows[1:]
+                yield sheet.get("name"), complete_headers([(h or "").removeprefix(MARK) for h in rows[0]], width), rows[1:]
 
 
 def dbf_table(data: bytes) -> Table:
@@ -301,6 +301,131 @@ def bson(data: bytes):
     return document()
 
 
+def avro_table(data: bytes) -> Table:
+    """Records of an Avro container file, cells in the order of the writer's schema."""
+    import json
+    import zlib
+
+    r = _Bytes(data)
+    if r.take(4) != b"Obj\x01":
+        raise ValueError("no Avro file")
+
+    def number() -> int:
+        n = shift = 0
+        while True:
+            b = r.number("B")
+            n |= (b & 0x7F) << shift
+            shift += 7
+            if not b & 0x80:
+                return (n >> 1) ^ -(n & 1)
+
+    def blocks(item):
+        out = []
+        while n := number():
+            if n < 0:
+                n = -n
+                number()
+            out += [item() for _ in range(n)]
+        return out
+
+    named: dict[str, dict] = {}
+
+    def value(schema):
+        kind = schema
+        if isinstance(schema, list):
+            return value(schema[number()])
+        if isinstance(schema, dict):
+            kind = schema["type"]
+            if "name" in schema:
+                named[schema["name"]] = schema
+        if isinstance(kind, (dict, list)):
+            return value(kind)
+        if kind in named and not isinstance(schema, dict):
+            return value(named[kind])
+        if kind == "null":
+            return None
+        if kind == "boolean":
+            return bool(r.number("B"))
+        if kind in ("int", "long"):
+            return number()
+        if kind in ("float", "double"):
+            return r.number("<f" if kind == "float" else "<d")
+        if kind == "bytes":
+            return list(r.take(number()))
+        if kind == "string":
+            return r.take(number()).decode()
+        if kind == "fixed":
+            return list(r.take(schema["size"]))
+        if kind == "enum":
+            return schema["symbols"][number()]
+        if kind == "array":
+            return blocks(lambda: value(schema["items"]))
+        if kind == "map":
+            return dict(blocks(lambda: (value("string"), value(schema["values"]))))
+        return {f["name"]: value(f["type"]) for f in schema["fields"]}
+
+    meta = dict(blocks(lambda: (value("string"), bytes(value("bytes")))))
+    schema = json.loads(meta["avro.schema"])
+    if not isinstance(schema, dict) or schema.get("type") != "record":
+        raise ValueError("the writer's schema is no record")
+    marker, rows = r.take(16), []
+    while r.at < len(r.data):
+        count, body = number(), r.take(number())
+        if meta.get("avro.codec", b"null") == b"deflate":
+            body = zlib.decompress(body, -15)
+        outer, r = r, _Bytes(body)
+        rows += [value(schema) for _ in range(count)]
+        r = outer
+        if r.take(16) != marker:
+            raise ValueError("a block ends wrongly")
+    columns = [f["name"] for f in schema["fields"]]
+    return "", columns, [[_cell(row[c]) for c in columns] for row in rows]
+
+
+def stat_table(data: bytes, ext: str) -> Table:
+    """Stata and SAS7BDAT through pandas; all cells are texts, whole numbers without decimals, missing ones a dot."""
+    import pandas as pd
+
+    if ext == ".dta":
+        df = pd.read_stata(io.BytesIO(data), convert_categoricals=False, convert_dates=False)
+    else:
+        df = pd.read_sas(io.BytesIO(data), format="sas7bdat", encoding="latin-1")
+
+    def text(v) -> str:
+        if isinstance(v, float):
+            return "." if v != v else str(int(v)) if v == int(v) else repr(v)
+        return "." if v is None else str(v)
+
+    return "", list(map(str, df.columns)), [[text(v) for v in row] for row in df.astype(object).itertuples(index=False)]
+
+
+_ODS = {"table": "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}", "office": "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}", "text": "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"}
+
+
+def ods_sheets(data: bytes) -> Iterator[Table]:
+    """Sheets of an OpenDocument file that aren't empty."""
+    t, o = _ODS["table"], _ODS["office"]
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        root = ET.fromstring(z.read("content.xml"))
+    for sheet in root.iter(f"{t}table"):
+        rows: list[list[str | None]] = []
+        for row in sheet.iter(f"{t}table-row"):
+            cells: list[str | None] = []
+            for c in row.iter(f"{t}table-cell"):
+                kind = c.get(f"{o}value-type")
+                texts = "\n".join("".join(p.itertext()) for p in c.iter(f"{_ODS['text']}p"))
+                v = tagged(Number(c.get(f"{o}value"))) if kind in ("float", "percentage", "currency") else _cell(c.get(f"{o}boolean-value") == "true") if kind == "boolean" else c.get(f"{o}date-value") or texts or None
+                cells += [v] * min(int(c.get(f"{t}number-columns-repeated", 1)), 1 << 14)
+            while cells and cells[-1] is None:
+                cells.pop()
+            rows.append(cells)
+        while rows and not rows[-1]:
+            rows.pop()
+        if rows:
+            width = max(map(len, rows))
+            yield sheet.get(f"{t}name"), complete_headers([(h or "").removeprefix(MARK) for h in rows[0]], width), rows[1:]
+
+
 BINARY_DOCUMENTS = {".cbor": cbor, ".msgpack": msgpack, ".bson": bson, ".shp": shape_header}
 
 
@@ -316,6 +441,12 @@ def tables(data: bytes, ext: str) -> list[Table] | None:
         return [arrow_table(data, ext)]
     if ext in (".xlsx", ".xlsm"):
         return list(xlsx_sheets(data))
+    if ext == ".ods":
+        return list(ods_sheets(data))
+    if ext == ".avro":
+        return [avro_table(data)]
+    if ext in (".dta", ".sas7bdat"):
+        return [stat_table(data, ext)]
     if ext == ".dbf":
         return [dbf_table(data)]
     if ext == ".xpt":

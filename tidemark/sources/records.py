@@ -14,7 +14,7 @@ import xml.etree.ElementTree as ET
 
 from tidemark.operators.documents import Number, canonical, flatten, parse
 
-MARK = ""
+MARK = "\ue000"
 
 
 def tagged(value) -> str | None:
