@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXAMPLES = 8
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def line_count(text: Column) -> Column:
