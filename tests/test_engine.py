@@ -6,8 +6,9 @@ import zipfile
 
 import pytest
 
-from tidemark import api, cli
+from tidemark import api, cli, plugins
 from tidemark.config import load
+from tidemark.operators.compact import edit
 from tidemark.sources.archives import Limits, TooLarge, members
 from tidemark.sources.delimited import sniff, stacked
 from tidemark.plans.engine import Node, fused_layers
@@ -169,6 +170,20 @@ def test_binary_tables(tmp_path):
     assert tables(avro, ".avro") == [("", ["id", "s"], [[one, "p"], [two, None]])]
 
 
+def test_plugins(spark, tmp_path, monkeypatch):
+    def parse(data):
+        return [("", ["k", "v"], [line.split("=") for line in data.decode().split()])]
+
+    monkeypatch.setitem(plugins.PARSERS, ".kv", parse)
+    monkeypatch.setitem(plugins.WRITERS, ".own", lambda a, b: [edit("own.changed", {}, ("own",))])
+    monkeypatch.setattr(plugins, "ANNOTATORS", [lambda node: {"seen"}])
+    monkeypatch.setattr(plugins, "PAIR_RULES", [lambda a, b, links: spark.createDataFrame([("p.own", "q.own", "plugin")], "left string, right string, evidence string")])
+    left, right = write(tmp_path / "a", {"x.kv": "a=1 b=2", "p.own": "1"}), write(tmp_path / "b", {"x.kv": "a=1 b=3", "q.own": "2"})
+    found = api.diff(spark, left, right)
+    assert set(found.find("x.kv").tags) == {"cell-change", "seen"}
+    assert found.find("q.own").source == "p.own" and "own" in found.find("q.own").tags
+
+
 def test_layers():
     names = {"d/r.shp", "d/r.shx", "d/r.dbf"}
     found = fused_layers([Node("d/r.shp", "modify"), Node("d/r.dbf", "modify"), Node("d/r.shx", "modify"), Node("d/q.dbf", "modify")], names, names)

@@ -1,23 +1,23 @@
-"""What users call: diff, diff_many, extract, renderers, and a registry for renderers of their own."""
+"""What users call: diff, diff_many, extract and renderers. What plugins add is in tidemark.plugins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from importlib.metadata import entry_points
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import plugins
 from tidemark.config import Config, load
 from tidemark.operators import rows
 from tidemark.operators.order import ROW
 from tidemark.plans.engine import Changeset, diff, diff_many
 from tidemark.plans.render import to_html, to_markdown
 from tidemark.plans.tables import read_tables
+from tidemark.plugins import discover
 from tidemark.sources import files
 from tidemark.store import keep
 
-RENDERERS: dict[str, Callable[[list[Changeset]], str]] = {
+RENDERERS = plugins.RENDERERS
+RENDERERS |= {
     "markdown": to_markdown,
     "html": to_html,
     "json": lambda found: "[" + ",\n".join(c.to_json() for c in found) + "]\n",
@@ -25,12 +25,6 @@ RENDERERS: dict[str, Callable[[list[Changeset]], str]] = {
 ASPECTS = ["rows_added", "rows_removed", "cells_changed", "columns_added", "columns_removed", "column_order", "content_left", "content_right", "content"]
 
 
-def discover() -> None:
-    """Adds renderers that installed packages offer as entry points of the group tidemark.renderers."""
-    for found in entry_points(group="tidemark.renderers"):
-        RENDERERS[found.name] = found.load()
-
-
 def extract(spark: SparkSession, left: str, right: str, changeset: Changeset, path: str, aspect: str, config: Config | dict | str | None = None) -> DataFrame:
     """One aspect of a node as a DataFrame over the data itself."""
     config = config if isinstance(config, Config) else load(config)

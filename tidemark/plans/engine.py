@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import plugins
 from tidemark.config import Config, Diagnostic, diagnostic, load
 from tidemark.operators import binary, documents, pairing, similarity, text
 from tidemark.operators.compact import Edit, cost, edit
@@ -143,6 +144,8 @@ def pair_items(left: DataFrame, right: DataFrame, config: Config) -> tuple[DataF
     links = _add(links, pairing.moved(files_a, files_b, links))
     links = _add(links, pairing.copied(files_a, files_b, links))
     links = names(_add(links, pairing.best_containers(pairing.container_votes(a, b, links), links)))
+    for rule in plugins.PAIR_RULES:
+        links = _add(links, rule(a, b, links))
     claims, diagnostics = partitions(left, right, links.collect(), config)
     claimed = [p for c in claims for p in [c["whole"], *c["parts"]]]
     free = lambda df: df.filter(~F.col("path").isin(claimed)) if claimed else df
@@ -254,6 +257,9 @@ def explain(left: DataFrame, right: DataFrame, a: dict, b: dict, config: Config)
     if a["ext"] != b["ext"]:
         node.tags.append("serialization-change")
     ext = b["ext"]
+    if ext in plugins.WRITERS and (own := plugins.WRITERS[ext](_bytes(left, a["path"]), _bytes(right, b["path"]))) is not None:
+        node.edits = own
+        return node, diagnostics
     forced = {"text": TEXT, "binary": set()}.get(cfg.rule or "")
     if forced is None and is_tabular(ext, cfg) and is_tabular(a["ext"], config.of(a["path"])):
         try:
@@ -316,6 +322,8 @@ def _finish(node: Node) -> None:
     elif not node.edits and not node.children and node.action == "modify":
         node.edits = [edit("content.differs", {"reason": "bytes differ"}, ("content-changed",))]
         node.tags = sorted({*node.tags, "content-changed"})
+    for annotate in plugins.ANNOTATORS:
+        node.tags = sorted({*node.tags, *annotate(node)})
     node.summary = summarise(node)
 
 

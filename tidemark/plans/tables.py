@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import plugins
 from tidemark.config import Config, Diagnostic, PathConfig, diagnostic
 from tidemark.operators import infer, rows
 from tidemark.operators.compact import Edit, appended_rows, compacted, edit, renamed_columns, reordered_columns, retyped_columns
@@ -42,11 +43,13 @@ class Table:
 
 
 def is_tabular(ext: str, config: PathConfig) -> bool:
-    return ext in DELIMITED | JSON | BINARY or config.content_type in ("text/csv", "text/tab-separated-values") or bool(config.dialect.get("delimiter"))
+    return ext in plugins.PARSERS or ext in DELIMITED | JSON | BINARY or config.content_type in ("text/csv", "text/tab-separated-values") or bool(config.dialect.get("delimiter"))
 
 
-def parse_file(data: bytes, path: str, ext: str, config: PathConfig) -> list[tuple[str, list[str], list[list[str | None]], dict, bool]]:
+def parse_file(data: bytes, path: str, ext: str, config: PathConfig, own: dict) -> list[tuple[str, list[str], list[list[str | None]], dict, bool]]:
     """(name, columns, rows, metadata, dialect was inferred) of each table of a file; none if it is no table."""
+    if ext in own:
+        return [(name, columns, found, {}, False) for name, columns, found in own[ext](data)]
     if ext in BINARY:
         return [(name, columns, found, {}, False) for name, columns, found in binary_tables(data, ext) or []]
     if ext in JSON:
@@ -62,12 +65,13 @@ def parse_file(data: bytes, path: str, ext: str, config: PathConfig) -> list[tup
 
 def read_tables(items: DataFrame, path: str, ext: str, physical: str | None, config: PathConfig) -> list[Table]:
     """The tables of an item. Its bytes are parsed where they are; a file too large to be held as an item goes through Spark's reader."""
+    parsers = {k: v for k, v in plugins.PARSERS.items() if k == ext}  # goes along to the executors
     row = items.filter(F.col("path") == path).select("content").withColumn("held", F.col("content").isNotNull())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for content in part["content"]:
-                for name, columns, found, meta, inferred in parse_file(bytes(content), path, ext, config):
+                for name, columns, found, meta, inferred in parse_file(bytes(content), path, ext, config, parsers):
                     head = [(name, -1, list(columns), json.dumps([meta, inferred]))]
                     yield pd.DataFrame(head + [(name, i, list(r), None) for i, r in enumerate(found)], columns=["table", ROW, "cells", "meta"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,8 +17,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone when Python ends
+        pass
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df, written as Parquet and read back, so that lineage ends and nothing is worked out twice."""
     path = f"{shared_folder(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_drop, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
