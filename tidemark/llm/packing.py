@@ -10,23 +10,25 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_schema, key_of, ranked, slices, stored, table_rows, worker_state
+from tidemark.llm.common import arrow_schema, key_of, ranked, slices, stored, table_rows, word_hashes, worker_state
 
 CAPACITY = 2048
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4, 6, 3, 5
 #: A bin is well filled if at most this share of it is free.
 WELL_FILLED = 1 / 256
-#: Distinct words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+#: Distinct words, and parts of words, whose ids a worker remembers; beyond it starts anew.
+REMEMBERED, REMEMBERED_PARTS = 1_500_000, 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = f"{PIECES}, sequence_id long, offset long"
@@ -37,16 +39,85 @@ Solution = dict[tuple[int, ...], int]
 
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
-_ODD_SPACES = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Fixed value: the tokenizer's own pattern of the parts of a word, which are encoded each on its own.
+PART = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
-def word_ids(tokenizer, known: dict[str, bytes], words: list[str]) -> dict[str, bytes]:
-    """Adds the words' ids to `known`, as little-endian 32-bit numbers."""
-    new = [w for w in dict.fromkeys(words) if w not in known]
-    for w, found in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-        known[w] = np.array(found.ids, "<u4").tobytes()
-    return known
+class WordIds:
+    """Ids of texts, word by word (a word: a run without ASCII white space).
+
+    Words are told apart by 64-bit hashes, without regard to the case of ASCII letters, and their ids are remembered in arrays:
+    sorted hashes, and where each word's ids are in a pool. Only words that are new become Python strings. Of these, words of Latin
+    letters, digits and ASCII marks are normalised and cut into parts here, and each new part goes through the tokenizer's model;
+    all others, and those that may hold a special token's string, go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.find = regex.compile(PART).findall
+        self.plain = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+").fullmatch
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {i: spell(bytes([0xC2, i]).decode())[0][0][-1] for i in range(0x80, 0xC0)}  # how the model spells bytes beyond ASCII
+        self.letters |= {i: spell(bytes([i, 0x80]).decode())[0][0][0] for i in range(0xC2, 0xE0)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.first, self.length, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.parts: dict[str, bytes] = {}
+
+    def one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.tokenize(spelled)]
+            found = self.parts[part] = pack_ids(f"<{len(ids)}I", *ids)
+        return found
+
+    def word(self, word: str) -> bytes:
+        if "<|" in word or not self.plain(word):
+            return self.one(word)
+        return b"".join(map(self.part, self.find((word if word.isascii() else unicodedata.normalize("NFC", word)).lower())))
+
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Adds words by their hashes, which are new and sorted."""
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts = {}
+        ids = [self.word(w.decode("utf-8", "replace")) for w in words]
+        length = np.array([len(x) // 4 for x in ids], np.int64)
+        first = len(self.pool) + np.cumsum(length) - length
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        at = np.searchsorted(self.keys, keys)  # keys are sorted
+        self.keys, self.first, self.length = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.length, at, length)
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text in the bytes."""
+        raw = data.tobytes()
+        # the strings of special tokens have a case
+        hashes, starts, ends, at = word_hashes(data, offsets, lower=b"<|" not in raw)
+        if not len(hashes):
+            return [self.pool[:0]] * (len(offsets) - 1)
+        if len(self.keys) > REMEMBERED:
+            self.forget()
+        known, index, of = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, known)
+        new = place == len(self.keys)
+        new[~new] = self.keys[place[~new]] != known[~new]
+        if new.any():
+            self.learn(known[new], [raw[a:b] for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, known)
+        length = self.length[place][of]
+        last = np.cumsum(length)
+        ids = self.pool[np.repeat(self.first[place][of] - (last - length), length) + np.arange(last[-1])]
+        cuts = np.concatenate([[0], last])[at]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -63,18 +134,12 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         state = worker_state()
         if state.get("tokenizer_path") != tokenizer_path:
-            from tokenizers import Tokenizer
-
-            state["tokenizer"], state["tokenizer_path"], state["word_ids"] = Tokenizer.from_file(tokenizer_path), tokenizer_path, {}
+            state["tokenizer"], state["tokenizer_path"] = WordIds(tokenizer_path), tokenizer_path
         for part, data, offsets in slices(batches):
-            raw, rows = data.tobytes(), []
-            if len(state["word_ids"]) > REMEMBERED:
-                state["word_ids"] = {}
-            for i, a, b in zip(part.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                text = raw[a:b].decode("utf-8", "replace")
-                words = text.split() if not _ODD_SPACES.search(text) else [w for w in _SPACES.split(text) if w]
-                ids = b"".join(map(word_ids(state["tokenizer"], state["word_ids"], words).__getitem__, words)) + b"\0\0\0\0"
-                rows += [(i, k, k * capacity, len(cut) // 4, zlib.crc32(cut)) for k in range(-(-len(ids) // (4 * capacity))) if (cut := ids[4 * capacity * k : 4 * capacity * (k + 1)])]
+            rows = []
+            for i, ids in zip(part.column(0).to_pylist(), state["tokenizer"].of(data, offsets), strict=True):
+                raw = ids.tobytes() + b"\0\0\0\0"
+                rows += [(i, k, k * capacity, len(cut) // 4, zlib.crc32(cut)) for k in range(-(-len(raw) // (4 * capacity))) if (cut := raw[4 * capacity * k : 4 * capacity * (k + 1)])]
             yield table_rows(dict(zip(kind.names, zip(*rows, strict=True), strict=True)), kind)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
