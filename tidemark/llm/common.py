@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import sys
 import types
 import uuid
@@ -14,13 +15,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 8 << 20
 #: Rows that a bucket of `running` and `ranked` should hold.
 BUCKET_ROWS = 20_000
 KEY_BITS = 62
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -29,6 +33,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; if it is unset, as in tests, a temporary one."""
+    # texts are long: batches of rows go by their bytes
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         import tempfile
@@ -132,6 +138,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             b = max(a + 1, int(np.searchsorted(ends, ends[a] + size, "right")) - 1)
             yield batch.slice(a, b - a), data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
             a = b
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ ORDER = 4
 #: A model of at most so many n-grams (12 bytes each) is sent to the executors as sorted arrays; a larger one is joined.
 MODEL_ROWS = 4_000_000
 #: Distinct n-grams that a task holds before it hands them on.
-HELD = 4_000_000
+HELD = 1_500_000
 #: A band reaches so many times the distance between a language's median and its 10th or 90th percentile.
 LOWER_WIDTH, UPPER_WIDTH = 4.0, 4.0
 #: Bands of at most so many languages are sent to the executors.
