@@ -3,18 +3,19 @@
 1. Documents with equal sets are one class; its smallest doc_id stands for it from here on.
 2. Two sets can only be linked if they share a token among the first quarter of each in a common order (prefix filter). Tokens that
    many documents share come last in that order. Documents that share such a token are a block.
-3. Seeds: the documents of a block are tested against its smallest one, the two most frequent ones for each document. That joins
+3. Seeds: the documents of a block are tested against the one that leads it, the two most frequent ones for each document. That joins
    large groups of near copies with a number of tests that is linear in their size.
 4. Trees: blocks that still hold several components become signature trees. A node has the OR of its documents' token bitmaps,
    their range of sizes and, if they agree, their component. A dual traversal drops pairs of nodes whose largest possible overlap is
-   too small for their sizes, or that are of one component. What reaches the leaves is tested: first a few pairs for each document,
-   then, with the components that these make, all that is left.
+   too small for their sizes, or that are of one component. What reaches the leaves is tested: first, for each block, a forest
+   of them, then, with the components that it makes, all that is left.
 
 Every test counts the shingles of both whole texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,11 @@ WORDS = 5
 PERCENT = 75
 #: The order of tokens puts those last that are found in most documents. Counted are tokens found at least HEAVY_LEAST times among
 #: HEAVY_CHUNK shingles; of these the most frequent HEAVY_TOKENS. The order bears on speed only: any order gives the same links.
-HEAVY_LEAST, HEAVY_CHUNK, HEAVY_TOKENS = 4, 2_000_000, 200_000
+HEAVY_LEAST, HEAVY_CHUNK, HEAVY_TOKENS = 4, 1_000_000, 200_000
 #: Prefix tokens that a group of the block search should hold, and documents of a block that go into one tree.
 GROUP_TOKENS, TREE_ROWS = 400_000, 512
-#: Seeds of a document; candidates of a document in the first turn of the trees.
-SEEDS, FIRST_CANDIDATES = 2, 4
+#: Seeds of a document.
+SEEDS = 2
 FANOUT = 8
 #: Documents in candidate pairs that are looked up by a broadcast set of ids; more are looked up by a join.
 BROADCAST_IDS = 1_000_000
@@ -67,8 +68,8 @@ def prefix_size(n: int) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """One bit for each token, in at least twice as many bits; a power of two of bytes."""
-    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    """One bit for each token, in at least four times as many bits; a power of two of bytes."""
+    bits = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little")
@@ -110,151 +111,147 @@ def heavy_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n, ha, hb (which tell sets apart), prefix (tokens, 8 bytes each), bits, of every document."""
+    """doc_id, n, ha, hb (which tell sets apart), prefix (tokens, 8 bytes each), bits, and core, of every document.
+
+    core: how many thousandths of the prefix are tokens that many documents share. In a group of near copies it is largest for those
+    that have least of their own, which are the likeliest to be linked with the others."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs))
-    schema = "doc_id long, n long, ha long, hb long, prefix binary, bits binary"
+    schema = "doc_id long, n long, ha long, hb long, prefix binary, bits binary, core int"
     kind = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, level = sent.value
         for part, data, offsets in slices(batches):
-            n, ha, hb, prefix, bits = [], [], [], [], []
+            n, ha, hb, prefix, bits, core = [], [], [], [], [], []
             for tokens in shingle_sets(data, offsets):
                 n.append(len(tokens))
                 ha.append(int(signed(mix64(tokens).sum(keepdims=True, dtype=np.uint64))[0]))
                 hb.append(int(signed(mix64(tokens ^ np.uint64(0x5DEECE66D1234567)).sum(keepdims=True, dtype=np.uint64))[0]))
+                core.append(0)
                 if len(tokens):
                     size, ordered = prefix_size(len(tokens)), tokens
                     if len(heavy):
                         at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
                         rank = np.where(heavy[at] == tokens, level[at] + 1, 0)
-                        ordered = tokens[np.argsort(rank, kind="stable")]
+                        order = np.argsort(rank, kind="stable")
+                        ordered = tokens[order]
+                        core[-1] = int(1000 * np.count_nonzero(rank[order[:size]]) / size)
                     prefix.append(ordered[:size].tobytes())
                     bits.append(bitmap(tokens).tobytes())
                 else:
                     prefix.append(b"")
                     bits.append(b"")
-            yield table_rows({"doc_id": part.column(0), "n": n, "ha": ha, "hb": hb, "prefix": prefix, "bits": bits}, kind)
+            yield table_rows({"doc_id": part.column(0), "n": n, "ha": ha, "hb": hb, "prefix": prefix, "bits": bits, "core": core}, kind)
 
     return stored(docs.mapInArrow(run, schema), "sets")
 
 
 # --- blocks ----------------------------------------------------------------------------------------------------------
 
-PACKED = "part int, tokens binary, docs binary, sizes binary, comps binary"
+PACKED = "part int, tokens binary, docs binary, sizes binary, cores binary"
 
 
-def packed_tokens(rows: DataFrame, parts: int) -> DataFrame:
-    """rows: doc_id, n, prefix, comp. Prefix tokens dealt to parts by token; a task sends each part its tokens in one row."""
+def packed_tokens(reps: DataFrame, parts: int) -> DataFrame:
+    """reps: doc_id, n, prefix, core. Prefix tokens dealt to parts by token; a task sends each part its tokens in one row."""
     kind = arrow_schema(PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        count = 0
 
         def dealt() -> pa.RecordBatch:
-            tokens, docs, sizes, comps = (np.concatenate(x) for x in zip(*held, strict=True))
+            tokens, docs, sizes, cores = (np.concatenate(x) for x in zip(*held, strict=True))
             part = (tokens >> np.uint64(20)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order])) + 1
             first = part[order][np.concatenate([[0], cuts])].astype(np.int32)
-            columns = {name: [y.tobytes() for y in np.split(x[order], cuts)] for name, x in (("tokens", tokens), ("docs", docs), ("sizes", sizes), ("comps", comps))}
+            columns = {name: [y.tobytes() for y in np.split(x[order], cuts)] for name, x in (("tokens", tokens), ("docs", docs), ("sizes", sizes), ("cores", cores))}
             return table_rows({"part": first, **columns}, kind)
 
         for batch in batches:
-            for i, n, prefix, comp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, n, prefix, core in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = np.frombuffer(prefix, np.uint64)
-                held.append((tokens, np.full(len(tokens), i, np.int64), np.full(len(tokens), n, np.int32), np.full(len(tokens), comp, np.int64)))
-                if len(held) % 256 == 0 and sum(len(h[0]) for h in held) > GROUP_TOKENS:
+                held.append((tokens, np.full(len(tokens), i, np.int64), np.full(len(tokens), n, np.int32), np.full(len(tokens), core, np.int16)))
+                count += len(tokens)
+                if count > GROUP_TOKENS:
                     yield dealt()
-                    held = []
-        if held:
+                    held, count = [], 0
+        if count:
             yield dealt()
 
-    return rows.select("doc_id", "n", "prefix", "comp").mapInArrow(run, PACKED)
-
-
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """From packed rows sorted by part: for each part (first of each block and the end, docs, sizes, comps), only tokens of several
-    documents, docs ascending in a block."""
-
-    def of_part(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
-        tokens, docs = joined("tokens", np.uint64), joined("docs", np.int64)
-        order = np.lexsort((docs, tokens))
-        tokens = tokens[order]
-        same = tokens[1:] == tokens[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        order, tokens = order[shared], tokens[shared]
-        first = np.concatenate([np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])), [len(tokens)]]) if len(tokens) else np.zeros(1, np.int64)
-        return first, docs[order], joined("sizes", np.int32)[order].astype(np.int64), joined("comps", np.int64)[order]
-
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["part"] != row["part"]:
-                yield of_part(held)
-                held = []
-            held.append(row)
-    if held:
-        yield of_part(held)
+    return reps.select("doc_id", "n", "prefix", "core").mapInArrow(run, PACKED)
 
 
-def by_part(packed: DataFrame) -> DataFrame:
-    return packed.repartition("part").sortWithinPartitions("part")
+def blocks_of(rows: list[dict]) -> dict[str, np.ndarray] | None:
+    """From the packed rows of a part: the blocks of its tokens that several documents have, equal sets of documents once.
 
-
-def seed_pairs(reps: DataFrame, parts: int) -> DataFrame:
-    """(a, b): for each document b the smallest documents a of its blocks, those of most blocks."""
-    kind = arrow_schema("a long, b long, shared long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, docs, _, _ in blocks(batches):
-            if len(docs):
-                head = np.repeat(docs[first[:-1]], np.diff(first))
-                pairs = np.stack([head, docs])[:, head != docs]
-                if pairs.size:
-                    order = np.lexsort(pairs)
-                    pairs = pairs[:, order]
-                    new = np.flatnonzero(np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(0)]))
-                    yield table_rows({"a": pairs[0, new], "b": pairs[1, new], "shared": np.diff(np.concatenate([new, [pairs.shape[1]]]))}, kind)
-
-    found = by_part(packed_tokens(reps.withColumn("comp", F.col("doc_id")), parts)).mapInArrow(run, "a long, b long, shared long")
-    counted = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
-    return counted.withColumn("_place", best).filter(F.col("_place") <= SEEDS).select("a", "b")
-
-
-def open_blocks(reps: DataFrame, comps: DataFrame, parts: int) -> DataFrame:
-    """(block, m, doc_id, n, comp): blocks of m documents in which documents of several components have sizes that may link them.
-    Blocks of the same documents are one."""
-    schema = "block long, m long, doc_id long, n long, comp long"
+    Columns block (a hash of its documents), m (how many they are), w (tokens that have just these), lead, doc_id, n. A block is led
+    by its document with the largest core, of equal ones by the smallest.
+    """
+    joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+    tokens, docs = joined("tokens", np.uint64), joined("docs", np.int64)
+    order = np.lexsort((docs, tokens))
+    tokens = tokens[order]
+    same = tokens[1:] == tokens[:-1]
+    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    if not shared.any():
+        return None
+    order, tokens = order[shared], tokens[shared]
+    docs, sizes, cores = docs[order], joined("sizes", np.int32)[order].astype(np.int64), joined("cores", np.int16)[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    m = np.diff(np.concatenate([first, [len(tokens)]]))
+    of = np.repeat(np.arange(len(first)), m)
+    lead = docs[np.lexsort((docs, -cores, of))[first]]
+    key = np.add.reduceat(mix64(docs.view(np.uint64)), first)
+    key, pick, w = np.unique(key, return_index=True, return_counts=True)
+    m, lead = m[pick], lead[pick]
+    take = np.repeat(first[pick] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+    spread = lambda x: np.repeat(x, m)
+    return {"block": signed(spread(key)), "m": spread(m), "w": spread(w), "lead": spread(lead), "doc_id": docs[take], "n": sizes[take]}
+
+
+def block_table(reps: DataFrame, parts: int) -> DataFrame:
+    """block, m, w, lead, doc_id, n of all blocks of several documents: one shuffle of the prefix tokens."""
+    schema = "block long, m long, w long, lead long, doc_id long, n long"
     kind = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, docs, sizes, comps in blocks(batches):
-            seen, out = set(), []
-            mixed = mix64(docs.view(np.uint64))
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                if (comps[a:b] == comps[a]).all():
-                    continue
-                key = int(mixed[a:b].sum(dtype=np.uint64))
-                if key in seen:
-                    continue
-                seen.add(key)
-                n, comp = sizes[a:b], comps[a:b]
-                order = np.argsort(n, kind="stable")
-                # the next larger document of another component, for each: if its size is too far off, so are all others'
-                change = np.flatnonzero(comp[order][1:] != comp[order][:-1])
-                if (100 * n[order][change] >= PERCENT * n[order][change + 1]).any():
-                    out.append((key, a, b))
-            if out:
-                take = np.concatenate([np.arange(a, b) for _, a, b in out])
-                m = np.array([b - a for _, a, b in out])
-                keys = np.array([k for k, _, _ in out], np.uint64)
-                yield table_rows({"block": signed(np.repeat(keys, m)), "m": np.repeat(m, m), "doc_id": docs[take], "n": sizes[take], "comp": comps[take]}, kind)
-
-    labelled = reps.join(comps.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("comp", F.coalesce("label", "doc_id"))
-    return by_part(packed_tokens(labelled, parts)).mapInArrow(run, schema).dropDuplicates(["block", "doc_id"])
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["part"] != row["part"]:
+                    if found := blocks_of(held):
+                        yield table_rows(found, kind)
+                    held = []
+                held.append(row)
+        if held and (found := blocks_of(held)):
+            yield table_rows(found, kind)
+
+    found = packed_tokens(reps, parts).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    once = found.groupBy("block", "doc_id").agg(F.sum("w").alias("w"), F.first("m").alias("m"), F.first("lead").alias("lead"), F.first("n").alias("n"))
+    return stored(once, "blocks")
+
+
+def seed_pairs(blocks: DataFrame) -> DataFrame:
+    """(a, b): each document with the documents that lead its blocks, those of most tokens."""
+    counted = blocks.filter("lead <> doc_id").groupBy("lead", "doc_id").agg(F.sum("w").alias("shared"))
+    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("shared"), "lead"))
+    chosen = counted.withColumn("_place", best).filter(F.col("_place") <= SEEDS)
+    return chosen.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
+
+
+def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """(block, m, doc_id, n, comp): documents of blocks of several components, blocks with the same smallest component put together.
+
+    So a document stands once among the near copies of a group, however many blocks it shares with them.
+    """
+    named = blocks.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("block", "doc_id", "n", F.coalesce("label", "doc_id").alias("comp"))
+    named = stored(named, "named")
+    several = named.groupBy("block").agg(F.min("comp").alias("lead"), F.max("comp").alias("_b")).filter("lead <> _b").select("block", "lead")
+    rows = named.join(stored(several, "open"), "block").select("lead", "doc_id", "n", "comp").distinct()
+    rows = stored(rows, "rows")
+    sizes = stored(rows.groupBy("lead").agg(F.count("*").alias("m")), "sizes")
+    return rows.join(sizes, "lead").withColumnRenamed("lead", "block")
 
 
 # --- signature trees ---------------------------------------------------------------------------------------------------
@@ -286,8 +283,9 @@ def leaf_of(place: int, n: int, comp: int, bits: bytes) -> Node:
 
 
 def tree_of(leaves: list[Node]) -> Node:
-    """Leaves by size, FANOUT to a node, level by level."""
-    level = sorted(leaves, key=lambda x: (x.low, x.leaf))
+    """Leaves by size, those of one component together, FANOUT to a node, level by level."""
+    several = {c for c, n in Counter(x.comp for x in leaves).items() if n > 1}
+    level = sorted(leaves, key=lambda x: (x.comp if x.comp in several else -1, x.low, x.leaf))
     while len(level) > 1:
         above = []
         for i in range(0, len(level), FANOUT):
@@ -330,10 +328,10 @@ def dual_traversal(x: Node, y: Node) -> Iterator[tuple[int, int]]:
                 stack += [(x, z) for z in y.children]
 
 
-def tree_pairs(rows: DataFrame, reps: DataFrame, most: int | None) -> DataFrame:
+def tree_pairs(rows: DataFrame, reps: DataFrame, forest: bool) -> DataFrame:
     """(a, b, more) that the trees of open blocks leave over. Large blocks are cut; each pair of their parts is a task's group.
 
-    most: candidates of a document in a group at most; `more` tells that others were left for the next turn."""
+    forest: a group gives no candidate that its others make needless, should they be links; `more` tells that it held some back."""
     schema = "a long, b long, more boolean"
     kind = arrow_schema(schema)
     parts = F.ceil(F.col("m") / TREE_ROWS).cast("int")
@@ -352,13 +350,21 @@ def tree_pairs(rows: DataFrame, reps: DataFrame, most: int | None) -> DataFrame:
             left = [x for x, r in zip(leaves, group, strict=True) if r["own"] == r["i"]]
             right = [x for x, r in zip(leaves, group, strict=True) if r["own"] != r["i"]]
             found = dual_traversal(tree_of(left), tree_of(right)) if left and right else iter(())
-        a, b, more, used = [], [], False, np.zeros(len(group), np.int64)
+        a, b, more = [], [], False
+        above = {r["comp"]: r["comp"] for r in group}  # components, as far as this group's candidates would join them
+
+        def top(c: int) -> int:
+            while above[c] != c:
+                above[c] = c = above[above[c]]
+            return c
+
         for i, j in found:
-            if most is not None and used[i] >= most and used[j] >= most:
-                more = True
-                continue
-            used[i] += 1
-            used[j] += 1
+            if forest:
+                c, d = top(group[i]["comp"]), top(group[j]["comp"])
+                if c == d:
+                    more = True
+                    continue
+                above[max(c, d)] = min(c, d)
             x, y = group[i]["doc_id"], group[j]["doc_id"]
             a.append(min(x, y))
             b.append(max(x, y))
@@ -434,12 +440,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = stored(labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
+        lower = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         ahead = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = stored(lower.join(ahead, "label", "left").select("node", "was", F.least("label", "next").alias("label")), "labels")
         moved = new.filter("was <> label").limit(1).count()
         drop_table(new.sparkSession, labels.tidemark_path)
-        drop_table(new.sparkSession, lower.tidemark_path)
         labels = new
         if not moved:
             return labels.select("node", "label")
@@ -459,23 +464,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     sets = set_table(docs)
     filled = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = stored(filled.groupBy("n", "ha", "hb").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "prefix", "bits")
+    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "prefix", "bits", "core")
     reps = stored(reps, "reps")
     members = stored(sets.select("doc_id", "n", "ha", "hb").join(classes, ["n", "ha", "hb"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "members")
     drop_table(spark, sets.tidemark_path)
     total = reps.agg(F.sum(F.octet_length("prefix")) / 8).first()[0] or 0
     parts = max(64, int(total // GROUP_TOKENS) + 1)
 
-    done = tested(stored(plausible(seed_pairs(reps, parts), reps), "seeds"), docs)
-    for most in (FIRST_CANDIDATES, None):
+    blocks = block_table(reps, parts)
+    done = tested(stored(plausible(seed_pairs(blocks), reps), "seeds"), docs)
+    for forest in (True, False):
         labels = components(done.filter("linked"))
-        found = stored(tree_pairs(open_blocks(reps, labels, parts), reps, most), "candidates")
+        found = stored(tree_pairs(open_blocks(blocks, labels), reps, forest), "candidates")
         fresh = stored(found.join(done.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
         if fresh.take(1):
             done = stored(done.unionByName(tested(fresh, docs)), "tested")
-        elif most is not None and not found.filter("more").take(1):
-            break
-        if most is not None and not found.filter("more").take(1):
+        if not found.filter("more").take(1):
             break
     # rows that repeat a doc_id may stand in several classes
     repeated = members.filter("rep IS NOT NULL AND rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
