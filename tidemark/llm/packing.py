@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_schema, key_of, ranked, slices, stored, table_rows, word_hashes, worker_state
+from tidemark.llm.common import arrow_schema, give_back, key_of, ranked, slices, stored, table_rows, word_hashes, worker_state
 
 CAPACITY = 2048
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4, 6, 3, 5
 #: A bin is well filled if at most this share of it is free.
 WELL_FILLED = 1 / 256
 #: Distinct words, and parts of words, whose ids a worker remembers; beyond it starts anew.
-REMEMBERED, REMEMBERED_PARTS = 1_500_000, 200_000
+REMEMBERED, REMEMBERED_PARTS = 1_000_000, 60_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = f"{PIECES}, sequence_id long, offset long"
@@ -135,6 +135,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
         state = worker_state()
         if state.get("tokenizer_path") != tokenizer_path:
             state["tokenizer"], state["tokenizer_path"] = WordIds(tokenizer_path), tokenizer_path
+            give_back()  # reading the file takes much more than what is kept
         for part, data, offsets in slices(batches):
             rows = []
             for i, ids in zip(part.column(0).to_pylist(), state["tokenizer"].of(data, offsets), strict=True):
