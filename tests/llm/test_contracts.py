@@ -364,6 +364,31 @@ def test_fuzzy_passage_and_clean_documents(docs):
     assert len(left[2]["text"].split()) <= 90 and left[1]["text"] == rows[0][1] and left[2]["n_chars"] == len(left[2]["text"])
 
 
+def planted(r, words_, share, regular=False):
+    """A passage and a copy of which about the given share of the words agree."""
+    say = lambda n: ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(n)]
+    passage = say(words_)
+    copy_ = list(passage)
+    changed = range(0, words_, round(1 / (1 - share))) if regular else r.sample(range(1, words_ - 1), int(words_ * (1 - share)))
+    for k in changed:
+        copy_[k] = "changed"
+    return say(30) + passage + say(30), say(40) + copy_ + say(30)
+
+
+def test_passages_of_the_stated_share_are_found(docs):
+    r = random.Random(11)
+    rows, n = [], 0
+    for share, regular in ((0.76, False), (0.8, False), (0.85, False), (0.9, False), (0.8, True), (0.875, True), (0.9, True)):
+        for size in (64, 100):
+            for _ in range(10):
+                first, second = planted(r, size, share, regular)
+                rows += [(n, " ".join(first)), (n + 1, " ".join(second))]
+                n += 2
+    found = {(x["source_doc_id"], x["doc_id"]) for x in substring.shared_passages(docs(rows)).collect()}
+    assert found <= {(k, k + 1) for k in range(0, n, 2)}
+    assert len(found) >= 0.95 * n / 2
+
+
 def test_chaining_is_best():
     """The Fenwick tree's chain against all chains."""
     r = np.random.default_rng(0)
