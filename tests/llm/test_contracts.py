@@ -389,6 +389,28 @@ def test_passages_of_the_stated_share_are_found(docs):
     assert len(found) >= 0.95 * n / 2
 
 
+def test_passage_whose_lines_stand_alone_before(docs):
+    """The first occurrences of nearly all its short seeds are in documents that have one of its lines."""
+    r, rows, wanted = random.Random(5), [], set()
+    say = lambda n: ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(n)]
+    for k in range(0, 120, 4):
+        size = (28, 35, 45)[k // 4 % 3]
+        one, two = say(size), say(size)
+        for j, text in enumerate([one, two, one + two, one + two]):
+            rows.append((k + j, " ".join(say(20) + text + say(20))))
+        wanted.add((k + 3, k + 2, 2 * size))
+    found = {(x["doc_id"], x["source_doc_id"], x["matched_words"]) for x in substring.shared_passages(docs(rows)).collect()}
+    assert wanted <= found
+
+
+def test_long_gap_with_equal_words():
+    one = np.arange(3000)
+    other = one.copy()
+    other[::7] += 10_000
+    assert (substring.agreeing(one, other) >= 0).sum() == (one == other).sum()
+    assert (substring.agreeing(one, np.concatenate([one, one + 20_000])) >= 0).sum() >= 1000
+
+
 def test_chaining_is_best():
     """The Fenwick tree's chain against all chains."""
     r = np.random.default_rng(0)
