@@ -250,6 +250,12 @@ def test_expressions():
     assert licenses.scan(b"SPDX-License-Identifier: (MIT OR BSD-3-Clause)\nx")[5] == "bsd,mit"
 
 
+def test_every_tag_of_a_line_counts():
+    found = licenses.scan(b"SPDX-License-Identifier: MIT some text SPDX-License-Identifier: GPL-3.0 more")
+    assert found[5:] == ("gpl,mit", 0.4)
+    assert licenses.scan(b"SPDX-License-Identifier: " + b"MIT AND " * 100 + b"GPL-3.0")[5:] == ("gpl,mit", 0.4)
+
+
 def test_licenses_odd(odd, empty):
     found = licenses.scan_licenses(odd).collect()
     assert len(found) == odd.count() and all(r["score"] == 0 and r["labels"] == "" for r in found)

@@ -46,7 +46,8 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 #: Words are runs outside [\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z became a-z; everything else becomes a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_EXPRESSION = re.compile(rb"spdx-license-identifier\s*:?[ \t]*([^\r\n]{0,400})")
+_TAGGED = re.compile(rb"spdx-license-identifier\s*:?[ \t]*")
+_LINE_END = re.compile(rb"[\r\n]")
 _TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+\-:]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -148,8 +149,11 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
             own.add(OWN_PHRASES[phrase])
     labels, scores = base | own, [FREEDOM.get(x, UNKNOWN) for x in base | own]
     if tagged:
-        for m in _EXPRESSION.finditer(text.lower()):
-            if found := evaluate(m.group(1).decode("utf-8", "replace")):
+        lowered = text.lower()
+        tags = list(_TAGGED.finditer(lowered))
+        for m, following in zip(tags, [*[x.start() for x in tags[1:]], len(text)], strict=True):  # up to the line's end or the next tag
+            end = _LINE_END.search(lowered, m.end(), following)
+            if found := evaluate(lowered[m.end() : end.start() if end else following].decode("utf-8", "replace")):
                 scores.append(found[0])
                 labels |= set(found[1])
     first = joined.count(" ", 0, min(places)) if places else None
