@@ -301,6 +301,17 @@ def test_model_routes_agree(docs, corpus):
     assert all(abs(a[i]["log_perplexity"] - b[i]["log_perplexity"]) < 1e-5 and a[i]["kept"] == b[i]["kept"] for i in a)
 
 
+def test_a_bad_third_does_not_open_the_band(docs):
+    r = random.Random(8)
+    parts = ["tha", "ing", "ed", "wor", "st", "er", "ou", "lan", "ck", "pre"]
+    vocabulary = ["".join(r.choices(parts, k=r.randint(1, 3))) for _ in range(300)]
+    good = lambda: " ".join(r.choice(vocabulary) for _ in range(r.randint(60, 200)))
+    bad = lambda: " ".join("".join(r.sample(w, len(w))) for w in good().split())
+    found = {x["doc_id"]: x["kept"] for x in quality_rules.apply_rules(docs([(i, bad() if i % 3 == 0 else good()) for i in range(600)])).collect()}
+    assert np.mean([found[i] for i in range(0, 600, 3)]) < 0.02
+    assert np.mean([found[i] for i in range(600) if i % 3]) > 0.97
+
+
 def test_quality_odd(odd, empty):
     assert quality_rules.apply_rules(odd).count() == odd.count()
     assert quality_rules.apply_rules(odd, model_rows=0).count() == odd.count()

@@ -20,8 +20,13 @@ ORDER = 4
 MODEL_ROWS = 4_000_000
 #: Distinct n-grams that a task holds before it hands them on.
 HELD = 1_500_000
-#: A band reaches so many times the distance between a language's median and its 10th or 90th percentile.
-LOWER_WIDTH, UPPER_WIDTH = 4.0, 4.0
+#: A band reaches so many times half the width of the shortest interval that holds half of a language's perplexities, from its
+#: middle: 3 standard deviations of a normal language, which rejects 0.25 % of it, and 5.2 where a third of all rows are bad.
+WIDTH = 4.5
+#: Half that interval's width is at least so much of its middle, as few or very like documents say little about a language.
+LEAST_SPREAD = 0.02
+#: Steps of the percentiles among which the shortest half is sought.
+STEPS = 50
 #: Bands of at most so many languages are sent to the executors.
 BAND_ROWS = 100_000
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -222,9 +227,9 @@ def apply_rules(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
     """One row per document: the shape of its text, base_failed, kept and log_perplexity (per character; null without text).
 
     base_failed: fewer than 50 words, or more than half of the words in three-word windows that repeat. Other documents are
-    kept if their log perplexity is within the band of their language: the median, less LOWER_WIDTH times its distance to the
-    10th percentile, up to UPPER_WIDTH times that to the 90th above it. Percentiles are of the language's documents that pass the
-    base rules. A null language is a language of its own. Null texts are empty and fail. Repeated rows give repeated results.
+    kept if their log perplexity is within the band of their language: WIDTH times half the width of the shortest interval that holds
+    half of the perplexities of its documents that pass the base rules, equal ones counted once. Up to half of them may be bad on
+    one side without opening it. A null language is a language of its own. Null texts are empty and fail. Repeated rows give repeated results.
     """
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
@@ -233,8 +238,12 @@ def apply_rules(docs: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
     scored = stored(_with_arrays(spark, docs, model) if model.count() <= model_rows else _with_join(docs, model), "shape")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     scored = scored.withColumns({"base_failed": failed, "log_perplexity": F.when(F.col("chars") > 0, -F.col("log_p") / F.col("chars")), "_lang": F.coalesce("lang", F.lit("\0"))})
-    marks = scored.filter(~failed).groupBy("_lang").agg(F.percentile_approx("log_perplexity", [0.1, 0.5, 0.9], 10_000).alias("m"))
-    bands = marks.select("_lang", (F.col("m")[1] - LOWER_WIDTH * (F.col("m")[1] - F.col("m")[0])).alias("low"), (F.col("m")[1] + UPPER_WIDTH * (F.col("m")[2] - F.col("m")[1])).alias("high"))
+    values = scored.filter(~failed).select("_lang", "log_perplexity", "n_words").distinct()
+    marks = values.groupBy("_lang").agg(F.percentile_approx("log_perplexity", [i / STEPS for i in range(STEPS + 1)], 10_000).alias("m"))
+    halves = [F.struct((F.col("m")[i + STEPS // 2] - F.col("m")[i]).alias("width"), F.col("m")[i].alias("start")) for i in range(STEPS // 2 + 1)]
+    marks = marks.select("_lang", F.least(*halves).alias("half")).select("_lang", (F.col("half.width") / 2).alias("spread"), (F.col("half.start") + F.col("half.width") / 2).alias("middle"))
+    reach = WIDTH * F.greatest("spread", LEAST_SPREAD * F.col("middle"))
+    bands = marks.select("_lang", (F.col("middle") - reach).alias("low"), (F.col("middle") + reach).alias("high"))
     bands = stored(bands, "bands")
     if bands.count() <= BAND_ROWS:  # else Spark deals both sides out by language and splits large ones
         bands = F.broadcast(bands)
