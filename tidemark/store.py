@@ -10,24 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. If it is unset a temporary one is set in local mode, as in tests; on a cluster, whose
+    executors could not reach it, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:  # as in tests
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _drop_quietly(spark: SparkSession, path: str) -> None:
     try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        drop(spark, path)
     except Exception:  # the session may be gone when Python ends
         pass
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df, written as Parquet and read back, so that lineage ends and nothing is worked out twice."""
-    path = f"{shared_folder(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """df, written as Parquet in the shared folder and read back: lineage ends here, nothing is worked out twice and lost executors
+    lose nothing. `.tidemark_path` of the result is its folder; it goes when Python ends, or earlier with drop()."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_drop_quietly, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tidemark_path = path
+    return out
