@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,12 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import store
+
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and Python.
 BATCH_BYTES = 8 << 20
-#: Rows that a bucket of `running` and `ranked` should hold.
-BUCKET_ROWS = 20_000
+#: Rows that a bucket of `running` and `ranked` should hold, and bits of a bucket's number at least and at most: the sums of a group's
+#: buckets are added up in one task, so they stay few beside the rows.
+BUCKET_ROWS, LEAST_BITS, MOST_BITS = 200, 6, 22
 KEY_BITS = 62
 
 
@@ -32,29 +33,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; if it is unset, as in tests, a temporary one."""
-    # texts are long: batches of rows go by their bytes
+    """The folder in spark.checkpoint.dir (see store); texts are long, so batches of rows go by their bytes from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return store.shared_folder(spark)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _drop_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        drop_table(spark, path)
-    except Exception:  # the session may be gone when Python ends
-        pass
+    store.drop(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -62,13 +47,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     `.tidemark_path` of the result is its folder; it goes when Python ends, or earlier with drop_table().
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop_quietly, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.tidemark_path = path
-    return out
+    shared_folder(df.sparkSession)
+    return store.keep(df, name)
 
 
 #: Rows of ids, with a number each at most, that are sent to the executors; more are joined by a shuffle.
@@ -90,7 +70,7 @@ def key_of(*columns: Column | str) -> Column:
 
 
 def bucket_bits(rows: int) -> int:
-    return max(4, int(np.ceil(np.log2(max(1, rows / BUCKET_ROWS)))) + 4)
+    return int(np.clip(np.ceil(np.log2(max(1, rows / BUCKET_ROWS))), LEAST_BITS, MOST_BITS))
 
 
 def running(df: DataFrame, group: list[str], key: Column, ties: list[Column], value: Column, rows: int, out: str) -> DataFrame:
@@ -166,19 +146,45 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2 ** 64."""
+#: Bytes whose words are hashed at a time: what that takes (some 40 bytes for each) doesn't grow with a text.
+HASHED_BYTES = SLICE_BYTES
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """HASHED_BYTES + 1 powers of an odd base and of its inverse modulo 2 ** 64."""
     state = worker_state()
-    if len(state.get("powers", ((), ()))[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
+    if "powers" not in state:
         out = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             with np.errstate(over="ignore"):
-                out.append(np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, base, np.uint64))]))
+                out.append(np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(HASHED_BYTES, base, np.uint64))]))
         state["powers"] = tuple(out)
     return state["powers"]
 
 
+def _run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hashes of the runs from starts to ends, part by part; a run that is longer than a part is hashed in pieces."""
+    power, inverse = _powers()
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + HASHED_BYTES, "right")))
+        high = int(ends[j - 1])
+        if high - low <= HASHED_BYTES:
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(table[data[low:high]] * power[: high - low], out=sums[1:])
+            out[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * inverse[starts[i:j] - low]
+        else:
+            shift = np.uint64(1)
+            for a in range(low, high, HASHED_BYTES):
+                part = table[data[a : min(high, a + HASHED_BYTES)]]
+                out[i] += (part * power[: len(part)]).sum(dtype=np.uint64) * shift
+                shift *= power[HASHED_BYTES]
+        i = j
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, separator: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts in `data`: 64-bit hashes, first bytes, ends, and n + 1 offsets into these by text.
 
@@ -197,10 +203,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, separ
     table = mix64(np.arange(1, 257, dtype=np.uint64))
     if lower:
         table[65:91] = table[97:123]
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * power[: len(data)], out=sums[1:])
-    hashes = mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    with np.errstate(over="ignore"):
+        hashes = mix64(_run_hashes(data, starts, ends, table) + (ends - starts).astype(np.uint64))
     return hashes, starts, ends, np.searchsorted(starts, offsets, "left")
 
 
