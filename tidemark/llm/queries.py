@@ -43,7 +43,8 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM doc
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(common.documents(spark, sf_dir)).drop("mix_start")
+    # mix_start: -1 for what isn't taken
+    return mixing.mix(common.documents(spark, sf_dir)).drop("starts").na.fill(-1, ["mix_start"])
 
 
 OP2_SQL = r"""
@@ -59,13 +60,22 @@ WITH sized AS (
 ), targets AS (
     SELECT source, source_size, least(most, weight * (SELECT level FROM levels WHERE level * weight <= most ORDER BY most / weight, source LIMIT 1)) AS target FROM levels
 ), queue AS (
-    SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(concat('0:', coalesce(doc_id::VARCHAR, '')))[1:15], doc_id, h
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+    SELECT doc_id, h, size, source_size, target, row_number() OVER () AS row, coalesce(sum(size) OVER (PARTITION BY s.source
+        ORDER BY md5(concat('0:', coalesce(doc_id::VARCHAR, ''), ':', coalesce(h, '')))[1:15], doc_id, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
     FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), epochs AS (
+    SELECT *, e * source_size + first AS start FROM queue, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0 AND e * source_size + first < target
+), packets AS (
+    SELECT *, CASE WHEN start + size > target THEN (size + 63) // 64 ELSE 1 END AS n FROM epochs
+), queued AS (
+    SELECT row, doc_id, h, e, p, CASE WHEN n = 1 THEN size ELSE least(64, size - 64 * p) END AS words, (start + CASE WHEN n = 1 THEN size ELSE least(64 * p + 64, size) END)::DOUBLE / target AS finish
+    FROM (SELECT *, unnest(range(n)) AS p FROM packets)
+), mixed AS (
+    SELECT row, words, coalesce(sum(words) OVER (ORDER BY finish, doc_id, h, e, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS mix_start FROM queued
+), taken AS (
+    SELECT row, sum(least(words, b - mix_start))::BIGINT AS taken, min(mix_start) AS mix_start FROM mixed, (SELECT sum(size) AS b FROM sized) WHERE mix_start < b GROUP BY row
 )
-SELECT doc_id, size, source_size, target,
-    list_sum([least(size, greatest(floor(target)::BIGINT - e * source_size - first, 0)) FOR e IN [0, 1, 2]])::BIGINT AS taken
-FROM queue
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(mix_start, -1)::BIGINT AS mix_start FROM queue LEFT JOIN taken USING (row)
 """
 
 
