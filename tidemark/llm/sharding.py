@@ -6,11 +6,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import key_of, ranked, stored
+from tidemark.llm.common import KEY_BITS, key_of, ranked, stored
 
 SHARDS = 8
-ROUNDS = 5
+ROUNDS = 8
 LAW = "rows"
+#: A hot group's shard is full if it has this share of the shard's rows.
+FULL = 0.97
+#: A group of this share of a shard's rows is large: rows of smaller groups move first.
+LARGE = 0.02
+
+
+def hot_groups(there: DataFrame, room: float, shards: int) -> dict[int, tuple[list[int], int]]:
+    """{grp: (shards of its own, where its other rows wish to be)} of groups that fill whole shards; there: grp, shard, n.
+
+    There are at most `shards` of them. The largest group chooses first, the shards that hold most of it. Its other rows wish for
+    the fullest of its own that isn't full, then for the fullest shard that belongs to none.
+    """
+    hot = there.groupBy("grp").agg(F.sum("n").alias("total")).filter(F.col("total") >= room)
+    rows = there.join(F.broadcast(hot), "grp").collect()  # at most `shards` groups, a row for each shard
+    total = {r["grp"]: r["total"] for r in rows}
+    order = sorted(total, key=lambda g: (-total[g], g))
+    held = {g: sorted(range(shards), key=lambda s: (-count[s], s)) for g in order for count in [{s: 0 for s in range(shards)} | {r["shard"]: r["n"] for r in rows if r["grp"] == g}]}
+    n = {(r["grp"], r["shard"]): r["n"] for r in rows}
+    own: dict[int, list[int]] = {}
+    for g in order:
+        own[g] = [s for s in held[g] if not any(s in o for o in own.values())][: int(total[g] // room)]
+    common = [s for s in range(shards) if not any(s in o for o in own.values())]
+    return {g: (own[g], next((s for s in own[g] if n.get((g, s), 0) < FULL * room), next((s for s in held[g] if s in common), own[g][0]))) for g in order}
 
 
 def _pair(df: DataFrame) -> DataFrame:
@@ -20,16 +43,26 @@ def _pair(df: DataFrame) -> DataFrame:
 def propagate(nodes: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """nodes: row, grp, linked (whether the group has several rows), shard. Returns them with new shards; each shard keeps its count.
 
-    In a round a linked row wishes to be where most of its group is. As many rows go from one shard to another as come back:
-    first those that wish to, then rows without links, which cut no edge wherever they are. So counts never change.
+    In a round a linked row wishes to be where most of its group is. Groups that fill whole shards have these for themselves, and
+    others don't wish for them. As many rows go from one shard to another as come back: first those that wish to, small groups'
+    before large groups', then rows without links, which cut no edge wherever they are. So counts never change.
     """
+    room = rows / shards
     for turn in range(rounds):
         linked, free = nodes.filter("linked"), nodes.filter("NOT linked")
-        there = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"))
+        there = stored(linked.groupBy("grp", "shard").agg(F.count("*").alias("n")), "there")
+        hot = hot_groups(there, room, shards)
+        closed = [s for own, _ in hot.values() for s in own]
         # the fullest shard; of equal ones another for each group, so that groups don't all meet in the first
-        best = there.groupBy("grp").agg(F.max_by("shard", F.struct("n", F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 20)))).alias("wish"))
+        place = F.struct(F.when(F.col("shard").isin(closed), F.lit(-1)).otherwise(F.col("n")), F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 20)))
+        best = there.groupBy("grp").agg(F.max_by("shard", place).alias("wish"), (F.sum("n") >= LARGE * room).alias("large"))
+        for grp, (_, wish) in hot.items():
+            best = best.withColumn("wish", F.when(F.col("grp") == grp, wish).otherwise(F.col("wish")))
         best = stored(best, "best")  # so that the join deals out both sides and Spark can split a hot group
-        movers = linked.join(best, "grp").filter("shard <> wish").select("row", "shard", "wish")
+        stays = F.lit(False)
+        for grp, (own, _) in hot.items():
+            stays |= (F.col("grp") == grp) & F.col("shard").isin(own)
+        movers = linked.join(best, "grp").filter(~stays & (F.col("shard") != F.col("wish"))).select("row", "shard", "wish", "large")
         counts = movers.groupBy("shard", "wish").agg(F.count("*").alias("n"))
         idle = free.groupBy("shard").agg(F.floor(F.count("*") / (shards - 1)).alias("idle"))
         # at most `shards` squared rows from here: how many go from a to b
@@ -44,7 +77,8 @@ def propagate(nodes: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) ->
         quota = stored(grid.select("shard", "wish", "go", "fill"), "quota")
         if not quota.filter("go > 0").take(1):
             return nodes
-        going = ranked(_pair(movers), ["_pair"], key_of("row", F.lit(turn)), [F.col("row")], rows, "_rank").join(F.broadcast(quota), ["shard", "wish"]).filter("_rank < go").select("row", F.col("wish").alias("to"))
+        turns = F.shiftright(key_of("row", F.lit(turn)), 1) + F.when(F.col("large"), F.lit(1 << KEY_BITS - 1)).otherwise(F.lit(0))
+        going = ranked(_pair(movers), ["_pair"], turns, [F.col("row")], rows, "_rank").join(F.broadcast(quota), ["shard", "wish"]).filter("_rank < go").select("row", F.col("wish").alias("to"))
         w = Window.partitionBy("shard").orderBy("wish").rowsBetween(Window.unboundedPreceding, -1)
         fills = quota.filter("fill > 0").select("shard", "wish", F.coalesce(F.sum("fill").over(w), F.lit(0)).alias("_from"), "fill")
         filling = ranked(free.select("row", "shard"), ["shard"], key_of("row", F.lit(turn)), [F.col("row")], rows, "_rank").join(F.broadcast(fills), "shard").filter("_rank >= _from AND _rank < _from + fill").select("row", F.col("wish").alias("to"))
@@ -53,12 +87,20 @@ def propagate(nodes: DataFrame, rows: int, shards: int, rounds: int = ROUNDS) ->
     return nodes
 
 
+def cut_edges(sharded: DataFrame) -> DataFrame:
+    """One row: groups of several equal texts, groups in more than one shard, and the rows of these that are not in their group's fullest shard.
+    sharded: as from shard()."""
+    there = sharded.groupBy("size", "text_crc32", "shard").agg(F.count("*").alias("n"))
+    groups = there.groupBy("size", "text_crc32").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("shards")).filter("n > 1")
+    return groups.agg(F.count("*").alias("groups"), F.count_if(F.col("shards") > 1).alias("split"), F.sum("n").alias("rows"), F.sum(F.col("n") - F.col("most")).alias("apart"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is `rows`).
 
     Equal texts are linked; a null text links with nothing and counts as empty otherwise. The first shards deal rows out in
-    the order of hashed ids, which makes counts at most one apart; moves keep them. slot goes by hashed id as well. Repeated rows
-    are rows of their own. An empty table gives no rows.
+    the order of hashed ids and texts, which makes counts at most one apart; moves keep them. slot goes by the same hash. Repeated rows
+    are rows of their own, very long texts are rows like others, and an empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
