@@ -14,16 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.classifier import remainder
-from tidemark.llm.common import map_text, slices, table_rows
+from tidemark.llm.common import map_text, slices, stored, table_rows
 
 UNKNOWN = "und"
 #: Size of each direction's state; bytes that the network reads in one go (its state starts anew with each span).
 HIDDEN, SPAN = 8, 128
-#: Spans that the network is trained on at most for each language, and from one document.
-SPANS, SPANS_OF_DOCUMENT = 1_500, 4
+#: Spans that the network is trained on at most for each language, from one document, and in all: with more than 200 languages each
+#: has fewer, one document's at least.
+SPANS, SPANS_OF_DOCUMENT, ALL_SPANS = 1_500, 4, 300_000
 EPOCHS, BATCH, RATE, CLIP = 6, 128, 0.01, 1.0
-#: Languages that are learned at most: the most frequent ones.
-LANGUAGES = 200
 
 #: Bytes as the network sees them: A-Z as a-z, digits and control characters as a blank, 0 pads.
 _SEEN = np.arange(256, dtype=np.uint8)
@@ -161,14 +160,15 @@ def training_spans(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     documents are chosen by their hashed ids at a rate that makes up that number.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(False)))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = sorted(row["lang"] for row in counts)
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language sample")), 11) / float(1 << 53)
+    languages = stored(known.groupBy("lang").agg(F.count("*").alias("_n"), F.min(draw).alias("_first")), "languages")
+    names = sorted(row["lang"] for row in languages.select("lang").collect())  # the classes of the network
     if not names:
         return np.zeros((0, SPAN), np.uint8), np.zeros(0, np.int64), []
-    rate = {row["lang"]: min(1.0, SPANS / SPANS_OF_DOCUMENT / row["count"]) for row in counts}
-    rates = F.create_map(*[F.lit(x) for pair in rate.items() for x in pair])
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language sample")), 11) / float(1 << 53)
-    chosen = known.filter(F.try_element_at(rates, F.col("lang")) > draw).select("doc_id", "lang", "text")
+    wanted = max(1.0, min(SPANS, ALL_SPANS / len(names)) / SPANS_OF_DOCUMENT)  # documents of each language
+    # a language of few documents may have none drawn: the one that would be drawn first stands for it
+    chosen = known.withColumn("_draw", draw).join(F.broadcast(languages), "lang").filter((F.col("_draw") < F.lit(wanted) / F.col("_n")) | (F.col("_draw") == F.col("_first")))
+    chosen = chosen.select("doc_id", "lang", "text")
 
     def cut(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
         spans, at = spans_of(data, offsets)
@@ -219,8 +219,9 @@ def identify(docs: DataFrame, model: tuple[ByteNetwork | None, list[str]] | None
 
     Without a model, one is trained on the documents whose crc32(doc_id as text) mod 4 is not 2. Predictions come from the text
     alone. score: the language's share of the pooled probability, each position's log probabilities averaged and made sum to 1
-    again. `und` with score 0 if the text is null, empty or without a letter, or if no language was learned. Repeated rows
-    give repeated results; a null id is never held out and never learned from.
+    again. `und` with score 0 if the text is null, empty or without a letter, or if no language was learned. A very long text counts
+    with all its spans. Repeated rows give repeated results; a null id is never held out and never learned from. An empty table gives no
+    rows. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or fitted(docs))
     held_out = F.coalesce(remainder(docs["doc_id"].cast("long"), 4) == 2, F.lit(False))
