@@ -72,8 +72,9 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     One range shuffle brings neighbours together; each partition works on rows as they stream by and keeps one of them. Its
     first and last row go to a small table, where the last row of a partition meets the first of the next one with rows (after
-    the last partition: of the first one). Null texts are empty. Null ids come first; rows with the same id go by their texts;
-    the only row of a table is its own next. An empty table gives no rows.
+    the last partition: of the first one). Null texts are empty, very long ones are digested part by part. Null ids come first; rows
+    with the same id go by their texts' hashes; the only row of a table is its own next. An empty table gives no rows. Other columns
+    are ignored.
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     ends = ", part int, head string, tail string"
@@ -99,7 +100,9 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         if held:
             yield table_rows(dict(zip(names, zip((held[0], *[None] * 6, part, None, held[1]), strict=True), strict=True)), kind)
 
-    walked = stored(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(walk, SCHEMA + ends), "fingerprint")
+    # the text's hash parts rows of one id (or of none)
+    keyed = docs.withColumn("_hash", F.xxhash64("text")).repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
+    walked = stored(keyed.select("doc_id", "text").mapInArrow(walk, SCHEMA + ends), "fingerprint")
     heads, tails = walked.filter("head IS NOT NULL").select("part", "head"), walked.filter("tail IS NOT NULL").select("part", "doc_id", "tail")
     # two rows for each partition, without texts
     everywhere = Window.partitionBy(F.lit(0)).orderBy("part")
