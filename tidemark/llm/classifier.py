@@ -203,8 +203,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
     Learns from rows of `labels` (doc_id, quality) whose crc32(doc_id as text) mod 3 is not 1, of at most `sample` documents,
     those with the smallest hashed ids. Labels that are null or neither 0 nor 1 are left out; of several labels of a document
-    the mean counts, 0.5 as 1. Features come from the whole text alone; null and empty texts have zeros as features. A null
-    id is never held out and never learned from. Repeated rows give repeated results.
+    the mean counts, 0.5 as 1. Features come from the whole text alone, however long; null and empty texts have zeros as features.
+    A null id is never held out and never learned from. Repeated rows give repeated results; of texts that share an id the one with
+    the smallest features is learned from. An empty table gives no rows, one without labels scores of 0.5. Other columns are ignored.
     """
     rows = map_text(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), "doc_id long, x array<float>", _feature_rows)
     features = stored(rows, "features")
@@ -212,7 +213,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     known = known.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 3) != 1))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    learned = features.join(known, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    learned = features.join(known, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("quality").alias("quality")).orderBy("doc_id").toPandas()
     x = np.array(learned["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     model = features.sparkSession.sparkContext.broadcast(fit(x, learned["quality"].to_numpy(float)))
     schema = "doc_id long, held_out boolean, score double, predicted int"
