@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_schema, drop_table, mix64, signed, slices, stored, table_rows, windows, word_hashes
+from tidemark.llm.common import BROADCAST_ROWS, arrow_schema, drop_table, mix64, signed, slices, stored, table_rows, windows, word_hashes
 
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -38,6 +38,8 @@ SEEDS = 2
 FANOUT = 8
 #: Documents in candidate pairs that are looked up by a broadcast set of ids; more are looked up by a join.
 BROADCAST_IDS = 1_000_000
+#: Parts that a label's nodes are dealt to where labels are too many to be sent.
+SALTS = 64
 
 
 # --- sets ------------------------------------------------------------------------------------------------------------
@@ -241,7 +243,8 @@ def seed_pairs(blocks: DataFrame) -> DataFrame:
 
 
 def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """(block, m, doc_id, n, comp): documents of blocks of several components, blocks with the same smallest component put together.
+    """(block, m, most, main, doc_id, n, comp): documents of blocks of several components, blocks with the same smallest component put
+    together; `main` is the component that most of a block's documents have, `most` how many these are.
 
     So a document stands once among the near copies of a group, however many blocks it shares with them.
     """
@@ -250,8 +253,9 @@ def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     several = named.groupBy("block").agg(F.min("comp").alias("lead"), F.max("comp").alias("_b")).filter("lead <> _b").select("block", "lead")
     rows = named.join(stored(several, "open"), "block").select("lead", "doc_id", "n", "comp").distinct()
     rows = stored(rows, "rows")
-    sizes = stored(rows.groupBy("lead").agg(F.count("*").alias("m")), "sizes")
-    return rows.join(sizes, "lead").withColumnRenamed("lead", "block")
+    counts = rows.groupBy("lead", "comp").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("lead").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    return rows.join(stored(sizes, "sizes"), "lead").withColumnRenamed("lead", "block")
 
 
 # --- signature trees ---------------------------------------------------------------------------------------------------
@@ -329,14 +333,20 @@ def dual_traversal(x: Node, y: Node) -> Iterator[tuple[int, int]]:
 
 
 def tree_pairs(rows: DataFrame, reps: DataFrame, forest: bool) -> DataFrame:
-    """(a, b, more) that the trees of open blocks leave over. Large blocks are cut; each pair of their parts is a task's group.
+    """(a, b, more) that the trees of open blocks leave over. Large blocks are cut; each pair of their parts is a task's group, but for
+    pairs of parts of the main component, of which nothing need be tested: a group of near copies with few strangers in its blocks is
+    sent about once for each TREE_ROWS strangers, not once for each part of its own.
 
     forest: a group gives no candidate that its others make needless, should they be links; `more` tells that it held some back."""
     schema = "a long, b long, more boolean"
     kind = arrow_schema(schema)
-    parts = F.ceil(F.col("m") / TREE_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    whole, is_main = F.col("m") <= TREE_ROWS, F.col("comp") == F.col("main")
+    of_main = F.when(whole, 0).otherwise(F.ceil(F.col("most") / TREE_ROWS)).cast("int")
+    others = F.when(whole, 1).otherwise(F.ceil((F.col("m") - F.col("most")) / TREE_ROWS)).cast("int")
+    dealt = F.xxhash64("doc_id")
+    own = F.when(whole, 0).when(is_main, F.pmod(dealt, F.greatest("of_main", F.lit(1)))).otherwise(F.col("of_main") + F.pmod(dealt, F.col("others"))).cast("int")
+    first = F.when(~whole & is_main, F.col("of_main")).otherwise(0)
+    rows = rows.withColumns({"of_main": of_main, "others": others}).withColumn("own", own).withColumn("other", F.explode(F.sequence(first, F.col("of_main") + F.col("others") - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     rows = rows.join(reps.select("doc_id", "bits"), "doc_id").select("block", "i", "j", "own", "doc_id", "n", "comp", "bits")
     dealt = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id")
@@ -433,6 +443,23 @@ def tested(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, schema), "tested")
 
 
+def _followed(lower: DataFrame) -> DataFrame:
+    """(node, was, label): each label replaced by the label that it has itself. lower: node, was, label, stored.
+
+    Most nodes may have one label, so it is no join by label of all of them: labels that fall are few rows, distinct on both
+    sides, and go to every task, or beyond BROADCAST_ROWS to SALTS parts of their nodes.
+    """
+    used = lower.select("label").distinct()
+    falling = lower.filter("label < node").select(F.col("node").alias("label"), F.col("label").alias("next")).join(used, "label", "left_semi")
+    falling = stored(falling, "falling")
+    if falling.count() <= BROADCAST_ROWS:
+        met = lower.join(F.broadcast(falling), "label", "left")
+    else:
+        salted = falling.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = lower.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["label", "_salt"], "left")
+    return met.select("node", "was", F.coalesce("next", "label").alias("label"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for all ends of edges (a, b): label is the smallest node that can be reached. Labels fall to the neighbours'
     smallest and then to their label's label, so the turns grow with the logarithm of a component's width."""
@@ -440,11 +467,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        ahead = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = stored(lower.join(ahead, "label", "left").select("node", "was", F.least("label", "next").alias("label")), "labels")
+        lower = stored(labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "lower")
+        new = stored(_followed(lower), "labels")
         moved = new.filter("was <> label").limit(1).count()
-        drop_table(new.sparkSession, labels.tidemark_path)
+        for done in (labels, lower):
+            drop_table(new.sparkSession, done.tidemark_path)
         labels = new
         if not moved:
             return labels.select("node", "label")
@@ -457,7 +484,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, the document's own included).
 
     Documents without words, or with a null text, link with nothing. A null doc_id is left with a null component and links with
-    nothing. Rows that repeat a doc_id are one node of the graph, linked with whatever any of them is. Empty tables give no rows.
+    nothing. Rows that repeat a doc_id are one node of the graph, linked with whatever any of them is. Equal texts are one class, very
+    long ones are compared whole. Empty tables give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
