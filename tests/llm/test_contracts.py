@@ -75,6 +75,19 @@ def test_ngram_join(docs, corpus, monkeypatch):
     assert found == brute_components([(r[0], r[1]) for r in corpus])
 
 
+def test_components(spark, monkeypatch):
+    """Both ways to follow labels, on a long path, a star and cliques."""
+    r = random.Random(4)
+    order = r.sample(range(30), 30)
+    edges = list(zip(order, order[1:], strict=False)) + [(300, 300 + k) for k in range(1, 80)] + [(400 + 5 * k + a, 400 + 5 * k + b) for k in range(9) for a in range(5) for b in range(a)]
+    wanted = {i: 0 for i in range(30)} | {300 + k: 300 for k in range(80)} | {400 + 5 * k + a: 400 + 5 * k for k in range(9) for a in range(5)}
+    table = spark.createDataFrame(edges, "a long, b long")
+    monkeypatch.setattr(ngram_join, "SALTS", 4)
+    for most in (1_000_000, -1):
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", most)
+        assert {x["node"]: x["label"] for x in ngram_join.components(table).collect()} == wanted
+
+
 def test_ngram_join_odd(odd, empty):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(odd).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6)} <= rows
