@@ -51,6 +51,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return store.keep(df, name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
 #: Rows of ids, with a number each at most, that are sent to the executors; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
