@@ -359,7 +359,8 @@ def places(bins: Solution, capacity: int) -> dict[str, np.ndarray]:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is its closing 0 alone. Rows with the same id are packed each on its own. An empty table gives no rows.
+    A null or empty text is its closing 0 alone; a very long one is as many pieces as it needs. Rows with the same id, and equal rows,
+    are packed each on its own. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     pieces = stored(tokenised(docs, tokenizer_path, capacity), "pieces")
