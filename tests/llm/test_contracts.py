@@ -567,6 +567,39 @@ def test_genetic_packing():
     assert packing._unpacked(packing._packed(best)) == best
 
 
+def triplets(n):
+    """Lengths that fill n sequences exactly, three to each; largest first leaves gaps."""
+    r = np.random.default_rng(n)
+    out = {}
+    for _ in range(n):
+        a = int(r.integers(690, 1000))
+        b = int(r.integers(400, 2048 - a - 300))
+        for k in (a, b, 2048 - a - b):
+            out[k] = out.get(k, 0) + 1
+    return out
+
+
+def islands(pieces, epochs, migrate):
+    """Bins of the best solution after each epoch, with or without each island's best going to the next one."""
+    held, out = [[] for _ in range(packing.ISLANDS)], []
+    for epoch in range(epochs):
+        held = [packing.evolve(own, pieces, 2048, packing.GENERATIONS, 1000 * epoch + i) for i, own in enumerate(held)]
+        out.append(min(sum(own[0].values()) for own in held))
+        if migrate:
+            best = [own[0] for own in held]
+            held = [[*own[: packing.POPULATION - 1], best[i - 1]] for i, own in enumerate(held)]
+    return out
+
+
+def test_crossover_and_migration_lower_the_count(spark):
+    pieces = triplets(300)
+    first = [sum(packing.pack_new(dict(pieces), 2048, np.random.default_rng(k), 0.1 * k).values()) for k in range(packing.POPULATION)]
+    alone, together = islands(pieces, packing.EPOCHS, False), islands(pieces, packing.EPOCHS, True)
+    assert together[-1] < alone[-1] < min(first)  # 308, 309 and 311 sequences; 300 would do
+    best = packing.solve(spark, pieces)
+    assert packing.taken(best) == pieces and sum(best.values()) == together[-1]
+
+
 def test_packing_odd(odd, empty, tokenizer):
     found = packing.pack(odd, tokenizer[0]).collect()
     assert {r["doc_id"] for r in found} == {r["doc_id"] for r in odd.collect()}
