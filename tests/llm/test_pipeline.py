@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import __spark_entry__
+from tidemark.llm import mixing
 from tidemark.llm.common import stored
 
 
@@ -25,6 +26,38 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in seen["best_fit_packing"].collect()} == set(ids("source_mixing"))
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids and columns, repeated ids with different texts, columns of the stages' own names; and the order of the mix."""
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(i, say(i), "en", f"s{i % 2}") for i in range(30)] + [(None, say(40), "en", None), (None, say(41), None, "s1"), (5, say(50), "en", "s1"), (5, say(50), "en", "s1"), (60, None, None, None)]
+    names = ["_copy", "_copies", "_id", "_spans", "_start", "_times", "row", "word", "n"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) as long) AS n_chars", *[f"'x' AS {n}" for n in names])
+    columns, ids = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, str(tmp_path)), name)
+        ids[name] = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        if name != "best_fit_packing":
+            assert docs.columns == columns
+    assert ids["ngram_jaccard_join"].count(5) == 1 and ids["ngram_jaccard_join"].count(None) == 2
+    assert ids["substring_dedup"].count(None) == 2 and len(ids["source_mixing"]) >= 30
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() == 0
+
+
+def test_the_mix_is_in_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "w " * 60, "en", f"s{i % 2}") for i in range(60)], "doc_id long, text string, lang string, source string")
+    start = {r["doc_id"]: r["starts"] for r in mixing.mix(docs).collect()}
+    found = [r["doc_id"] for r in corpus_pipeline.source_mixing(spark, docs, str(tmp_path)).collect()]
+    left = {i: list(s) for i, s in start.items()}
+    places = [left[i].pop(0) for i in found]
+    assert places == sorted(places)
+
+
 def test_registry():
     names = list(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
