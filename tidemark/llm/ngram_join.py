@@ -6,7 +6,7 @@
 3. Seeds: the documents of a block are tested against the one that leads it, the two most frequent ones for each document. That joins
    large groups of near copies with a number of tests that is linear in their size.
 4. Trees: blocks that still hold several components become signature trees. A node has the OR of its documents' token bitmaps,
-   their range of sizes and, if they agree, their component. A dual traversal drops pairs of nodes whose largest possible overlap is
+   their range of sizes and, if they agree, their component. Large blocks are cut by size. A dual traversal drops pairs of nodes whose largest possible overlap is
    too small for their sizes, or that are of one component. What reaches the leaves is tested: first, for each block, a forest
    of them, then, with the components that it makes, all that is left.
 
@@ -33,6 +33,8 @@ PERCENT = 75
 HEAVY_LEAST, HEAVY_CHUNK, HEAVY_TOKENS = 4, 1_000_000, 200_000
 #: Prefix tokens that a group of the block search should hold, and documents of a block that go into one tree.
 GROUP_TOKENS, TREE_ROWS = 400_000, 512
+#: Linked sets are no further apart in size than 100 / PERCENT, so at most one such step.
+STEP = 1.334
 #: Seeds of a document.
 SEEDS = 2
 FANOUT = 8
@@ -243,8 +245,8 @@ def seed_pairs(blocks: DataFrame) -> DataFrame:
 
 
 def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """(block, m, most, main, doc_id, n, comp): documents of blocks of several components, blocks with the same smallest component put
-    together; `main` is the component that most of a block's documents have, `most` how many these are.
+    """(block, m, main, doc_id, n, comp): documents of blocks of several components, blocks with the same smallest component put
+    together; `main` is the component that most of a block's documents have.
 
     So a document stands once among the near copies of a group, however many blocks it shares with them.
     """
@@ -254,7 +256,7 @@ def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     rows = named.join(stored(several, "open"), "block").select("lead", "doc_id", "n", "comp").distinct()
     rows = stored(rows, "rows")
     counts = rows.groupBy("lead", "comp").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("lead").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    sizes = counts.groupBy("lead").agg(F.sum("c").alias("m"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
     return rows.join(stored(sizes, "sizes"), "lead").withColumnRenamed("lead", "block")
 
 
@@ -332,24 +334,43 @@ def dual_traversal(x: Node, y: Node) -> Iterator[tuple[int, int]]:
                 stack += [(x, z) for z in y.children]
 
 
+def tree_parts(rows: DataFrame) -> DataFrame:
+    """Rows of open_blocks() once for each group that they are in: block, sub, i, j, own (their part, i or j), doc_id, n, comp.
+
+    Of a block of at most TREE_ROWS documents those stay that have one of a linkable size beside them. A larger one is cut by size. Sizes go by steps of a little more than the largest ratio of linked
+    sets, so a group `sub` needs the documents of a step and of the next larger one, and no two of the larger ones meet in it. Nor
+    need two of the main component. What must meet in a group is cut into parts of TREE_ROWS, and each pair of these is a tree pair.
+    """
+    by_size = Window.partitionBy("block").orderBy("n")
+    near = F.coalesce(100 * F.lag("n").over(by_size) >= PERCENT * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= PERCENT * F.lead("n").over(by_size), F.lit(False))
+    small = rows.filter(F.col("m") <= TREE_ROWS).withColumn("near", near).filter("near").drop("near")
+    rows = small.unionByName(rows.filter(F.col("m") > TREE_ROWS))
+    whole, step = F.col("m") <= TREE_ROWS, F.floor(F.log("n") / float(np.log(STEP))).cast("int")
+    rows = rows.withColumn("step", step).withColumn("sub", F.explode(F.when(whole, F.array(F.lit(-9))).otherwise(F.array(F.col("step"), F.col("step") - 1))))
+    larger = F.when(~whole & (F.col("step") > F.col("sub")), 2).otherwise(0)
+    # 0, 1: of the step; 2, 3: of the next; odd: not of the main component
+    rows = rows.withColumn("kind", F.when(whole, 1).otherwise(larger + (F.col("comp") != F.col("main")).cast("int")))
+    rows = stored(rows.select("block", "sub", "kind", "doc_id", "n", "comp"), "parts")
+    counts = rows.groupBy("block", "sub").agg(*[F.ceil(F.count_if(F.col("kind") == k) / TREE_ROWS).alias(f"p{k}") for k in range(4)])
+    first = [F.lit(0), F.col("p0"), F.col("p0") + F.col("p1"), F.col("p0") + F.col("p1") + F.col("p2")]
+    counts = stored(counts.select("block", "sub", F.array(*[F.col(f"p{k}") for k in range(4)]).alias("parts"), F.array(*first).alias("first")), "counts")
+    rows = rows.join(counts, ["block", "sub"])
+    start = lambda k: F.col("first")[k]
+    kind = F.col("kind")
+    meets = lambda i: F.when(kind == 0, (i >= start(1)) & ((i < start(2)) | (i >= start(3)))).when(kind == 1, True).when(kind == 2, (i >= start(1)) & (i < start(2))).otherwise(i < start(2))
+    own = F.col("first")[kind] + F.pmod(F.xxhash64("doc_id"), F.col("parts")[kind])
+    rows = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), (start(3) + F.col("parts")[3] - 1).cast("int")), meets)))
+    return rows.select("block", "sub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "comp")
+
+
 def tree_pairs(rows: DataFrame, reps: DataFrame, forest: bool) -> DataFrame:
-    """(a, b, more) that the trees of open blocks leave over. Large blocks are cut; each pair of their parts is a task's group, but for
-    pairs of parts of the main component, of which nothing need be tested: a group of near copies with few strangers in its blocks is
-    sent about once for each TREE_ROWS strangers, not once for each part of its own.
+    """(a, b, more) that the trees of open blocks leave over. Each pair of parts is a task's group.
 
     forest: a group gives no candidate that its others make needless, should they be links; `more` tells that it held some back."""
     schema = "a long, b long, more boolean"
     kind = arrow_schema(schema)
-    whole, is_main = F.col("m") <= TREE_ROWS, F.col("comp") == F.col("main")
-    of_main = F.when(whole, 0).otherwise(F.ceil(F.col("most") / TREE_ROWS)).cast("int")
-    others = F.when(whole, 1).otherwise(F.ceil((F.col("m") - F.col("most")) / TREE_ROWS)).cast("int")
-    dealt = F.xxhash64("doc_id")
-    own = F.when(whole, 0).when(is_main, F.pmod(dealt, F.greatest("of_main", F.lit(1)))).otherwise(F.col("of_main") + F.pmod(dealt, F.col("others"))).cast("int")
-    first = F.when(~whole & is_main, F.col("of_main")).otherwise(0)
-    rows = rows.withColumns({"of_main": of_main, "others": others}).withColumn("own", own).withColumn("other", F.explode(F.sequence(first, F.col("of_main") + F.col("others") - 1)))
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    rows = rows.join(reps.select("doc_id", "bits"), "doc_id").select("block", "i", "j", "own", "doc_id", "n", "comp", "bits")
-    dealt = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id")
+    rows = tree_parts(rows).join(reps.select("doc_id", "bits"), "doc_id").select("block", "sub", "i", "j", "own", "doc_id", "n", "comp", "bits")
+    dealt = rows.repartition("block", "sub", "i", "j").sortWithinPartitions("block", "sub", "i", "j", "doc_id")
 
     def of_group(group: list[dict]) -> tuple[list[int], list[int], bool]:
         leaves = [leaf_of(k, r["n"], r["comp"], r["bits"]) for k, r in enumerate(group)]
@@ -384,7 +405,7 @@ def tree_pairs(rows: DataFrame, reps: DataFrame, forest: bool) -> DataFrame:
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if held and (held[0]["block"], held[0]["i"], held[0]["j"]) != (row["block"], row["i"], row["j"]):
+                if held and any(held[0][k] != row[k] for k in ("block", "sub", "i", "j")):
                     a, b, more = of_group(held)
                     if a:
                         yield table_rows({"a": a, "b": b, "more": [more] * len(a)}, kind)
