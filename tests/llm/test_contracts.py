@@ -541,6 +541,20 @@ def test_passage_whose_lines_stand_alone_before(docs):
     assert wanted <= found
 
 
+def test_text_that_repeats_itself_makes_few_chains(docs):
+    r = random.Random(6)
+    say = lambda n: ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(n)]
+    line = say(12)
+    rows = [(1, " ".join(say(40) + ["the"] * 600 + say(20) + line * 9)), (2, " ".join(say(10) + ["the"] * 400 + say(30) + line * 8 + say(9)))]
+    table = docs(rows)
+    assert substring.chains(substring.matches(table)).count() <= 12
+    covered = set()
+    for x in substring.shared_passages(table).collect():
+        assert (x["doc_id"], x["source_doc_id"]) == (2, 1)
+        covered.update(range(x["start_word"], x["end_word"]))
+    assert set(range(10, 410)) | set(range(440, 536)) <= covered and not covered & set(range(0, 10))
+
+
 def test_long_gap_with_equal_words():
     one = np.arange(3000)
     other = one.copy()
