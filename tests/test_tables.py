@@ -103,3 +103,27 @@ def test_compaction():
     renamed = renamed_columns([headers, edit("tabular.remove_column", {"name": "b"}), edit("tabular.add_column", {"name": "c"})], [("b", "c")])
     assert [e["verb"] for e in renamed] == ["tabular.rename_column"]
     assert reordered_columns([edit("tabular.set_headers", {"from": ["a", "b", "c"], "to": ["c", "a", "b"]})])[0]["params"]["order"] == ["c", "a", "b"]
+
+
+def test_sorted_edits_beyond_the_limit_are_summed_up(spark, monkeypatch):
+    from tidemark.plans import tables
+
+    def table(data):
+        return tables.Table("", ["a", "b"], spark.createDataFrame([(i, *r) for i, r in enumerate(data)], f"{ROW} long, a string, b string"))
+
+    left, right = table([(f"{i:03}", "x") for i in range(40)]), table([(f"{i:03}", "y" if i % 2 else "x") for i in range(40)][::-1])
+    pairs = rows.sorted_pairs(left.df, right.df)
+    stats = rows.churn(left.df, right.df, pairs).first()
+    whole = tables._sorted_edits(left, right, pairs, 40, stats)
+    assert sum(e["verb"] == "tabular.edit_cell" for e in whole) == stats["changed_cells"] == 20
+    monkeypatch.setattr(tables, "EDIT_LIMIT", 5)
+    summed = tables._sorted_edits(left, right, pairs, 40, stats)[-1]["params"]
+    assert summed["cells_changed"] == 20 and summed["examples"]["truncated"] and len(summed["examples"]["modified"]) == 16
+
+
+def test_byte_changes_of_a_null_side(spark):
+    from tidemark.operators.binary import byte_changes
+
+    pairs = spark.createDataFrame([(1, None, bytearray(b"abc")), (2, bytearray(b"abc"), bytearray(b"abc"))], "k long, l binary, r binary")
+    found = {r["k"]: (r["left_size"], r["right_size"]) for r in byte_changes(pairs, ["k"]).collect()}
+    assert found == {1: (0, 3), 2: (3, 3)}

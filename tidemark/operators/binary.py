@@ -79,7 +79,7 @@ def string_changes(a: bytes, b: bytes) -> tuple[list[str], list[str]]:
 
 
 def byte_changes(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """pairs: by, l, r (binary). Sizes, unchanged bytes, number of changed regions, strings added and removed."""
+    """pairs: by, l, r (binary). Sizes, unchanged bytes, number of changed regions, strings added and removed. A null side is empty."""
     types = dict(pairs.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in by) + ", left_size long, right_size long, unchanged long, regions long, strings_added array<string>, strings_removed array<string>"
 
@@ -87,7 +87,7 @@ def byte_changes(pairs: DataFrame, by: list[str]) -> DataFrame:
         for part in parts:
             rows = []
             for a, b in zip(part["l"], part["r"], strict=True):
-                a, b = bytes(a), bytes(b)
+                a, b = bytes(a or b""), bytes(b or b"")
                 found, (added, removed) = changed_regions(a, b), string_changes(a, b)
                 rows.append((found["left_size"], found["right_size"], found["unchanged"], len(found["regions"]), added, removed))
             out = part[by].copy()

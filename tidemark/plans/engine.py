@@ -358,6 +358,8 @@ def partitions(left: DataFrame, right: DataFrame, links: list, config: Config) -
     def tokens(items: DataFrame, side: str) -> DataFrame | None:
         free = [r for r in items.filter("NOT is_dir AND ext IN ('.csv', '.tsv')").select("path", "ext", "physical").collect() if r["path"] not in linked[side]]
         out = None
+        if len(free) > PARTITION_SIDE:
+            diagnostics.append(diagnostic("warning", "partition_limit", f"of {len(free)} unpaired tables {PARTITION_SIDE} were searched for split and merged ones", side))
         for r in free[:PARTITION_SIDE]:
             for t in read_tables(items, r["path"], r["ext"], r["physical"], config.of(r["path"])):
                 cells = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`"), F.lit("\0")) for c in t.columns])
@@ -365,8 +367,8 @@ def partitions(left: DataFrame, right: DataFrame, links: list, config: Config) -
                 out = one if out is None else out.unionByName(one)
         return out
 
-    a, b = tokens(left, "left"), tokens(right, "right")
     claims, diagnostics = [], []
+    a, b = tokens(left, "left"), tokens(right, "right")
     if a is None or b is None:
         return claims, diagnostics
     a, b = keep(a), keep(b)

@@ -276,9 +276,14 @@ def _sorted_edits(left: Table, right: Table, pairs: DataFrame, n: int, stats) ->
     if not stats["changed_cells"]:
         return [edit("tabular.reorder_rows", {"alignment": "sorted_row_content", "rows": n}, ("row-reorder",))]
     by = pairs.withColumns({"left_row": F.col(f"l.{ROW}"), "right_row": F.col(f"r.{ROW}")})
-    cells = rows.changed_cells(by, rows.common_columns(left.df, right.df), ["left_row", "right_row"]).orderBy("left_row", "column").limit(EDIT_LIMIT).collect()
+    most = EDIT_LIMIT if stats["changed_cells"] <= EDIT_LIMIT else EXAMPLES
+    cells = rows.changed_cells(by, rows.common_columns(left.df, right.df), ["left_row", "right_row"]).orderBy("left_row", "column").limit(most).collect()
     out = [edit("tabular.sorted_row_alignment", {"left_rows": n, "right_rows": n, "changed_cells": stats["changed_cells"], "changed_rows": stats["changed_rows"]}, ("row-alignment-inferred",), False)]
-    return out + [edit("tabular.edit_cell", {"left_row": c["left_row"], "right_row": c["right_row"], "alignment": "sorted_row_content", "column": c["column"], "from": c["from"], "to": c["to"]}, ("cell-change",)) for c in cells]
+    found = [edit("tabular.edit_cell", {"left_row": c["left_row"], "right_row": c["right_row"], "alignment": "sorted_row_content", "column": c["column"], "from": c["from"], "to": c["to"]}, ("cell-change",)) for c in cells]
+    if most == EDIT_LIMIT:
+        return out + found
+    examples = {"removed": [], "added": [], "modified": [e["params"] for e in found], "truncated": True}
+    return [*out, edit("tabular.keyed_stream_summary", {"keys": [], "rows_removed": 0, "rows_added": 0, "cells_changed": stats["changed_cells"], "examples": examples}, ("cell-change",))]
 
 
 def _inserted_rows(left: Table, right: Table, common: list[str]) -> list[Edit] | None:
