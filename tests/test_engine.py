@@ -95,6 +95,31 @@ def test_facts(changeset, path, action, tags):
     assert node and node.action == action and set(node.tags) == tags
 
 
+@pytest.mark.parametrize(
+    ("config", "right", "places"),
+    [
+        ({}, "id,state,score\n1,a,10\n2,B,20\n3,c,30\n4,d,40\n", [{"row": 1}]),
+        ({"dataset": {"defaults": {"row_identity": {"columns": ["id"]}}}}, "id,state,score\n4,d,40\n1,a,10\n3,c,30\n2,B,20\n", [{"key": {"id": "2"}}]),
+    ],
+)
+def test_renamed_columns_keep_changed_cells(spark, tmp_path, config, right, places):
+    a = write(tmp_path / "a", {"t.csv": "id,status,score\n1,a,10\n2,b,20\n3,c,30\n4,d,40\n"})
+    found = api.diff(spark, a, write(tmp_path / "b", {"t.csv": right}), config).find("t.csv")
+    assert {"column-rename", "cell-change"} <= set(found.tags)
+    cells = [e["params"] for e in found.edits if e["verb"] == "tabular.edit_cell"]
+    assert cells == [{**p, "column": "state", "from": "b", "to": "B"} for p in places]
+
+
+@pytest.mark.parametrize(
+    ("config", "place"), [({}, {"row": 1}), ({"dataset": {"defaults": {"row_identity": {"columns": ["a.b"]}}}}, {"key": {"a.b": "y"}})]
+)
+def test_columns_with_dots(spark, tmp_path, config, place):
+    a = write(tmp_path / "a", {"t.csv": "a.b,c.`d\nx,1\ny,2\nz,3\n"})
+    found = api.diff(spark, a, write(tmp_path / "b", {"t.csv": "a.b,c.`d\nx,1\ny,5\nz,3\n"}), config).find("t.csv")
+    cells = [e["params"] for e in found.edits if e["verb"] == "tabular.edit_cell"]
+    assert cells == [{**place, "column": "c.`d", "from": "2", "to": "5"}]
+
+
 def test_claims_and_identical(changeset):
     found = changeset[0]
     assert found.claims == [{"verb": "split", "whole": "all.csv", "parts": ["y20.csv", "y21.csv"], "covered": 3, "residual": 0}]

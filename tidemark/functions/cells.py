@@ -10,6 +10,11 @@ SENTINELS = ("*", "(D)", "(S)", "")
 MAX_DIGITS = 36
 
 
+def named(column: str, of: str = "") -> Column:
+    """The column of that very name, whatever dots or backticks are in it; of: the struct that has it."""
+    return F.col((f"{of}." if of else "") + "`" + column.replace("`", "``") + "`")
+
+
 def is_blank(c: Column) -> Column:
     """Null, or nothing but white space."""
     return c.isNull() | F.regexp_like(c.cast("string"), F.lit(r"^\s*$"))

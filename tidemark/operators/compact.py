@@ -40,8 +40,9 @@ def edit(verb: str, params: dict, tags: tuple[str, ...] = (), visible: bool = Tr
     return {"verb": verb, "params": params, "tags": sorted(tags), "visible": visible}
 
 
-def renamed_columns(edits: list[Edit], pairs: list[tuple[str, str]]) -> list[Edit] | None:
-    """Removed and added columns that are one column become rename_column; a set_headers that says no more goes."""
+def renamed_columns(edits: list[Edit], pairs: list[tuple[str, str]], cells: list[Edit] = []) -> list[Edit] | None:
+    """Removed and added columns that are one column become rename_column; a set_headers that says no more goes. cells: edits of
+    the cells of these columns that changed besides."""
     if not pairs:
         return None
     gone, came = {a for a, _ in pairs}, {b for _, b in pairs}
@@ -50,7 +51,7 @@ def renamed_columns(edits: list[Edit], pairs: list[tuple[str, str]]) -> list[Edi
     headers = next((e for e in out if e["verb"] == "tabular.set_headers"), None)
     if headers and [names.get(c, c) for c in headers["params"]["from"]] == headers["params"]["to"]:
         out.remove(headers)
-    return [edit("tabular.rename_column", {"from": a, "to": b}, ("column-rename", "schema-change")) for a, b in pairs] + out
+    return [edit("tabular.rename_column", {"from": a, "to": b}, ("column-rename", "schema-change")) for a, b in pairs] + out + cells
 
 
 def reordered_columns(edits: list[Edit]) -> list[Edit] | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cells import is_blank
+from tidemark.functions.cells import is_blank, named
 from tidemark.operators.order import ROW
 from tidemark.operators.rows import common_columns, keyed_pairs
 
@@ -17,7 +17,7 @@ RENAME_VALUES, RENAME_SHARE = 2, 0.10
 
 
 def _values(df: DataFrame, columns: list[str], side: str) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("value")) for c in columns])
     return df.select(F.inline(cells)).withColumn("side", F.lit(side))
 
 
@@ -57,12 +57,17 @@ def infer_key(left: DataFrame, right: DataFrame, most: int | None = KEY_ROWS) ->
 
 
 def rename_scores(left: DataFrame, right: DataFrame, by: list[str], removed: list[str], added: list[str]) -> DataFrame:
-    """removed, added, equal, rows: equal non-blank values of each removed and added column in rows aligned by `by`; only pairs with
+    """scores_of_pairs() of rows aligned by `by`."""
+    pairs = keyed_pairs(left, right, by) if by != [ROW] else left.select(ROW, F.struct(*map(named, removed)).alias("l")).join(right.select(ROW, F.struct(*map(named, added)).alias("r")), ROW)
+    return scores_of_pairs(pairs, removed, added)
+
+
+def scores_of_pairs(pairs: DataFrame, removed: list[str], added: list[str]) -> DataFrame:
+    """removed, added, equal, rows: equal non-blank values of each removed and added column in aligned rows (l, r); only pairs with
     RENAME_VALUES equal ones that are RENAME_SHARE of the rows."""
-    pairs = keyed_pairs(left, right, by) if by != [ROW] else left.select(ROW, F.struct(*removed).alias("l")).join(right.select(ROW, F.struct(*added).alias("r")), ROW)
     both = pairs.filter("l IS NOT NULL AND r IS NOT NULL")
     cells = [
-        F.struct(F.lit(a).alias("removed"), F.lit(b).alias("added"), (F.col(f"l.{a}").cast("string").eqNullSafe(F.col(f"r.{b}").cast("string")) & ~is_blank(F.col(f"l.{a}"))).alias("same"))
+        F.struct(F.lit(a).alias("removed"), F.lit(b).alias("added"), (named(a, "l").cast("string").eqNullSafe(named(b, "r").cast("string")) & ~is_blank(named(a, "l"))).alias("same"))
         for a in removed
         for b in added
     ]

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cells import as_text, is_blank
+from tidemark.functions.cells import as_text, is_blank, named
 from tidemark.operators.order import ROW, with_row_index
 from tidemark.operators.regions import BLOCK_BITS, joined_runs
 
@@ -21,15 +21,15 @@ def common_columns(left: DataFrame, right: DataFrame) -> list[str]:
 
 def text_keys(df: DataFrame, keys: list[str]) -> list[Column]:
     """Keys compare as texts."""
-    return [df[k].cast("string").alias(k) for k in keys]
+    return [named(k).cast("string").alias(k) for k in keys]
 
 
 def key_quality(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: rows, null_keys (rows with a blank component), duplicate_keys (keys found more than once), duplicate_rows."""
     blank = F.lit(False)
     for k in keys:
-        blank |= is_blank(F.col(k))
-    counted = df.select(*text_keys(df, keys)).withColumn("_blank", blank).groupBy(*keys, "_blank").agg(F.count("*").alias("n"))
+        blank |= is_blank(named(k))
+    counted = df.select(*text_keys(df, keys)).withColumn("_blank", blank).groupBy(*map(named, keys), "_blank").agg(F.count("*").alias("n"))
     twice = ~F.col("_blank") & (F.col("n") > 1)
     return counted.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
@@ -46,7 +46,7 @@ def keys_complete(df: DataFrame, keys: list[str]) -> bool:
 
 def keyed_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """keys (as text), l and r (structs of all columns; null on the side where the row is missing)."""
-    pack = lambda df, name: df.select(*text_keys(df, keys), F.struct(*df.columns).alias(name))
+    pack = lambda df, name: df.select(*text_keys(df, keys), F.struct(*map(named, df.columns)).alias(name))
     return pack(left, "l").join(pack(right, "r"), keys, "full_outer")
 
 
@@ -59,29 +59,30 @@ def rows_removed(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
 
 
 def _only(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    there = other.select(*[other[k].cast("string").alias(f"_k{i}") for i, k in enumerate(keys)])
-    on = [df[k].cast("string").eqNullSafe(there[f"_k{i}"]) for i, k in enumerate(keys)]
+    there = other.select(*[named(k).cast("string").alias(f"_k{i}") for i, k in enumerate(keys)])
+    on = [named(k).cast("string").eqNullSafe(there[f"_k{i}"]) for i, k in enumerate(keys)]
     return df.join(there, on, "left_anti")
 
 
-def changed_cells(pairs: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """by, column, from, to of the cells that differ in pairs that have both sides (l, r)."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"l.{c}").cast("string").alias("from"), F.col(f"r.{c}").cast("string").alias("to")) for c in columns])
+def changed_cells(pairs: DataFrame, columns: list[str], by: list[str], old_names: dict[str, str] | None = None) -> DataFrame:
+    """by, column, from, to of the cells that differ in pairs that have both sides (l, r). old_names: how l calls columns renamed since."""
+    old = old_names or {}
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), named(old.get(c, c), "l").cast("string").alias("from"), named(c, "r").cast("string").alias("to")) for c in columns])
     changed = F.filter(cells, lambda x: ~x["from"].eqNullSafe(x["to"]))
     both = pairs.filter(F.col("l").isNotNull() & F.col("r").isNotNull())
-    return both.select(*by, F.inline(changed))
+    return both.select(*map(named, by), F.inline(changed))
 
 
 def keyed_cells(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
     columns = columns or [c for c in common_columns(left, right) if c not in keys]
-    return changed_cells(keyed_pairs(left.select(*keys, *columns), right.select(*keys, *columns), keys), columns, keys)
+    return changed_cells(keyed_pairs(*(df.select(*map(named, [*keys, *columns])) for df in (left, right)), keys), columns, keys)
 
 
 def keyed_summary(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """One row: rows_added, rows_removed, rows_changed, rows_equal, cells_changed."""
     columns = [c for c in common_columns(left, right) if c not in keys]
     pairs = keyed_pairs(left, right, keys)
-    changed = sum((F.when(~F.col(f"l.{c}").cast("string").eqNullSafe(F.col(f"r.{c}").cast("string")), 1).otherwise(0) for c in columns), F.lit(0))
+    changed = sum((F.when(~named(c, "l").cast("string").eqNullSafe(named(c, "r").cast("string")), 1).otherwise(0) for c in columns), F.lit(0))
     both = F.col("l").isNotNull() & F.col("r").isNotNull()
     marked = pairs.select(F.when(F.col("l").isNull(), "added").when(F.col("r").isNull(), "removed").when(both & (changed > 0), "changed").otherwise("equal").alias("kind"), F.when(both, changed).otherwise(0).alias("n"))
     count = lambda kind: F.count_if(F.col("kind") == kind)
@@ -90,7 +91,7 @@ def keyed_summary(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
 
 def positional_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of the same index: _row, l, r."""
-    pack = lambda df, name: df.select(ROW, F.struct(*[c for c in df.columns if c != ROW]).alias(name))
+    pack = lambda df, name: df.select(ROW, F.struct(*[named(c) for c in df.columns if c != ROW]).alias(name))
     return pack(left, "l").join(pack(right, "r"), ROW, "full_outer")
 
 
@@ -103,7 +104,7 @@ def churn(left: DataFrame, right: DataFrame, pairs: DataFrame | None = None) ->
     columns = common_columns(left, right)
     pairs = positional_pairs(left, right) if pairs is None else pairs
     both = F.col("l").isNotNull() & F.col("r").isNotNull()
-    changed = sum((F.when(~F.col(f"l.{c}").cast("string").eqNullSafe(F.col(f"r.{c}").cast("string")), 1).otherwise(0) for c in columns), F.lit(0))
+    changed = sum((F.when(~named(c, "l").cast("string").eqNullSafe(named(c, "r").cast("string")), 1).otherwise(0) for c in columns), F.lit(0))
     n = F.when(both, changed).otherwise(len(columns))
     return pairs.select(n.alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("changed_cells"), (F.count("*") * len(columns)).alias("total_cells"), F.count_if(F.col("n") > 0).alias("changed_rows"), F.count("*").alias("total_rows")
@@ -112,12 +113,12 @@ def churn(left: DataFrame, right: DataFrame, pairs: DataFrame | None = None) ->
 
 def reordered(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """keys, left_row, right_row of the rows whose place differs; both tables have a row index."""
-    return keyed_pairs(left, right, keys).filter("l IS NOT NULL AND r IS NOT NULL").select(*keys, F.col(f"l.{ROW}").alias("left_row"), F.col(f"r.{ROW}").alias("right_row")).filter("left_row <> right_row")
+    return keyed_pairs(left, right, keys).filter("l IS NOT NULL AND r IS NOT NULL").select(*map(named, keys), F.col(f"l.{ROW}").alias("left_row"), F.col(f"r.{ROW}").alias("right_row")).filter("left_row <> right_row")
 
 
 def signature(columns: list[str]) -> Column:
     """A row's text form over some columns; length-prefixed, so that cells can't run into each other."""
-    cell = lambda c: F.when(F.col(c).isNull(), F.lit("n;")).otherwise(F.concat(F.length(as_text(F.col(c))).cast("string"), F.lit(":"), as_text(F.col(c))))
+    cell = lambda c: F.when(named(c).isNull(), F.lit("n;")).otherwise(F.concat(F.length(as_text(named(c))).cast("string"), F.lit(":"), as_text(named(c))))
     return F.concat(*[cell(c) for c in columns]) if columns else F.lit("")
 
 
@@ -126,8 +127,8 @@ def sorted_pairs(left: DataFrame, right: DataFrame, order: list[str] | None = No
     columns = common_columns(left, right)
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        keys = [as_text(df[c]).alias(f"_s{i}") for i, c in enumerate(order or columns)]
-        keyed = df.select(*keys, F.col(ROW), F.struct(*columns, ROW).alias(name))
+        keys = [as_text(named(c)).alias(f"_s{i}") for i, c in enumerate(order or columns)]
+        keyed = df.select(*keys, F.col(ROW), F.struct(*map(named, columns), ROW).alias(name))
         return with_row_index(keyed, *[f"_s{i}" for i in range(len(keys))], ROW, name="_rank").select("_rank", name)
 
     return side(left, "l").join(side(right, "r"), "_rank", "full_outer")

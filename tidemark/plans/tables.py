@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark import plugins
 from tidemark.config import Config, Diagnostic, PathConfig, diagnostic
+from tidemark.functions.cells import named
 from tidemark.operators import infer, rows
 from tidemark.operators.compact import Edit, appended_rows, compacted, edit, renamed_columns, reordered_columns, retyped_columns
 from tidemark.operators.order import ROW, with_row_index
@@ -160,14 +161,14 @@ def _values(row, columns: list[str]) -> dict:
 
 def _capture(df: DataFrame, column: str) -> dict:
     total = df.count()
-    found = [r[0] for r in df.orderBy(ROW).select(column).limit(CAPTURED).collect()]
+    found = [r[0] for r in df.orderBy(ROW).select(named(column)).limit(CAPTURED).collect()]
     return {"values": found, "total_values": total, "truncated": total > len(found)}
 
 
 def _pair_edits(pairs: DataFrame, left: Table, right: Table, common: list[str], keys: list[str] | None) -> list[Edit]:
     """Removed rows, added rows, changed cells of aligned rows; a summary if there are more than EDIT_LIMIT."""
     by = keys or [ROW]
-    order = [F.col(k).cast("string") if keys else F.col(k) for k in by]
+    order = [named(k).cast("string") if keys else F.col(k) for k in by]
     gone, came = pairs.filter("r IS NULL"), pairs.filter("l IS NULL")
     cells = rows.changed_cells(pairs, [c for c in common if c not in (keys or [])], by)
     counts = [d.count() for d in (gone, came, cells)]
@@ -185,12 +186,32 @@ def _pair_edits(pairs: DataFrame, left: Table, right: Table, common: list[str],
     return [edit("tabular.keyed_stream_summary", {"keys": keys or [], "rows_removed": counts[0], "rows_added": counts[1], "cells_changed": counts[2], "examples": examples}, tuple(tags))]
 
 
+def _renamed_cells(pairs: DataFrame, rename: list[tuple[str, str]], by: list[str], keys: list[str] | None) -> list[Edit]:
+    """Cells of renamed columns that changed besides; a summary if there are more than EDIT_LIMIT."""
+    cells = rows.changed_cells(pairs, [b for _, b in rename], by, {b: a for a, b in rename})
+    n = cells.count()
+    found = cells.orderBy(*map(named, by), "column").limit(n if n <= EDIT_LIMIT else EXAMPLES).collect()
+    place = lambda r: {"key": {k: r[k] for k in keys}} if keys else {"row" if k == ROW else k: r[k] for k in by}
+    changed = [edit("tabular.edit_cell", {**place(r), "column": r["column"], "from": r["from"], "to": r["to"]}, ("cell-change",)) for r in found]
+    if n <= EDIT_LIMIT:
+        return changed
+    examples = {"removed": [], "added": [], "modified": [e["params"] for e in changed], "truncated": True}
+    return [edit("tabular.keyed_stream_summary", {"keys": keys or [], "rows_removed": 0, "rows_added": 0, "cells_changed": n, "examples": examples}, ("cell-change",))]
+
+
+def _whole_rows(ordered: DataFrame, left: Table, right: Table) -> DataFrame:
+    """left_row, right_row, l, r: sorted pairs with all columns of both sides."""
+    pack = lambda t, name, place: t.df.select(F.col(ROW).alias(place), F.struct(*[named(c) for c in t.columns]).alias(name))
+    places = ordered.select(F.col(f"l.{ROW}").alias("left_row"), F.col(f"r.{ROW}").alias("right_row"))
+    return places.join(pack(left, "l", "left_row"), "left_row").join(pack(right, "r", "right_row"), "right_row")
+
+
 def _full_pairs(left: Table, right: Table, keys: list[str]) -> DataFrame:
     return rows.keyed_pairs(left.df, right.df, keys)
 
 
 def _positional_pairs(left: Table, right: Table) -> DataFrame:
-    pack = lambda t, name: t.df.select(ROW, F.struct(ROW, *[F.col(f"`{c}`") for c in t.columns]).alias(name))
+    pack = lambda t, name: t.df.select(ROW, F.struct(ROW, *[named(c) for c in t.columns]).alias(name))
     return pack(left, "l").join(pack(right, "r"), ROW, "full_outer")
 
 
@@ -225,7 +246,7 @@ def compare_tables(left: Table, right: Table, config: Config, path_config: PathC
             mode, aligned = "configured_key", keys
     elif common and (found := infer.infer_key(left.df, right.df)):
         # only a key that aligns rows otherwise than their places do is of use
-        both = left.df.select(ROW, F.col(f"`{found}`").alias("a")).join(right.df.select(ROW, F.col(f"`{found}`").alias("b")), ROW)
+        both = left.df.select(ROW, named(found).alias("a")).join(right.df.select(ROW, named(found).alias("b")), ROW)
         if both.filter(~F.col("a").eqNullSafe(F.col("b"))).limit(1).count():
             mode, aligned = "auto_key", [found]
             note("suggestion", "tabular_auto_key", f"rows were matched by {found!r}, which was not declared")
@@ -234,7 +255,7 @@ def compare_tables(left: Table, right: Table, config: Config, path_config: PathC
     if mode == "positional":
         pairs = _positional_pairs(left, right)
         stats = rows.churn(left.df, right.df, pairs).first() if common and n_left == n_right else None
-        uncertain = False
+        uncertain = by_content = False
         if stats and 2 * stats["changed_cells"] > stats["total_cells"] > 0:
             ordered = rows.sorted_pairs(left.df, right.df)
             again = rows.churn(left.df, right.df, ordered).first()
@@ -246,9 +267,9 @@ def compare_tables(left: Table, right: Table, config: Config, path_config: PathC
                 edits.append(edit("tabular.row_correspondence_uncertain", params, ("row-correspondence-uncertain",)))
                 note("suggestion", "tabular_high_churn", "most cells differ: declare a row_identity")
             elif 2 * again["changed_cells"] <= again["total_cells"] and again["changed_cells"] < stats["changed_cells"]:
-                pairs = None
+                by_content = True
                 edits += _sorted_edits(left, right, ordered, n_left, again)
-        if pairs is not None and not uncertain:
+        if not by_content and not uncertain:
             found = None
             if n_left != n_right and max(n_left, n_right) <= rows.LCS_ROWS:
                 found = _inserted_rows(left, right, common)
@@ -259,16 +280,19 @@ def compare_tables(left: Table, right: Table, config: Config, path_config: PathC
         if not found and set(left.columns) == set(right.columns) and rows.reordered(left.df, right.df, aligned).limit(1).count():
             found = [edit("tabular.reorder_rows", {"alignment": mode, "rows": n_right, "keys": aligned}, ("row-reorder",))]
         edits += found
+        by_content = False
 
     if left.meta != right.meta:
         edits.append(metadata_edit(left.meta, right.meta, "table"))
-    rename = []
+    rename, cells = [], []
     if removed and added and (mode != "positional" or n_left == n_right):
-        scored = infer.rename_scores(left.df, right.df, aligned, removed, added).collect()
+        pairs, by = (_whole_rows(ordered, left, right), ["left_row", "right_row"]) if by_content else (pairs, aligned)
+        scored = infer.scores_of_pairs(pairs, removed, added).collect()
         rename = infer.assign([(r["equal"], r["removed"], r["added"]) for r in scored])
+        cells = _renamed_cells(pairs, rename, by, None if mode == "positional" else aligned) if rename else []
     return compacted(
         edits,
-        [lambda e: renamed_columns(e, rename), reordered_columns, lambda e: retyped_columns(e, kind_of, same_across_types), reduced_precision(config.sentinels), appended_rows],
+        [lambda e: renamed_columns(e, rename, cells), reordered_columns, lambda e: retyped_columns(e, kind_of, same_across_types), reduced_precision(config.sentinels), appended_rows],
     ), diagnostics
 
 
