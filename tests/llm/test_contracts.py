@@ -541,6 +541,38 @@ def test_passage_whose_lines_stand_alone_before(docs):
     assert wanted <= found
 
 
+def test_passages_whose_seeds_are_first_elsewhere(docs):
+    """The first occurrences of all seeds are in documents that share too little."""
+    r = random.Random(9)
+    say = lambda n: ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(n)]
+    rows, wanted = [], {}
+
+    def add(text):
+        rows.append((len(rows), " ".join(say(20) + text + say(20))))
+        return len(rows) - 1
+
+    few = say(50)  # 46 words of it come first
+    add(few[:46])
+    source = add(few)
+    wanted[add(few)] = source, 50
+    one, two = say(28), say(30)  # a word between them differs, so no seed leads over it
+    add(one), add(two)
+    source = add(one + say(1) + two)
+    wanted[add(one + say(1) + two)] = source, 59
+    one, two = say(28), say(30)  # as before, and many have the lines
+    for _ in range(2 * substring.FEW):
+        add(one), add(two)
+    source = add(one + say(1) + two)
+    wanted[add(one + say(1) + two)] = source, 59
+    many = say(50)  # one seed stands in few documents
+    for _ in range(2 * substring.FEW):
+        add(many[:49])
+    source = add(many)
+    wanted[add(many)] = source, 50
+    found = {x["doc_id"]: (x["source_doc_id"], x["end_word"] - x["start_word"]) for x in substring.shared_passages(docs(rows)).collect()}
+    assert found == wanted
+
+
 def test_text_that_repeats_itself_makes_few_chains(docs):
     r = random.Random(6)
     say = lambda n: ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(n)]

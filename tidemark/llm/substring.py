@@ -2,7 +2,8 @@
 
 1. Seeds: every run of 4 words, and of every 8 consecutive runs of 43 words the one with the smallest hash, packed into buckets by hash, about 9 bytes each on the way.
 2. Each seed is matched with its first occurrence (the smallest doc_id, then place), so a passage in any number of documents makes
-   matches in proportion to its occurrences, never pairs of them.
+   matches in proportion to its occurrences, never pairs of them. Steps 3 and 4 follow; then, where a document has no passage yet, they
+   are done again with the other occurrences (see rest_matches).
 3. Matches of two documents on one diagonal become segments; a Fenwick tree chains segments in both texts' order, with gap costs.
 4. Chains are aligned: the words of both texts between segments by edit distance, and around the ends as far as they agree. Passages
    are the longest parts of an alignment of which enough words agree.
@@ -11,11 +12,12 @@
 from __future__ import annotations
 
 import bisect
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_schema, drop_table, free_name, give_back, mix64, slices, stored, table_rows, windows, word_hashes
@@ -35,6 +37,10 @@ MARGIN = 64
 #: Chains whose ends are aligned at a time, and cells of an alignment that are held at most; a larger gap is cut in two.
 ALIGNED_CHAINS, GAP_CELLS = 256, 4_000_000
 BROADCAST_IDS = 1_000_000
+#: Occurrences of a seed, or of seeds in line, that are matched each with each.
+FEW = 32
+#: Words of the runs that more frequent seeds are joined to, and how far from its start the second half may start (0: at its end).
+LINKS = ((8, 0), (16, 0), (32, 0), (LEAST_WORDS, LEAST_WORDS - 32))
 #: Chains that share a copy of a text on its way.
 TEXT_CHAINS = 64
 
@@ -125,48 +131,202 @@ def unpacked(raw: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def matches_of(seed: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """doc_id, source, pos, source_pos and words of a bucket's seeds that an earlier document has, with their first occurrence."""
+def matches_of(seed: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """doc_id, source, pos, source_pos and words of a bucket's seeds that an earlier document has, with their first occurrence; seed,
+    doc_id and pos of the short ones that occur more than twice, so that first occurrences aren't all (see rest_matches)."""
     order = np.argsort(seed, kind="stable")
     same = seed[order[1:]] == seed[order[:-1]]
     order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # seeds that occur again
     order = order[np.lexsort((pos[order], ids[order], seed[order]))]
     seed, ids, pos = seed[order], ids[order], pos[order]
     first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else np.zeros(0, np.int64)
-    first = np.repeat(first, np.diff(np.concatenate([first, [len(seed)]])))
+    sizes = np.diff(np.concatenate([first, [len(seed)]]))
+    more = np.repeat(sizes > 2, sizes) & (pos & 1 == 0)
+    first = np.repeat(first, sizes)
     later = ids[first] < ids
     first = first[later]
-    return ids[later], ids[first], pos[later] >> 1, pos[first] >> 1, np.where(pos[later] & 1, LONG_WORDS, SEED_WORDS)
+    found = ids[later], ids[first], pos[later] >> 1, pos[first] >> 1, np.where(pos[later] & 1, LONG_WORDS, SEED_WORDS)
+    return found, (seed[more], ids[more], pos[more] >> 1)
+
+
+MATCH = "doc_id long, source long, pos int, source_pos int, words int"
+#: A run of words that occurs more than twice: its first and last seed's places, and 1 if its document's passages are still open there.
+RUN = "run long, run_id long, run_pos int, run_last int, run_open int"
+
+
+#: Rows of an Arrow batch that leaves Python.
+BATCH_ROWS = 100_000
+
+
+def found_rows(kind: pa.Schema, columns: list[np.ndarray], runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of MATCH, then rows of RUN; the other's columns are null."""
+    k = len(columns)
+    for a in range(0, len(columns[0]), BATCH_ROWS):
+        of = [pa.array(x[a : a + BATCH_ROWS], f.type, safe=False) for x, f in zip(columns, list(kind)[:k], strict=True)]
+        yield pa.RecordBatch.from_arrays(of + [pa.nulls(len(of[0]), f.type) for f in list(kind)[k:]], schema=kind)
+    for a in range(0, len(runs[0]), BATCH_ROWS):
+        of = [pa.array(x[a : a + BATCH_ROWS], f.type, safe=False) for x, f in zip(runs, list(kind)[k:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(of[0]), f.type) for f in list(kind)[:k]] + of, schema=kind)
+
+
+def only(table: DataFrame, columns: str) -> DataFrame:
+    """The rows of MATCH or of RUN in a table of both."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    return table.filter(F.col(names[0]).isNotNull()).select(*names)
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, pos, source_pos, words): seeds that an earlier document has, with their first occurrence."""
+    """Rows of MATCH: seeds that an earlier document has, with their first occurrence. Rows of RUN: all that occur more than twice."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, size / BUCKET_BYTES))), 4, 20))
-    schema = "doc_id long, source long, pos int, source_pos int, words int"
+    schema = f"{MATCH}, {RUN}"
     kind = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(held: list[tuple]) -> pa.RecordBatch:
-            columns = matches_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            return table_rows({k: x.astype(np.int64 if k in ("doc_id", "source") else np.int32) for k, x in zip(kind.names, columns, strict=True)}, kind)
+        def found(held: list[tuple], bucket: int) -> Iterator[pa.RecordBatch]:
+            arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            columns, (seed, ids, pos) = matches_of(*arrays)
+            arrays.clear()
+            give_back()
+            key = mix64(seed + (np.uint64(bucket) << np.uint64(40))).view(np.int64)
+            yield from found_rows(kind, list(columns), [key, ids, pos, pos, np.ones(len(pos), np.int32)])
 
-        held, bucket = [], None
+        held, bucket = [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 if held and r["bucket"] != bucket:
-                    yield found(held)
-                    held = []
+                    yield from found(held, bucket)
                 bucket = r["bucket"]
                 held.append((unpacked(r["seeds"], 5), np.cumsum(unpacked(r["docs"], 8).view(np.int64)) + r["base"], unpacked(r["places"], 4).view(np.int64)))
         if held:
-            yield found(held)
+            yield from found(held, bucket)
         give_back()
 
     dealt = seeds(docs, bits).repartition(min(1 << bits, BUCKET_TASKS), "bucket").sortWithinPartitions("bucket")
     return stored(dealt.mapInArrow(run, schema), "matches")
 
 
+# --- occurrences behind the first one ----------------------------------------------------------------------------------
+
+
+def pairs_of(run: np.ndarray, ids: np.ndarray, opened: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of places of one run in two documents, the later one open; places of the runs that occur more than `few`
+    times and are open anywhere. The arrays are sorted by run and document."""
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    sizes = np.diff(np.concatenate([first, [len(run)]]))
+    nth = np.arange(len(run)) - np.repeat(first, sizes)
+    many = np.repeat(sizes > few, sizes)
+    opened = opened > 0
+    pairs = [(at := np.flatnonzero(many & opened), np.repeat(first, sizes)[at])]
+    for back in range(1, min(few, int(sizes.max()))):
+        at = np.flatnonzero(~many & opened & (nth >= back))
+        pairs.append((at, at - back))
+    later, earlier = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    apart = ids[later] != ids[earlier]
+    return later[apart], earlier[apart], np.flatnonzero(many & np.repeat(np.logical_or.reduceat(opened, first), sizes))
+
+
+def link(runs: DataFrame, words: int, ahead: int) -> DataFrame:
+    """Each run joined with the next one of its document that starts not before its end or, with ahead, so many words behind its start.
+
+    Seeds are also joined over others: the last one of each series of frequent seeds with the first one of each later series. All of
+    them start at most LEAST_WORDS behind the end of what they are joined with. Rare words between them don't matter."""
+    kind = arrow_schema(RUN)
+
+    def joined(run: np.ndarray, ids: np.ndarray, pos: np.ndarray, last: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
+        of = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])]) << 40
+        place, end = of + pos, of + last + SEED_WORDS
+        other = np.searchsorted(place, place + ahead if ahead else end)
+        one = np.arange(len(pos))
+        if words == 2 * SEED_WORDS:
+            broken = place[1:] > place[:-1] + 1
+            begins, stops = np.flatnonzero(np.concatenate([[True], broken])), np.flatnonzero(np.concatenate([broken, [True]]))
+            low, high = np.searchsorted(place[begins], end[stops]), np.searchsorted(place[begins], end[stops] + LEAST_WORDS, "right")
+            counts = high - low
+            nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            over = np.repeat(stops, counts), begins[np.repeat(low, counts) + nth]
+            new = over[1] != other[over[0]]
+            one, other = np.concatenate([one, over[0][new]]), np.concatenate([other, over[1][new]])
+        good = other < len(pos)
+        good[good] = place[other[good]] <= end[one[good]] + LEAST_WORDS  # nor in another document
+        one, other = one[good], other[good]
+        both = mix64(run[one].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(run[other].view(np.uint64)) + np.uint64(words))
+        return table_rows(dict(zip(kind.names, (both.view(np.int64), ids[one], pos[one].astype(np.int32), last[other].astype(np.int32), (opened[one] | opened[other]).astype(np.int32)), strict=True)), kind)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in whole_groups(batches, 1):
+            yield joined(*x)
+
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(tasks, "run_id").sortWithinPartitions("run_id", "run_pos", "run_last").mapInArrow(step, RUN)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
+    """Columns of the batches' rows, cut where column `by` changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = [c.to_numpy().astype(np.int64) for c in batch.columns]
+        last = x[by][-1]
+        if held and held[0][by][-1] == last:  # one group so far
+            held.append(x)
+            continue
+        starts = int(np.argmax(x[by] == last))
+        if held or starts:
+            yield [np.concatenate(c) for c in zip(*held, [c[:starts] for c in x], strict=True)]
+        held = [[c[starts:] for c in x]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+    give_back()
+
+
+def run_matches(runs: DataFrame, few: int) -> DataFrame:
+    """Rows of MATCH: the first and last seed of open runs that an earlier document has; of runs with more than `few` places only with the
+    first one, and these runs as rows of RUN."""
+    schema = f"{MATCH}, {RUN}"
+    kind = arrow_schema(schema)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in whole_groups(batches, 0):
+            run, ids, pos, last, opened = x
+            later, earlier, many = pairs_of(run, ids, opened, few)
+            two = last[later] != pos[later]
+            ends = [np.concatenate([pos[i], last[i[two]]]) for i in (later, earlier)]
+            later, earlier = (np.concatenate([i, i[two]]) for i in (later, earlier))
+            yield from found_rows(kind, [ids[later], ids[earlier], *ends, np.full(len(later), SEED_WORDS)], [c[many] for c in x])
+
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(tasks, "run").sortWithinPartitions("run", "run_id", "run_pos").mapInArrow(step, schema)
+
+
+def rest_matches(found: DataFrame, passages: DataFrame, few: int) -> list[DataFrame]:
+    """Tables with rows of MATCH: where passages don't cover a document yet, its seeds with other earlier occurrences than the first.
+
+    A place is open if any LEAST_WORDS words with it aren't inside one passage. A seed that at most `few` places have is matched with all
+    earlier ones. One that more have is joined with the next such seeds of its text to runs of 8 words, that again are matched with all
+    or, if more than `few` places have them, joined to 16, 32 and 50 words. What has those is a passage, so the first one is enough."""
+    spans = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans"))
+    spans = F.broadcast(spans) if passages.count() <= BROADCAST_IDS else spans
+
+    def opened(df: DataFrame, doc_id: str, pos: str) -> tuple[DataFrame, Column]:
+        reach = LEAST_WORDS - SEED_WORDS
+        covers = lambda x: (x["start_word"] <= F.greatest(F.col(pos) - reach, F.lit(0))) & (x["end_word"] >= F.col(pos) + LEAST_WORDS)
+        return df.join(spans, F.col(doc_id) == F.col("_id"), "left"), F.col("_spans").isNull() | ~F.exists("_spans", covers)
+
+    runs, is_open = opened(only(found, RUN), "run_id", "run_pos")
+    runs = runs.withColumn("run_open", is_open.cast("int")).drop("_id", "_spans")
+    first, is_open = opened(only(found, MATCH), "doc_id", "pos")
+    tables = [stored(first.filter(is_open).drop("_id", "_spans"), "open"), stored(run_matches(runs, few), "rest")]
+    for words, ahead in LINKS:
+        runs = only(tables[-1], RUN)
+        if runs.isEmpty():
+            break
+        tables.append(stored(run_matches(link(runs, words, ahead), few), "rest"))
+    return tables
+
+
 # --- chains ------------------------------------------------------------------------------------------------------------
 
 
@@ -242,47 +402,59 @@ def best_chains(parts: np.ndarray) -> Iterator[list[int]]:
             yield chain[::-1]
 
 
-def chains_of(parts: np.ndarray) -> Iterator[np.ndarray]:
-    """Segments of each chain that may become a passage."""
+def chains_of(parts: np.ndarray, lone: np.ndarray) -> Iterator[np.ndarray]:
+    """Segments of each chain that may become a passage: of two seeds, or one that may belong to a passage by itself (lone)."""
     for chain in best_chains(parts):
-        rows = parts[chain]
-        if rows[:, 3].sum() >= 2 * SEED_WORDS:
-            yield rows
-
-
-def chains(found: DataFrame) -> DataFrame:
-    """(chain, doc_id, source, parts): parts has 4 numbers for each segment of the chain."""
+        if parts[chain, 3].sum() >= 2 * SEED_WORDS or lone[chain].any():
+            yield parts[chain]
+
+
+def open_windows(ids: np.ndarray, pos: np.ndarray, words: np.ndarray, parts: np.ndarray, of_part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a lone seed may belong to a passage: (running number of such places, where each document starts in it).
+
+    A place is the start of LEAST_WORDS words of which LEAST_SHARE are in seeds that earlier documents have, and which don't stand in one
+    piece in one of these. ids, pos, words: matches, ids as numbers from 0 that rise. parts: segments, of_part: their documents."""
+    most = np.zeros(ids[-1] + 1, np.int64)
+    np.maximum.at(most, ids, pos + words)
+    at = np.concatenate([[0], np.cumsum(most + LEAST_WORDS)])  # each document, and room behind it
+    edges = np.zeros(at[-1] + 1, np.int32)
+    np.add.at(edges, at[ids] + pos, 1)
+    np.add.at(edges, at[ids] + pos + words, -1)
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(edges)[:-1] > 0)])
+    enough = covered[LEAST_WORDS:] - covered[:-LEAST_WORDS] >= LEAST_SHARE * LEAST_WORDS
+    long = parts[:, 1] - parts[:, 0] >= LEAST_WORDS
+    edges[:] = 0
+    np.add.at(edges, at[of_part[long]] + parts[long, 0], 1)
+    np.add.at(edges, at[of_part[long]] + parts[long, 1] - LEAST_WORDS + 1, -1)
+    return np.concatenate([[0], np.cumsum(enough & (np.cumsum(edges)[: len(enough)] == 0))]), at
+
+
+def chains(found: DataFrame, lone_seeds: bool = False) -> DataFrame:
+    """(chain, doc_id, source, parts): parts has 4 numbers for each segment of the chain. lone_seeds: a chain may be one seed, too, where
+    seeds that any earlier documents have make up enough for a passage."""
     schema = "doc_id long, source long, parts binary"
     kind = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the last document pair so far, as columns of matches
-
-        def of_pairs(x: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate([[True], (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])]))
-            pair = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [x.shape[1]]])))
-            parts, of_pair = segments(pair, x[2], x[3], x[4])
-            enough = np.bincount(of_pair, parts[:, 3], len(starts)) >= 2 * SEED_WORDS
+        for ids, sources, pos, source_pos, words in whole_groups(batches, 0):
+            starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (sources[1:] != sources[:-1])]))
+            pair = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(ids)]])))
+            parts, of_pair = segments(pair, pos, source_pos, words)
+            lone = np.zeros(len(parts), bool)
             at = np.searchsorted(of_pair, np.arange(len(starts) + 1))
+            enough = np.bincount(of_pair, parts[:, 3], len(starts)) >= 2 * SEED_WORDS
+            if lone_seeds:
+                doc = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])])
+                places, at_doc = open_windows(doc, pos, words, parts, doc[starts][of_pair])
+                low = at_doc[doc[starts][of_pair]]
+                lone = places[np.minimum(low + parts[:, 0], len(places) - 2) + 1] > places[np.maximum(low + parts[:, 1] - LEAST_WORDS, low)]
             rows = []
-            for k in np.flatnonzero(enough):
-                own = parts[at[k] : at[k + 1]]
-                rows += [(x[0, starts[k]], x[1, starts[k]], chain.tobytes()) for chain in chains_of(own)]
-            return table_rows(dict(zip(kind.names, zip(*rows, strict=True) if rows else [[], [], []], strict=True)), kind)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
-            x = np.concatenate([*held, x], 1)
-            tail = (x[0] == x[0, -1]) & (x[1] == x[1, -1])
-            start = x.shape[1] - int(np.argmin(tail[::-1])) if not tail.all() else 0
-            if start:
-                yield of_pairs(x[:, :start])
-            held = [x[:, start:]]
-        if held:
-            yield of_pairs(held[0])
+            for k in np.flatnonzero(enough | (np.bincount(of_pair, lone, len(starts)) > 0)):
+                own = slice(at[k], at[k + 1])
+                rows += [(ids[starts[k]], sources[starts[k]], chain.tobytes()) for chain in chains_of(parts[own], lone[own])]
+            yield table_rows(dict(zip(kind.names, zip(*rows, strict=True) if rows else [[], [], []], strict=True)), kind)
 
+    found = only(found, MATCH)
     tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be merged into few tasks
     dealt = found.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "source", "pos", "source_pos")
     return stored(dealt.mapInArrow(run, schema).withColumn("chain", F.monotonically_increasing_id()), "chains")
@@ -433,18 +605,8 @@ def region_words(chained: DataFrame, docs: DataFrame) -> DataFrame:
     return groups.join(texts, "doc_id").select("wanted", "text").mapInArrow(run, schema)
 
 
-def shared_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per passage of LEAST_WORDS words or more that a document shares with an earlier one (a smaller doc_id).
-
-    Places are words (runs without white space, A-Z as a-z), ends are exclusive. share: matched words over the passage's words.
-    A document gets a row for each chain, so rows may overlap. Null ids and texts have no passages; rows that repeat a doc_id share
-    nothing with each other, and if their texts differ, places refer to one of them. Ties go to the smallest doc_id, then place. Texts
-    of any length are searched whole. Empty tables give no rows. Other columns are ignored.
-    """
-    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    found = matches(docs)
-    chained = chains(found)
-    drop_table(docs.sparkSession, found.tidemark_path)
+def chain_passages(chained: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of SCHEMA: the passages of aligned chains."""
     words = stored(region_words(chained, docs), "words")
     own = words.filter("role = 0").select("chain", F.col("words").alias("own"), F.col("counts").alias("own_counts"))
     other = words.filter("role = 1").select("chain", F.col("words").alias("other"), F.col("counts").alias("other_counts"))
@@ -464,8 +626,29 @@ def shared_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                     rows += [(r["doc_id"], start, end, r["source"], first, last, n, n / (end - start)) for start, end, first, last, n in found]
             if rows:
                 yield table_rows(dict(zip(kind.names, zip(*rows, strict=True), strict=True)), kind)
+        give_back()
+
+    return joined.mapInArrow(run, SCHEMA)
 
-    return joined.mapInArrow(run, SCHEMA).distinct()
+
+def shared_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", few: int = FEW) -> DataFrame:
+    """One row per passage of LEAST_WORDS words or more that a document shares with an earlier one (a smaller doc_id).
+
+    Places are words (runs without white space, A-Z as a-z), ends are exclusive. share: matched words over the passage's words.
+    A document gets a row for each chain, so rows may overlap. Null ids and texts have no passages; rows that repeat a doc_id share
+    nothing with each other, and if their texts differ, places refer to one of them. Ties go to the smallest doc_id, then place. Texts
+    of any length are searched whole. Empty tables give no rows. Other columns are ignored.
+    """
+    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    found = matches(docs)
+    first = stored(chain_passages(chains(found), docs).distinct(), "passages")
+    rest = rest_matches(found, first, few)
+    drop_table(docs.sparkSession, found.tidemark_path)
+    more = functools.reduce(DataFrame.unionByName, [only(table, MATCH) for table in rest])
+    chained = chains(more, lone_seeds=True)
+    for table in rest:
+        drop_table(docs.sparkSession, table.tidemark_path)
+    return first.unionByName(chain_passages(chained, docs)).distinct()
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
