@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import bisect
 import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_schema, drop_table, free_name, give_back, mix64, slices, stored, table_rows, windows, word_hashes
@@ -210,9 +211,9 @@ def matches(docs: DataFrame) -> DataFrame:
 # --- occurrences behind the first one ----------------------------------------------------------------------------------
 
 
-def pairs_of(run: np.ndarray, ids: np.ndarray, opened: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pairs_of(run: np.ndarray, ids: np.ndarray, opened: np.ndarray, few: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (later, earlier) of places of one run in two documents, the later one open; places of the runs that occur more than `few`
-    times and are open anywhere. The arrays are sorted by run and document."""
+    times and are open anywhere. The arrays are sorted by run and document. skip: runs whose pairs with the first one are known."""
     first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     sizes = np.diff(np.concatenate([first, [len(run)]]))
     nth = np.arange(len(run)) - np.repeat(first, sizes)
@@ -223,7 +224,7 @@ def pairs_of(run: np.ndarray, ids: np.ndarray, opened: np.ndarray, few: int) ->
         at = np.flatnonzero(~many & opened & (nth >= back))
         pairs.append((at, at - back))
     later, earlier = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    apart = ids[later] != ids[earlier]
+    apart = (ids[later] != ids[earlier]) & ~(skip[later] & (earlier == np.repeat(first, sizes)[later]))
     return later[apart], earlier[apart], np.flatnonzero(many & np.repeat(np.logical_or.reduceat(opened, first), sizes))
 
 
@@ -291,7 +292,7 @@ def run_matches(runs: DataFrame, few: int) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in whole_groups(batches, 0):
             run, ids, pos, last, opened = x
-            later, earlier, many = pairs_of(run, ids, opened, few)
+            later, earlier, many = pairs_of(run, ids, opened, few, last == pos)
             two = last[later] != pos[later]
             ends = [np.concatenate([pos[i], last[i[two]]]) for i in (later, earlier)]
             later, earlier = (np.concatenate([i, i[two]]) for i in (later, earlier))
@@ -302,12 +303,17 @@ def run_matches(runs: DataFrame, few: int) -> DataFrame:
 
 
 def rest_matches(found: DataFrame, passages: DataFrame, few: int) -> list[DataFrame]:
-    """Tables with rows of MATCH: where passages don't cover a document yet, its seeds with other earlier occurrences than the first.
+    """Tables with rows of MATCH, in place of found: where passages don't cover a document yet, its seeds with other earlier occurrences than the first.
 
-    A place is open if any LEAST_WORDS words with it aren't inside one passage. A seed that at most `few` places have is matched with all
+    A place is open if any LEAST_WORDS words with it aren't all in passages. A seed that at most `few` places have is matched with all
     earlier ones. One that more have is joined with the next such seeds of its text to runs of 8 words, that again are matched with all
     or, if more than `few` places have them, joined to 16, 32 and 50 words. What has those is a passage, so the first one is enough."""
-    spans = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans"))
+    spans = passages.select("doc_id", "start_word", F.when(F.col("at_end"), F.lit(1 << 62)).otherwise(F.col("end_word")).alias("end_word"))
+    before = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
+    apart = F.coalesce(F.col("start_word") > F.max("end_word").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    spans = spans.withColumn("_new", apart.cast("int")).withColumn("_span", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("doc_id", "_span").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
+    spans = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
     spans = F.broadcast(spans) if passages.count() <= BROADCAST_IDS else spans
 
     def opened(df: DataFrame, doc_id: str, pos: str) -> tuple[DataFrame, Column]:
@@ -319,7 +325,9 @@ def rest_matches(found: DataFrame, passages: DataFrame, few: int) -> list[DataFr
     runs = runs.withColumn("run_open", is_open.cast("int")).drop("_id", "_spans")
     first, is_open = opened(only(found, MATCH), "doc_id", "pos")
     tables = [stored(first.filter(is_open).drop("_id", "_spans"), "open"), stored(run_matches(runs, few), "rest")]
+    drop_table(found.sparkSession, found.tidemark_path)
     for words, ahead in LINKS:
+        clean(found)
         runs = only(tables[-1], RUN)
         if runs.isEmpty():
             break
@@ -402,10 +410,11 @@ def best_chains(parts: np.ndarray) -> Iterator[list[int]]:
             yield chain[::-1]
 
 
-def chains_of(parts: np.ndarray, lone: np.ndarray) -> Iterator[np.ndarray]:
-    """Segments of each chain that may become a passage: of two seeds, or one that may belong to a passage by itself (lone)."""
+def chains_of(parts: np.ndarray, lone: np.ndarray, fresh: bool) -> Iterator[np.ndarray]:
+    """Segments of each chain that may become a passage: of two seeds, if fresh, or one that may belong to a passage by itself (lone)."""
     for chain in best_chains(parts):
-        if parts[chain, 3].sum() >= 2 * SEED_WORDS or lone[chain].any():
+        two = parts[chain, 3].sum() >= 2 * SEED_WORDS
+        if two and fresh or lone[chain].any() and (fresh or not two):
             yield parts[chain]
 
 
@@ -431,18 +440,19 @@ def open_windows(ids: np.ndarray, pos: np.ndarray, words: np.ndarray, parts: np.
 
 def chains(found: DataFrame, lone_seeds: bool = False) -> DataFrame:
     """(chain, doc_id, source, parts): parts has 4 numbers for each segment of the chain. lone_seeds: a chain may be one seed, too, where
-    seeds that any earlier documents have make up enough for a passage."""
+    seeds that any earlier documents have make up enough for a passage. A pair of documents without a fresh match has had its chains."""
     schema = "doc_id long, source long, parts binary"
     kind = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sources, pos, source_pos, words in whole_groups(batches, 0):
+        for ids, sources, pos, source_pos, words, fresh in whole_groups(batches, 0):
             starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (sources[1:] != sources[:-1])]))
             pair = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(ids)]])))
             parts, of_pair = segments(pair, pos, source_pos, words)
             lone = np.zeros(len(parts), bool)
             at = np.searchsorted(of_pair, np.arange(len(starts) + 1))
-            enough = np.bincount(of_pair, parts[:, 3], len(starts)) >= 2 * SEED_WORDS
+            new = np.bincount(pair, fresh, len(starts)) > 0
+            enough = new & (np.bincount(of_pair, parts[:, 3], len(starts)) >= 2 * SEED_WORDS)
             if lone_seeds:
                 doc = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])])
                 places, at_doc = open_windows(doc, pos, words, parts, doc[starts][of_pair])
@@ -451,10 +461,11 @@ def chains(found: DataFrame, lone_seeds: bool = False) -> DataFrame:
             rows = []
             for k in np.flatnonzero(enough | (np.bincount(of_pair, lone, len(starts)) > 0)):
                 own = slice(at[k], at[k + 1])
-                rows += [(ids[starts[k]], sources[starts[k]], chain.tobytes()) for chain in chains_of(parts[own], lone[own])]
+                rows += [(ids[starts[k]], sources[starts[k]], chain.tobytes()) for chain in chains_of(parts[own], lone[own], new[k])]
             yield table_rows(dict(zip(kind.names, zip(*rows, strict=True) if rows else [[], [], []], strict=True)), kind)
 
-    found = only(found, MATCH)
+    if "fresh" not in found.columns:
+        found = only(found, MATCH).withColumn("fresh", F.lit(1))
     tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be merged into few tasks
     dealt = found.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "source", "pos", "source_pos")
     return stored(dealt.mapInArrow(run, schema).withColumn("chain", F.monotonically_increasing_id()), "chains")
@@ -563,8 +574,8 @@ def passages(places: np.ndarray) -> Iterator[tuple[int, int]]:
             waiting += [(a, start), (end, b)]
 
 
-def aligned(chained: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> Iterator[Iterator[tuple[int, int, int, int, int]]]:
-    """(start, end, source_start, source_end, matched words) of the passages of each chain: (parts, words of each region, the source's)."""
+def aligned(chained: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> Iterator[Iterator[tuple[int, int, int, int, int, bool]]]:
+    """(start, end, source_start, source_end, matched words, whether the text is known to end there) of the passages of each chain: (parts, words of each region, the source's)."""
     before = extensions([own[0][::-1] for _, own, _ in chained], [other[0][::-1] for _, _, other in chained])
     behind = extensions([own[-1] for _, own, _ in chained], [other[-1] for _, _, other in chained])
     for (parts, own, other), front, back in zip(chained, before, behind, strict=True):
@@ -575,7 +586,8 @@ def aligned(chained: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]
             gap = back if k == len(parts) - 1 else agreeing(own[k + 1], other[k + 1])
             places.append(np.where(gap >= 0, c + b - a + gap, -1))
         of_word = np.concatenate(places)
-        yield ((start + a, start + b, int(of_word[a]), int(of_word[b - 1]) + 1, int((of_word[a:b] >= 0).sum())) for a, b in passages(of_word))
+        stop = int(parts[-1, 1]) + len(own[-1]) if len(own[-1]) < MARGIN else -1
+        yield ((start + a, start + b, int(of_word[a]), int(of_word[b - 1]) + 1, int((of_word[a:b] >= 0).sum()), start + b == stop) for a, b in passages(of_word))
 
 
 def region_words(chained: DataFrame, docs: DataFrame) -> DataFrame:
@@ -605,13 +617,19 @@ def region_words(chained: DataFrame, docs: DataFrame) -> DataFrame:
     return groups.join(texts, "doc_id").select("wanted", "text").mapInArrow(run, schema)
 
 
-def chain_passages(chained: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows of SCHEMA: the passages of aligned chains."""
-    words = stored(region_words(chained, docs), "words")
+def clean(df: DataFrame) -> None:
+    """Has Spark delete the files of shuffles that nothing refers to any more; it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def chain_passages(chained: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows of SCHEMA: the passages of aligned chains; at_end: whether one is known to reach the end of its document."""
     own = words.filter("role = 0").select("chain", F.col("words").alias("own"), F.col("counts").alias("own_counts"))
     other = words.filter("role = 1").select("chain", F.col("words").alias("other"), F.col("counts").alias("other_counts"))
     joined = chained.join(own, "chain").join(other, "chain").select("doc_id", "source", "parts", "own", "own_counts", "other", "other_counts")
-    kind = arrow_schema(SCHEMA)
+    schema = f"{SCHEMA}, at_end boolean"
+    kind = arrow_schema(schema)
 
     def cut(words: bytes, counts: bytes) -> list[np.ndarray]:
         return np.split(np.frombuffer(words, np.uint32), np.cumsum(np.frombuffer(counts, np.int32))[:-1])
@@ -623,12 +641,12 @@ def chain_passages(chained: DataFrame, docs: DataFrame) -> DataFrame:
                 part = batch.slice(a, ALIGNED_CHAINS).to_pylist()
                 chained = [(np.frombuffer(r["parts"], np.int64).reshape(-1, 4), cut(r["own"], r["own_counts"]), cut(r["other"], r["other_counts"])) for r in part]
                 for r, found in zip(part, aligned(chained), strict=True):
-                    rows += [(r["doc_id"], start, end, r["source"], first, last, n, n / (end - start)) for start, end, first, last, n in found]
+                    rows += [(r["doc_id"], start, end, r["source"], first, last, n, n / (end - start), at_end) for start, end, first, last, n, at_end in found]
             if rows:
                 yield table_rows(dict(zip(kind.names, zip(*rows, strict=True), strict=True)), kind)
         give_back()
 
-    return joined.mapInArrow(run, SCHEMA)
+    return joined.mapInArrow(run, schema)
 
 
 def shared_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", few: int = FEW) -> DataFrame:
@@ -641,14 +659,22 @@ def shared_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     found = matches(docs)
-    first = stored(chain_passages(chains(found), docs).distinct(), "passages")
+    clean(docs)
+    chained = chains(found)
+    clean(docs)
+    words = stored(region_words(chained, docs), "words")
+    first = stored(chain_passages(chained, words).distinct(), "passages")
+    for table in (chained, words):
+        drop_table(docs.sparkSession, table.tidemark_path)
+    clean(docs)
     rest = rest_matches(found, first, few)
-    drop_table(docs.sparkSession, found.tidemark_path)
-    more = functools.reduce(DataFrame.unionByName, [only(table, MATCH) for table in rest])
+    more = functools.reduce(DataFrame.unionByName, [only(table, MATCH).withColumn("fresh", F.lit(int(k > 0))) for k, table in enumerate(rest)])
     chained = chains(more, lone_seeds=True)
     for table in rest:
         drop_table(docs.sparkSession, table.tidemark_path)
-    return first.unionByName(chain_passages(chained, docs)).distinct()
+    clean(docs)
+    words = stored(region_words(chained, docs), "words")
+    return first.unionByName(chain_passages(chained, words)).drop("at_end").distinct()
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
