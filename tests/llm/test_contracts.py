@@ -628,6 +628,54 @@ def test_chaining_is_best():
         assert score == pytest.approx(max(best(i) for i in range(len(parts))))
 
 
+def test_matches_are_packed(docs):
+    """Few rows for Spark to sort hold every match with a first occurrence."""
+    r = random.Random(12)
+    say = lambda n: ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(n)]
+    lines = [say(30) for _ in range(40)]
+    texts = [sum(r.sample(lines, 6), []) for _ in range(120)]
+    first, wanted = {}, set()
+    for i, text in enumerate(texts):
+        for k in range(len(text) - 3):
+            source = first.setdefault(tuple(text[k : k + 4]), (i, k))
+            if source[0] < i:
+                wanted.add((i, source[0], k, source[1]))
+    rows = substring.matches(docs([(i, " ".join(text)) for i, text in enumerate(texts)])).collect()
+    assert len(rows) < len(wanted) / 20
+    found = [x for row in rows if row["kind"] == substring.NEW for x in zip(*(c.tolist() for c in substring.columns_of(row["kind"], row["data"])), strict=True)]
+    found = [x[:4] for x in found if x[4] == substring.SEED_WORDS]
+    assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_packed_rows_come_back():
+    r = np.random.default_rng(3)
+    n = 5000
+    columns = [r.integers(-(1 << 63), (1 << 63) - 1, n), np.where(r.random(n) < 0.5, -(1 << 63), (1 << 63) - 1), r.integers(0, 1 << 40, n), np.full(n, -7), r.integers(0, 2, n)]
+    rows = substring.packed(substring.RUNS, 16, columns[2], columns).to_pylist()
+    assert [x["bucket"] for x in rows] == list(range(16))
+    back = [np.concatenate(x) for x in zip(*(substring.columns_of(x["kind"], x["data"]) for x in rows), strict=True)]
+    assert sorted(zip(*(x.tolist() for x in back), strict=True)) == sorted(zip(*(x.tolist() for x in columns), strict=True))
+    for keys in (columns[:3], [columns[3], columns[2], columns[4]], [r.integers(0, 9, n) << k for k in (30, 35, 36, 0)]):
+        order = substring.order_of(*keys)
+        assert all((k[order] == k[np.lexsort(keys[::-1])]).all() for k in keys)
+
+
+def test_only_chains_without_a_passage_are_left_out():
+    r = np.random.default_rng(4)
+    rows, chained = [], []
+    for _ in range(400):
+        words_ = int(r.integers(3, 60))
+        parts = np.array([[70, 78, 90, 8], [78 + words_, 86 + words_, 98 + words_, 8]])
+        own = [r.integers(0, 5000, k).astype(np.uint32) for k in (64, words_, int(r.integers(0, 65)))]
+        share = r.random()
+        other = [np.where(r.random(len(x)) < share, x, 9000).astype(np.uint32) for x in own]
+        rows.append({"parts": parts.tobytes(), "own": b"".join(x.tobytes() for x in own), "own_counts": np.array([len(x) for x in own], np.int32).tobytes(), "other": b"".join(x.tobytes() for x in other), "n": len(rows)})
+        chained.append((parts, own, other))
+    have = {k for k, found in enumerate(substring.aligned(chained)) if list(found)}
+    kept = {x["n"] for x in substring.hopeful(rows)}
+    assert have <= kept and 50 < len(have) and len(kept) < 350
+
+
 def test_substring_odd(odd, empty):
     assert substring.shared_passages(odd).count() == 0
     assert substring.shared_passages(empty).count() == 0

@@ -4,6 +4,7 @@
 2. Each seed is matched with its first occurrence (the smallest doc_id, then place), so a passage in any number of documents makes
    matches in proportion to its occurrences, never pairs of them. Steps 3 and 4 follow; then, where a document has no passage yet, they
    are done again with the other occurrences (see rest_matches).
+   On their way matches are packed, too (see PACKED): Spark deals out a few rows of bytes, and numpy sorts the numbers in a bucket.
 3. Matches of two documents on one diagonal become segments; a Fenwick tree chains segments in both texts' order, with gap costs.
 4. Chains are aligned: the words of both texts between segments by edit distance, and around the ends as far as they agree. Passages
    are the longest parts of an alignment of which enough words agree.
@@ -14,11 +15,12 @@ from __future__ import annotations
 import bisect
 import functools
 import gc
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_schema, drop_table, free_name, give_back, mix64, slices, stored, table_rows, windows, word_hashes
@@ -51,12 +53,32 @@ SCHEMA = "doc_id long, start_word long, end_word long, source_doc_id long, sourc
 # --- seeds -------------------------------------------------------------------------------------------------------------
 
 
-def long_places(hashes: np.ndarray) -> np.ndarray:
-    """Places of the long seeds of a text, from the hashes of its runs of LONG_WORDS words."""
-    if len(hashes) < LONG_EVERY:
+def long_places(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the long seeds, from the hashes of runs of LONG_WORDS words. doc: the text of each word."""
+    n = len(hashes) - LONG_EVERY + 1
+    if n <= 0:
         return np.zeros(0, np.int64)
-    seen = np.lib.stride_tricks.sliding_window_view(hashes, LONG_EVERY)
-    return np.unique(seen.argmin(1) + np.arange(len(seen)))
+    best = functools.reduce(np.minimum, (hashes[k : k + n] for k in range(LONG_EVERY)))
+    chosen, left = np.zeros(len(hashes), bool), doc[:n] == doc[LONG_WORDS + LONG_EVERY - 2 :][:n]
+    for k in range(LONG_EVERY):
+        found = left & (hashes[k : k + n] == best)
+        chosen[k : k + n] |= found
+        left &= ~found
+    return np.flatnonzero(chosen)
+
+
+def planes(x: np.ndarray, width: int) -> list[np.ndarray]:
+    """The lowest bytes of the numbers, the next ones, and so on."""
+    return [(x >> np.uint64(8 * k)).astype(np.uint8) for k in range(width)]
+
+
+def unpacked(raw: bytes, width: int, size: int = -1, at: int = 0) -> np.ndarray:
+    """The numbers whose planes begin at a place of raw, one behind the other."""
+    size = len(raw) // width if size < 0 else size
+    out = np.zeros(size, np.uint64)
+    for k in range(width):
+        out |= np.frombuffer(raw, np.uint8, size, at + k * size).astype(np.uint64) << np.uint64(8 * k)
+    return out
 
 
 def told_apart(rolled: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -91,15 +113,16 @@ def seeds(docs: DataFrame, bits: int) -> DataFrame:
         def packed() -> pa.RecordBatch:
             seed, ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = (seed >> np.uint64(64 - bits)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
             bucket, seed, ids, pos = bucket[order], seed[order] << np.uint64(bits) >> np.uint64(24), ids[order], pos[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-            rows: dict[str, list] = {"bucket": bucket[cut], "base": [], "seeds": [], "places": [], "docs": []}
+            steps = np.diff(ids, prepend=0)
+            steps[cut] = 0
+            bytes_ = {"seeds": planes(seed, 5), "places": planes(pos.view(np.uint64), 4), "docs": planes(steps.view(np.uint64), 8)}
+            rows: dict[str, list] = {"bucket": bucket[cut], "base": ids[cut], "seeds": [], "places": [], "docs": []}
             for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
-                base = int(ids[a])
-                rows["base"].append(base)
-                for name, x, width in (("seeds", seed[a:b], 5), ("places", pos[a:b], 4), ("docs", np.diff(ids[a:b], prepend=base), 8)):
-                    rows[name].append(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+                for name, of in bytes_.items():
+                    rows[name].append(b"".join([x[a:b].tobytes() for x in of]))
             held.clear()
             return table_rows(rows, kind)
 
@@ -113,8 +136,7 @@ def seeds(docs: DataFrame, bits: int) -> DataFrame:
                 continue
             held.append((rolled[where], part.column(0).to_numpy(zero_copy_only=False)[doc[where]], 2 * (where - at[doc[where]])))
             rolled = told_apart(windows(hashes, LONG_WORDS), doc)
-            of_text = [long_places(rolled[a : max(a, b - LONG_WORDS + 1)]) + a for a, b in zip(at[:-1], at[1:], strict=True)]
-            longer = np.concatenate(of_text)
+            longer = long_places(rolled, doc)
             held.append((rolled[longer], part.column(0).to_numpy(zero_copy_only=False)[doc[longer]], 2 * (longer - at[doc[longer]]) + 1))
             n += len(where) + len(longer)
             if n > HELD_SEEDS:
@@ -126,19 +148,159 @@ def seeds(docs: DataFrame, bits: int) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").mapInArrow(run, schema)
 
 
-def unpacked(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
-    return out.reshape(-1).view("<u8")
+# --- packed rows -------------------------------------------------------------------------------------------------------
+
+#: Rows of numbers on their way, packed by bucket: Spark moves and sorts few of these rows, numpy sorts what is in them.
+PACKED = "kind int, bucket int, data binary"
+PACKED_KIND = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
+#: Kinds: matches that aren't chained yet, those that are (doc_id, source, pos, source_pos, words); runs of words that occur more than
+#: twice (a hash, doc_id, the first and the last seed's places, 1 if the document's passages are still open there); passages (doc_id, start, end).
+NEW, KNOWN, RUNS, SPANS = range(4)
+#: Bytes of text whose matches make a bucket (less until there are 64, so that small tables keep all cores busy), and rows that are
+#: packed, or worked on, at a time. Each task makes a row for each bucket, so there are no more buckets than memory asks for.
+ROWS_BYTES, FEW_BYTES, HELD_ROWS, STEP_ROWS = 12 << 20, 3 << 20, 500_000, 50_000
+
+
+def dense(x: np.ndarray) -> np.ndarray:
+    """Equal numbers as one small number, in their order."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], x[order[1:]] != x[order[:-1]]]))
+    return out
+
+
+def order_of(*keys: np.ndarray) -> np.ndarray:
+    """The rows' order by the first key, then the next: one sort of all keys together where they fit in 63 bits. Ties in any order."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    whole, width = np.zeros(len(keys[0]), np.int64), 0
+    for key in keys:
+        low, high = int(key.min()), int(key.max())
+        if high - low >= 1 << 40:
+            key = dense(key)
+            low, high = 0, int(key.max())
+        bits = (high - low).bit_length()
+        if width + bits > 63:
+            whole = dense(whole)
+            width = int(whole.max()).bit_length()
+        if width + bits > 63:
+            return np.lexsort(keys[::-1])
+        whole, width = (whole << bits) | (key - low), width + bits
+    return np.argsort(whole)
+
+
+def cuts(key: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Parts of about `size` rows, cut where the sorted key changes."""
+    if not len(key):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    at = np.minimum(np.searchsorted(first, np.arange(size, len(key), size)), len(first) - 1)
+    bounds = np.unique(np.concatenate([[0], first[at], [len(key)]])).tolist()
+    return list(zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def packed(kind: int, buckets: int, key: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of PACKED: the columns' rows by buckets of their key. Each column is stored as differences from its smallest number, byte by
+    byte (all lowest bytes first), with as many bytes as the largest needs."""
+    bucket = mix64(key.view(np.uint64)) % np.uint64(buckets)
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([cut, [len(bucket)]]))
+    lows, widths, sorted_ = [], [], []
+    for x in columns:
+        x = x.astype(np.int64, copy=False)[order]
+        low = np.minimum.reduceat(x, cut) if len(cut) else cut
+        x = x.view(np.uint64) - np.repeat(low, sizes).view(np.uint64)
+        high = np.maximum.reduceat(x, cut) if len(cut) else x
+        lows.append(low.tolist())
+        widths.append([(h.bit_length() + 7) // 8 for h in high.tolist()])
+        sorted_.append(planes(x, max(widths[-1], default=0)))
+    n, data = len(columns), []
+    for k, (a, size) in enumerate(zip(cut.tolist(), sizes.tolist(), strict=True)):
+        parts = [struct.pack(f"<q{n}q{n}B", size, *(x[k] for x in lows), *(x[k] for x in widths))]
+        parts += [x[a : a + size].tobytes() for of, w in zip(sorted_, widths, strict=True) for x in of[: w[k]]]
+        data.append(b"".join(parts))
+    return table_rows({"kind": np.full(len(cut), kind, np.int32), "bucket": bucket[cut].astype(np.int32), "data": data}, PACKED_KIND)
+
+
+def columns_of(kind: int, data: bytes) -> list[np.ndarray]:
+    n = 3 if kind == SPANS else 5
+    head = f"<q{n}q{n}B"
+    size, *rest = struct.unpack_from(head, data)
+    at, out = struct.calcsize(head), []
+    for low, width in zip(rest[:n], rest[n:], strict=True):
+        out.append(unpacked(data, width, size, at).view(np.int64) + np.int64(low))
+        at += size * width
+    return out
+
+
+class Packer:
+    """Packs rows of one kind when enough of them came."""
+
+    def __init__(self, kind: int, buckets: int, by: int):
+        self.kind, self.buckets, self.by, self.held, self.n = kind, buckets, by, [], 0
+
+    def add(self, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(columns[0]):
+            self.held.append(columns)
+            self.n += len(columns[0])
+        if self.n > HELD_ROWS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            columns = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+            self.held, self.n = [], 0
+            for a in range(0, len(columns[0]), 2 * HELD_ROWS):
+                yield packed(self.kind, self.buckets, columns[self.by][a : a + 2 * HELD_ROWS], [x[a : a + 2 * HELD_ROWS] for x in columns])
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of PACKED, those of a bucket together."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind")
+
+
+def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[np.ndarray]]]:
+    """The columns of each kind, bucket by bucket."""
+    held: dict[int, list[list[np.ndarray]]] = {}
+    at = -1
+
+    def whole() -> dict[int, list[np.ndarray]]:
+        out = {kind: [np.concatenate(x) for x in zip(*parts, strict=True)] for kind, parts in held.items()}
+        held.clear()
+        return out
+
+    for batch in batches:
+        for kind, bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if held and bucket != at:
+                yield whole()
+                give_back()
+            at = bucket
+            held.setdefault(kind, []).append(columns_of(kind, data.as_buffer()))
+    if held:
+        yield whole()
+    give_back()
+
+
+# --- matches -----------------------------------------------------------------------------------------------------------
 
 
-def matches_of(seed: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+def matches_of(seed: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """doc_id, source, pos, source_pos and words of a bucket's seeds that an earlier document has, with their first occurrence; seed,
     doc_id and pos of the short ones that occur more than twice, so that first occurrences aren't all (see rest_matches)."""
-    order = np.argsort(seed, kind="stable")
-    same = seed[order[1:]] == seed[order[:-1]]
-    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # seeds that occur again
-    order = order[np.lexsort((pos[order], ids[order], seed[order]))]
+    if len(seed) < 1 << 24:  # seeds have 40 bits
+        order = np.sort(seed << np.uint64(24) | np.arange(len(seed), dtype=np.uint64))
+        seed, order = order >> np.uint64(24), (order & np.uint64((1 << 24) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(seed)
+        seed = seed[order]
+    same = seed[1:] == seed[:-1]
+    again = np.concatenate([[False], same]) | np.concatenate([same, [False]])  # seeds that occur again
+    seed, order = seed[again], order[again]
+    ids, pos = ids[order], pos[order]
+    order = order_of(np.cumsum(np.concatenate([[False], seed[1:] != seed[:-1]])[: len(seed)]), ids, pos)
     seed, ids, pos = seed[order], ids[order], pos[order]
     first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else np.zeros(0, np.int64)
     sizes = np.diff(np.concatenate([first, [len(seed)]]))
@@ -146,52 +308,29 @@ def matches_of(seed: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[tupl
     first = np.repeat(first, sizes)
     later = ids[first] < ids
     first = first[later]
-    found = ids[later], ids[first], pos[later] >> 1, pos[first] >> 1, np.where(pos[later] & 1, LONG_WORDS, SEED_WORDS)
-    return found, (seed[more], ids[more], pos[more] >> 1)
-
-
-MATCH = "doc_id long, source long, pos int, source_pos int, words int"
-#: A run of words that occurs more than twice: its first and last seed's places, and 1 if its document's passages are still open there.
-RUN = "run long, run_id long, run_pos int, run_last int, run_open int"
-
-
-#: Rows of an Arrow batch that leaves Python.
-BATCH_ROWS = 100_000
-
-
-def found_rows(kind: pa.Schema, columns: list[np.ndarray], runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows of MATCH, then rows of RUN; the other's columns are null."""
-    k = len(columns)
-    for a in range(0, len(columns[0]), BATCH_ROWS):
-        of = [pa.array(x[a : a + BATCH_ROWS], f.type, safe=False) for x, f in zip(columns, list(kind)[:k], strict=True)]
-        yield pa.RecordBatch.from_arrays(of + [pa.nulls(len(of[0]), f.type) for f in list(kind)[k:]], schema=kind)
-    for a in range(0, len(runs[0]), BATCH_ROWS):
-        of = [pa.array(x[a : a + BATCH_ROWS], f.type, safe=False) for x, f in zip(runs, list(kind)[k:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(of[0]), f.type) for f in list(kind)[:k]] + of, schema=kind)
-
-
-def only(table: DataFrame, columns: str) -> DataFrame:
-    """The rows of MATCH or of RUN in a table of both."""
-    names = [c.split()[0] for c in columns.split(", ")]
-    return table.filter(F.col(names[0]).isNotNull()).select(*names)
+    found = [ids[later], ids[first], pos[later] >> 1, pos[first] >> 1, np.where(pos[later] & 1, LONG_WORDS, SEED_WORDS)]
+    return found, [seed[more], ids[more], pos[more] >> 1]
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """Rows of MATCH: seeds that an earlier document has, with their first occurrence. Rows of RUN: all that occur more than twice."""
+    """Rows of PACKED by doc_id: seeds that an earlier document has, with their first occurrence (NEW), and all that occur more than twice (RUNS).
+    `.tidemark_buckets` of the result is the number of buckets."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, size / BUCKET_BYTES))), 4, 20))
-    schema = f"{MATCH}, {RUN}"
-    kind = arrow_schema(schema)
+    buckets = int(max(16, min(64, size // FEW_BYTES), size // ROWS_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Packer(NEW, buckets, 0), Packer(RUNS, buckets, 1)
+
         def found(held: list[tuple], bucket: int) -> Iterator[pa.RecordBatch]:
             arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
             columns, (seed, ids, pos) = matches_of(*arrays)
             arrays.clear()
             give_back()
+            yield from out[0].add(columns)
             key = mix64(seed + (np.uint64(bucket) << np.uint64(40))).view(np.int64)
-            yield from found_rows(kind, list(columns), [key, ids, pos, pos, np.ones(len(pos), np.int32)])
+            yield from out[1].add([key, ids, pos, pos, np.ones(len(pos), np.int64)])
 
         held, bucket = [], 0
         for batch in batches:
@@ -202,10 +341,14 @@ def matches(docs: DataFrame) -> DataFrame:
                 held.append((unpacked(r["seeds"], 5), np.cumsum(unpacked(r["docs"], 8).view(np.int64)) + r["base"], unpacked(r["places"], 4).view(np.int64)))
         if held:
             yield from found(held, bucket)
+        for x in out:
+            yield from x.rest()
         give_back()
 
-    dealt = seeds(docs, bits).repartition(min(1 << bits, BUCKET_TASKS), "bucket").sortWithinPartitions("bucket")
-    return stored(dealt.mapInArrow(run, schema), "matches")
+    by_hash = seeds(docs, bits).repartition(min(1 << bits, BUCKET_TASKS), "bucket").sortWithinPartitions("bucket")
+    out = stored(by_hash.mapInArrow(run, PACKED), "matches")
+    out.tidemark_buckets = buckets
+    return out
 
 
 # --- occurrences behind the first one ----------------------------------------------------------------------------------
@@ -228,110 +371,133 @@ def pairs_of(run: np.ndarray, ids: np.ndarray, opened: np.ndarray, few: int, ski
     return later[apart], earlier[apart], np.flatnonzero(many & np.repeat(np.logical_or.reduceat(opened, first), sizes))
 
 
-def link(runs: DataFrame, words: int, ahead: int) -> DataFrame:
-    """Each run joined with the next one of its document that starts not before its end or, with ahead, so many words behind its start.
+def linked(ids: np.ndarray, run: np.ndarray, pos: np.ndarray, last: np.ndarray, opened: np.ndarray, words: int, ahead: int) -> list[np.ndarray]:
+    """Each run joined with the next one of its document that starts not before its end or, with ahead, so many words behind its start. The arrays are sorted by document and places.
 
     Seeds are also joined over others: the last one of each series of frequent seeds with the first one of each later series. All of
     them start at most LEAST_WORDS behind the end of what they are joined with. Rare words between them don't matter."""
-    kind = arrow_schema(RUN)
-
-    def joined(run: np.ndarray, ids: np.ndarray, pos: np.ndarray, last: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
-        of = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])]) << 40
-        place, end = of + pos, of + last + SEED_WORDS
-        other = np.searchsorted(place, place + ahead if ahead else end)
-        one = np.arange(len(pos))
-        if words == 2 * SEED_WORDS:
-            broken = place[1:] > place[:-1] + 1
-            begins, stops = np.flatnonzero(np.concatenate([[True], broken])), np.flatnonzero(np.concatenate([broken, [True]]))
-            low, high = np.searchsorted(place[begins], end[stops]), np.searchsorted(place[begins], end[stops] + LEAST_WORDS, "right")
-            counts = high - low
-            nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            over = np.repeat(stops, counts), begins[np.repeat(low, counts) + nth]
-            new = over[1] != other[over[0]]
-            one, other = np.concatenate([one, over[0][new]]), np.concatenate([other, over[1][new]])
-        good = other < len(pos)
-        good[good] = place[other[good]] <= end[one[good]] + LEAST_WORDS  # nor in another document
-        one, other = one[good], other[good]
-        both = mix64(run[one].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(run[other].view(np.uint64)) + np.uint64(words))
-        return table_rows(dict(zip(kind.names, (both.view(np.int64), ids[one], pos[one].astype(np.int32), last[other].astype(np.int32), (opened[one] | opened[other]).astype(np.int32)), strict=True)), kind)
+    of = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])]) << 40
+    place, end = of + pos, of + last + SEED_WORDS
+    other = np.searchsorted(place, place + ahead if ahead else end)
+    one = np.arange(len(pos))
+    if words == 2 * SEED_WORDS:
+        broken = place[1:] > place[:-1] + 1
+        begins, stops = np.flatnonzero(np.concatenate([[True], broken])), np.flatnonzero(np.concatenate([broken, [True]]))
+        low, high = np.searchsorted(place[begins], end[stops]), np.searchsorted(place[begins], end[stops] + LEAST_WORDS, "right")
+        counts = high - low
+        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        over = np.repeat(stops, counts), begins[np.repeat(low, counts) + nth]
+        new = over[1] != other[over[0]]
+        one, other = np.concatenate([one, over[0][new]]), np.concatenate([other, over[1][new]])
+    good = other < len(pos)
+    good[good] = place[other[good]] <= end[one[good]] + LEAST_WORDS  # nor in another document
+    one, other = one[good], other[good]
+    both = mix64(run[one].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(run[other].view(np.uint64)) + np.uint64(words))
+    return [both.view(np.int64), ids[one], pos[one], last[other], opened[one] | opened[other]]
+
+
+def link(runs: DataFrame, buckets: int, words: int, ahead: int) -> DataFrame:
+    """RUNS by run: those of `runs`, which are by doc_id, joined (see linked)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in whole_groups(batches, 1):
-            yield joined(*x)
-
-    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartition(tasks, "run_id").sortWithinPartitions("run_id", "run_pos", "run_last").mapInArrow(step, RUN)
-
+        out = Packer(RUNS, buckets, 0)
+        for kinds in buckets_of(batches):
+            run, ids, pos, last, opened = kinds[RUNS]
+            order = order_of(ids, pos, last)
+            for a, b in cuts(ids[order], STEP_ROWS):
+                yield from out.add(linked(*(x[order[a:b]] for x in (ids, run, pos, last, opened)), words, ahead))
+        yield from out.rest()
 
-def whole_groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
-    """Columns of the batches' rows, cut where column `by` changes."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = [c.to_numpy().astype(np.int64) for c in batch.columns]
-        last = x[by][-1]
-        if held and held[0][by][-1] == last:  # one group so far
-            held.append(x)
-            continue
-        starts = int(np.argmax(x[by] == last))
-        if held or starts:
-            yield [np.concatenate(c) for c in zip(*held, [c[:starts] for c in x], strict=True)]
-        held = [[c[starts:] for c in x]]
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-    give_back()
+    return dealt(runs).mapInArrow(step, PACKED)
 
 
-def run_matches(runs: DataFrame, few: int) -> DataFrame:
-    """Rows of MATCH: the first and last seed of open runs that an earlier document has; of runs with more than `few` places only with the
-    first one, and these runs as rows of RUN."""
-    schema = f"{MATCH}, {RUN}"
-    kind = arrow_schema(schema)
+def run_matches(runs: DataFrame, buckets: int, few: int) -> DataFrame:
+    """Matches (NEW, by doc_id) of the first and last seed of open runs that an earlier document has; of runs with more than `few` places
+    only with the first one, and these runs (RUNS, by doc_id). runs: RUNS by run."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in whole_groups(batches, 0):
-            run, ids, pos, last, opened = x
-            later, earlier, many = pairs_of(run, ids, opened, few, last == pos)
-            two = last[later] != pos[later]
-            ends = [np.concatenate([pos[i], last[i[two]]]) for i in (later, earlier)]
-            later, earlier = (np.concatenate([i, i[two]]) for i in (later, earlier))
-            yield from found_rows(kind, [ids[later], ids[earlier], *ends, np.full(len(later), SEED_WORDS)], [c[many] for c in x])
+        out = Packer(NEW, buckets, 0), Packer(RUNS, buckets, 1)
+        for kinds in buckets_of(batches):
+            order = order_of(*kinds[RUNS][:3])
+            run = kinds[RUNS][0][order]
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            sizes = np.diff(np.concatenate([first, [len(run)]]))
+            order = order[np.repeat((sizes > 1) & (np.maximum.reduceat(kinds[RUNS][4][order], first) > 0), sizes)]
+            for a, b in cuts(kinds[RUNS][0][order], STEP_ROWS):
+                x = [c[order[a:b]] for c in kinds[RUNS]]
+                run, ids, pos, last, opened = x
+                later, earlier, many = pairs_of(run, ids, opened, few, last == pos)
+                two = last[later] != pos[later]
+                ends = [np.concatenate([pos[i], last[i[two]]]) for i in (later, earlier)]
+                later, earlier = (np.concatenate([i, i[two]]) for i in (later, earlier))
+                yield from out[0].add([ids[later], ids[earlier], *ends, np.full(len(later), SEED_WORDS)])
+                yield from out[1].add([c[many] for c in x])
+        for x in out:
+            yield from x.rest()
+
+    return dealt(runs).mapInArrow(step, PACKED)
+
+
+def closed(ids: np.ndarray, pos: np.ndarray, spans: list[np.ndarray] | None) -> np.ndarray:
+    """Whether any LEAST_WORDS words with the place are all in passages. spans: (doc_id, start, end) of these."""
+    if spans is None or not len(ids):
+        return np.zeros(len(ids), bool)
+    docs, start, end = (x[order_of(*spans)] for x in spans)
+    end = np.minimum(end, 1 << 39)
+    known = docs[np.concatenate([[True], docs[1:] != docs[:-1]])]
+    of = np.searchsorted(known, docs) << 40
+    reach = np.maximum.accumulate(of + end)
+    new = np.concatenate([[True], (of + start)[1:] > reach[:-1]])  # overlapping ones count as one
+    starts = (of + start)[new]
+    ends = reach[np.concatenate([np.flatnonzero(new)[1:], [len(new)]]) - 1]
+    doc = np.searchsorted(known, ids)
+    has = known[np.minimum(doc, len(known) - 1)] == ids
+    at = np.searchsorted(starts, (doc << 40) + np.maximum(pos - (LEAST_WORDS - SEED_WORDS), 0), "right") - 1
+    return has & (at >= 0) & (ends[np.maximum(at, 0)] >= (doc << 40) + pos + LEAST_WORDS)
+
+
+def still_open(found: DataFrame, passages: DataFrame, buckets: int) -> DataFrame:
+    """Of the matches those where passages don't cover a document yet (KNOWN, by doc_id); all runs (RUNS, by run), with whether they are."""
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, start, end, at_end = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield packed(SPANS, buckets, ids, [ids, start, np.where(at_end, 1 << 62, end)])
 
-    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartition(tasks, "run").sortWithinPartitions("run", "run_id", "run_pos").mapInArrow(step, schema)
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Packer(KNOWN, buckets, 0), Packer(RUNS, buckets, 0)
+        for kinds in buckets_of(batches):
+            if NEW in kinds:
+                x = kinds.pop(NEW)
+                is_open = ~closed(x[0], x[2], kinds.get(SPANS))
+                yield from out[0].add([c[is_open] for c in x])
+            if RUNS in kinds:
+                run, ids, pos, last, _ = kinds.pop(RUNS)
+                yield from out[1].add([run, ids, pos, last, (~closed(ids, pos, kinds.get(SPANS))).astype(np.int64)])
+        for x in out:
+            yield from x.rest()
+
+    spans_ = passages.select("doc_id", "start_word", "end_word", "at_end").mapInArrow(spans, PACKED)
+    return dealt(found.unionByName(spans_)).mapInArrow(step, PACKED)
 
 
 def rest_matches(found: DataFrame, passages: DataFrame, few: int) -> list[DataFrame]:
-    """Tables with rows of MATCH, in place of found: where passages don't cover a document yet, its seeds with other earlier occurrences than the first.
+    """Tables with matches, in place of found: where passages don't cover a document yet, the known ones, and its seeds with other earlier occurrences than the first.
 
     A place is open if any LEAST_WORDS words with it aren't all in passages. A seed that at most `few` places have is matched with all
     earlier ones. One that more have is joined with the next such seeds of its text to runs of 8 words, that again are matched with all
     or, if more than `few` places have them, joined to 16, 32 and 50 words. What has those is a passage, so the first one is enough."""
-    spans = passages.select("doc_id", "start_word", F.when(F.col("at_end"), F.lit(1 << 62)).otherwise(F.col("end_word")).alias("end_word"))
-    before = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
-    apart = F.coalesce(F.col("start_word") > F.max("end_word").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    spans = spans.withColumn("_new", apart.cast("int")).withColumn("_span", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("doc_id", "_span").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
-    spans = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
-    spans = F.broadcast(spans) if passages.count() <= BROADCAST_IDS else spans
-
-    def opened(df: DataFrame, doc_id: str, pos: str) -> tuple[DataFrame, Column]:
-        reach = LEAST_WORDS - SEED_WORDS
-        covers = lambda x: (x["start_word"] <= F.greatest(F.col(pos) - reach, F.lit(0))) & (x["end_word"] >= F.col(pos) + LEAST_WORDS)
-        return df.join(spans, F.col(doc_id) == F.col("_id"), "left"), F.col("_spans").isNull() | ~F.exists("_spans", covers)
-
-    runs, is_open = opened(only(found, RUN), "run_id", "run_pos")
-    runs = runs.withColumn("run_open", is_open.cast("int")).drop("_id", "_spans")
-    first, is_open = opened(only(found, MATCH), "doc_id", "pos")
-    tables = [stored(first.filter(is_open).drop("_id", "_spans"), "open"), stored(run_matches(runs, few), "rest")]
+    buckets = found.tidemark_buckets
+    tables = [stored(still_open(found, passages, buckets), "open")]
     drop_table(found.sparkSession, found.tidemark_path)
+    clean(found)
+    tables.append(stored(run_matches(tables[0].filter(F.col("kind") == RUNS), buckets, few), "rest"))
     for words, ahead in LINKS:
         clean(found)
-        runs = only(tables[-1], RUN)
+        runs = tables[-1].filter(F.col("kind") == RUNS)
         if runs.isEmpty():
             break
-        tables.append(stored(run_matches(link(runs, words, ahead), few), "rest"))
+        tables.append(stored(run_matches(link(runs, buckets, words, ahead), buckets, few), "rest"))
     return tables
 
 
@@ -340,10 +506,8 @@ def rest_matches(found: DataFrame, passages: DataFrame, few: int) -> list[DataFr
 
 def segments(pair: np.ndarray, pos: np.ndarray, source: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows (start, end, source_start, matched words) of matches on one diagonal that touch each other (all their words agree), and
-    the document pair of each."""
-    order = np.lexsort((pos, pos - source, pair))
-    pair, pos, source, end = pair[order], pos[order], source[order], (pos + words)[order]
-    off = pos - source
+    the document pair of each. The arrays are sorted by pair, diagonal and place."""
+    end, off = pos + words, pos - source
     other = np.concatenate([[True], (pair[1:] != pair[:-1]) | (off[1:] != off[:-1])])
     room = (np.cumsum(other) - 1) << 32  # so that one running maximum serves all diagonals
     reach = np.maximum.accumulate(end + room) - room
@@ -444,31 +608,46 @@ def chains(found: DataFrame, lone_seeds: bool = False) -> DataFrame:
     schema = "doc_id long, source long, parts binary"
     kind = arrow_schema(schema)
 
+    def of_docs(ids: np.ndarray, sources: np.ndarray, pos: np.ndarray, source_pos: np.ndarray, words: np.ndarray, fresh: np.ndarray) -> list[tuple]:
+        order = order_of(ids, sources, pos - source_pos, pos)
+        ids, sources, pos, source_pos, words, fresh = (x[order] for x in (ids, sources, pos, source_pos, words, fresh))
+        starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (sources[1:] != sources[:-1])]))
+        pair = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(ids)]])))
+        parts, of_pair = segments(pair, pos, source_pos, words)
+        lone = np.zeros(len(parts), bool)
+        at = np.searchsorted(of_pair, np.arange(len(starts) + 1))
+        new = np.bincount(pair, fresh, len(starts)) > 0
+        enough = new & (np.bincount(of_pair, parts[:, 3], len(starts)) >= 2 * SEED_WORDS)
+        if lone_seeds:
+            doc = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])])
+            places, at_doc = open_windows(doc, pos, words, parts, doc[starts][of_pair])
+            low = at_doc[doc[starts][of_pair]]
+            lone = places[np.minimum(low + parts[:, 0], len(places) - 2) + 1] > places[np.maximum(low + parts[:, 1] - LEAST_WORDS, low)]
+        rows = []
+        for k in np.flatnonzero(enough | (np.bincount(of_pair, lone, len(starts)) > 0)):
+            own = slice(at[k], at[k + 1])
+            rows += [(ids[starts[k]], sources[starts[k]], chain.tobytes()) for chain in chains_of(parts[own], lone[own], new[k])]
+        return rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sources, pos, source_pos, words, fresh in whole_groups(batches, 0):
-            starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (sources[1:] != sources[:-1])]))
-            pair = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(ids)]])))
-            parts, of_pair = segments(pair, pos, source_pos, words)
-            lone = np.zeros(len(parts), bool)
-            at = np.searchsorted(of_pair, np.arange(len(starts) + 1))
-            new = np.bincount(pair, fresh, len(starts)) > 0
-            enough = new & (np.bincount(of_pair, parts[:, 3], len(starts)) >= 2 * SEED_WORDS)
-            if lone_seeds:
-                doc = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])])
-                places, at_doc = open_windows(doc, pos, words, parts, doc[starts][of_pair])
-                low = at_doc[doc[starts][of_pair]]
-                lone = places[np.minimum(low + parts[:, 0], len(places) - 2) + 1] > places[np.maximum(low + parts[:, 1] - LEAST_WORDS, low)]
-            rows = []
-            for k in np.flatnonzero(enough | (np.bincount(of_pair, lone, len(starts)) > 0)):
-                own = slice(at[k], at[k + 1])
-                rows += [(ids[starts[k]], sources[starts[k]], chain.tobytes()) for chain in chains_of(parts[own], lone[own], new[k])]
-            yield table_rows(dict(zip(kind.names, zip(*rows, strict=True) if rows else [[], [], []], strict=True)), kind)
+        for kinds in buckets_of(batches):
+            parts = [(*kinds[k], np.full(len(kinds[k][0]), k == NEW)) for k in (NEW, KNOWN) if k in kinds]
+            kinds.clear()
+            x = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            if not lone_seeds:  # pairs with one short seed have no chain; two of another pair's hash make no difference
+                pair = mix64(mix64(x[0].view(np.uint64)) + x[1].view(np.uint64)) >> np.uint64(64 - max(10, 2 + len(x[0]).bit_length()))
+                some = (np.bincount(pair.astype(np.int64))[pair.astype(np.int64)] > 1) | (x[4] > SEED_WORDS)
+                x = [c[some] for c in x]
+            order = np.argsort(x[0])
+            x = [c[order] for c in x]
+            for a, b in cuts(x[0], 4 * STEP_ROWS):
+                rows = of_docs(*(c[a:b] for c in x))
+                if rows:
+                    yield table_rows(dict(zip(kind.names, zip(*rows, strict=True), strict=True)), kind)
+            del x
+            give_back()
 
-    if "fresh" not in found.columns:
-        found = only(found, MATCH).withColumn("fresh", F.lit(1))
-    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be merged into few tasks
-    dealt = found.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "source", "pos", "source_pos")
-    return stored(dealt.mapInArrow(run, schema).withColumn("chain", F.monotonically_increasing_id()), "chains")
+    return stored(dealt(found.filter(F.col("kind") <= KNOWN)).mapInArrow(run, schema).withColumn("chain", F.monotonically_increasing_id()), "chains")
 
 
 # --- alignment ---------------------------------------------------------------------------------------------------------
@@ -590,6 +769,34 @@ def aligned(chained: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]
         yield ((start + a, start + b, int(of_word[a]), int(of_word[b - 1]) + 1, int((of_word[a:b] >= 0).sum()), start + b == stop) for a, b in passages(of_word))
 
 
+def hopeful(rows: list[dict]) -> list[dict]:
+    """Rows of chains (parts, own, own_counts, other) that may have a passage: if each word of their regions that the source's have, too,
+    agreed, enough words of a long enough part would."""
+    counts = [np.frombuffer(r["own_counts"], np.int32) for r in rows]
+    parts = [np.frombuffer(r["parts"], np.int64).reshape(-1, 4) for r in rows]
+    numbers = np.arange(len(rows), dtype=np.uint64) << np.uint64(32)
+    own, other = (np.frombuffer(b"".join(r[k] for r in rows), np.uint32) + np.repeat(numbers, [len(r[k]) // 4 for r in rows]) for k in ("own", "other"))
+    pieces, kinds = [], []  # for each chain a place before it, then regions (0) and segments (1) in turn
+    for n, p in zip(counts, parts, strict=True):
+        sizes = np.ones(2 * len(n), np.int64)
+        sizes[1::2] = n
+        sizes[2::2] = p[:, 1] - p[:, 0]
+        pieces.append(sizes)
+        kinds.append(np.arange(len(sizes)) % 2)
+        kinds[-1][0] = 2
+    sizes, kinds = np.concatenate(pieces), np.concatenate(kinds)
+    chain = np.repeat(np.repeat(np.arange(len(rows)), [len(x) for x in pieces]), sizes)
+    kinds = np.repeat(kinds, sizes)
+    gain = np.where(kinds == 0, 4 - round(4 * LEAST_SHARE), 0)
+    gain[kinds == 1] = np.where(np.isin(own, other), 4, 0) - round(4 * LEAST_SHARE)
+    score = np.cumsum(gain) - chain * (8 * len(gain))  # so that one running minimum serves all chains
+    low = np.minimum.accumulate(score)
+    good = (score[LEAST_WORDS:] >= low[:-LEAST_WORDS]) & (chain[LEAST_WORDS:] == chain[:-LEAST_WORDS])
+    hope = np.zeros(len(rows), bool)
+    hope[chain[LEAST_WORDS:][good]] = True
+    return [r for r, x in zip(rows, hope.tolist(), strict=True) if x]
+
+
 def region_words(chained: DataFrame, docs: DataFrame) -> DataFrame:
     """(chain, role, words): the words of the chains' regions as 32-bit hashes, and how many each region has; role 0: the document's, 1: the source's."""
     wanted = chained.select("chain", "parts", F.explode(F.array(F.struct(F.lit(0).alias("role"), F.col("doc_id")), F.struct(F.lit(1).alias("role"), F.col("source").alias("doc_id")))).alias("x"))
@@ -637,8 +844,9 @@ def chain_passages(chained: DataFrame, words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a in range(0, batch.num_rows, ALIGNED_CHAINS):
-                part = batch.slice(a, ALIGNED_CHAINS).to_pylist()
+            some = [r for a in range(0, batch.num_rows, 8 * ALIGNED_CHAINS) for r in hopeful(batch.slice(a, 8 * ALIGNED_CHAINS).to_pylist())]
+            for a in range(0, len(some), ALIGNED_CHAINS):
+                part = some[a : a + ALIGNED_CHAINS]
                 chained = [(np.frombuffer(r["parts"], np.int64).reshape(-1, 4), cut(r["own"], r["own_counts"]), cut(r["other"], r["other_counts"])) for r in part]
                 for r, found in zip(part, aligned(chained), strict=True):
                     rows += [(r["doc_id"], start, end, r["source"], first, last, n, n / (end - start), at_end) for start, end, first, last, n, at_end in found]
@@ -668,8 +876,7 @@ def shared_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         drop_table(docs.sparkSession, table.tidemark_path)
     clean(docs)
     rest = rest_matches(found, first, few)
-    more = functools.reduce(DataFrame.unionByName, [only(table, MATCH).withColumn("fresh", F.lit(int(k > 0))) for k, table in enumerate(rest)])
-    chained = chains(more, lone_seeds=True)
+    chained = chains(functools.reduce(DataFrame.unionByName, rest), lone_seeds=True)
     for table in rest:
         drop_table(docs.sparkSession, table.tidemark_path)
     clean(docs)
