@@ -647,6 +647,32 @@ def test_matches_are_packed(docs):
     assert len(found) == len(set(found)) and set(found) == wanted
 
 
+def test_seeds_take_little_memory(spark):
+    """Python workers work beside a JVM that may have its whole heap from an earlier stage."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Kept:
+        def filter(self, _):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    r = random.Random(13)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(5000)]
+    texts = [" ".join(r.choices(vocabulary, k=400)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        n = sum(len(substring.unpacked(x, 5)) for rows in substring.seeds(Kept(), 8)(iter([batch])) for x in rows.column(2).to_pylist())
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+    assert n > 2000 * 397
+
+
 def test_packed_rows_come_back():
     r = np.random.default_rng(3)
     n = 5000

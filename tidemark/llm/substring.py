@@ -31,6 +31,8 @@ SEED_WORDS = 4
 LONG_WORDS, LONG_EVERY = 43, 8
 #: Bytes of text whose seeds make a bucket, seeds that a task packs at a time, and tasks at most.
 BUCKET_BYTES, HELD_SEEDS, BUCKET_TASKS = 6 << 20, 500_000, 4096
+#: Bytes of text whose seeds are made at a time.
+SEED_BYTES = 1 << 18
 #: A passage: so many words at least, of which so many agree with the earlier document's.
 LEAST_WORDS, LEAST_SHARE = 50, 0.75
 #: A chain pays so much for each word of a gap in either text: two lone seeds may be 50 words apart.
@@ -112,22 +114,25 @@ def seeds(docs: DataFrame, bits: int) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             seed, ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (seed >> np.uint64(64 - bits)).astype(np.int32)
-            order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
-            bucket, seed, ids, pos = bucket[order], seed[order] << np.uint64(bits) >> np.uint64(24), ids[order], pos[order]
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-            steps = np.diff(ids, prepend=0)
-            steps[cut] = 0
-            bytes_ = {"seeds": planes(seed, 5), "places": planes(pos.view(np.uint64), 4), "docs": planes(steps.view(np.uint64), 8)}
-            rows: dict[str, list] = {"bucket": bucket[cut], "base": ids[cut], "seeds": [], "places": [], "docs": []}
-            for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
-                for name, of in bytes_.items():
-                    rows[name].append(b"".join([x[a:b].tobytes() for x in of]))
             held.clear()
+            bucket = (seed >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.flatnonzero(np.diff(bucket[order].astype(np.int32), prepend=-1))
+            ids = ids[order]
+            base, ids = ids[cut], np.diff(ids, prepend=0)
+            ids[cut] = 0
+            rows = {"bucket": bucket[order[cut]].astype(np.int32), "base": base}
+            columns = [("docs", ids, 8), ("places", pos[order], 4), ("seeds", seed[order] << np.uint64(bits) >> np.uint64(24), 5)]
+            del seed, ids, pos, bucket, order
+            bounds = list(zip(cut.tolist(), [*cut[1:].tolist(), len(columns[0][1])], strict=True))
+            while columns:  # from the last, each forgotten when it is packed
+                name, x, width = columns.pop()
+                of = planes(x.view(np.uint64), width)
+                rows[name] = [b"".join([y[a:b].tobytes() for y in of]) for a, b in bounds]
             return table_rows(rows, kind)
 
         n = 0
-        for part, data, offsets in slices(batches):
+        for part, data, offsets in slices(batches, size=SEED_BYTES):
             hashes, _, _, at = word_hashes(data, offsets)
             doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
             rolled = told_apart(windows(hashes, SEED_WORDS), doc)
