@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, common, fingerprint, langid, licenses, mixing, ngram_join, packing, quality_rules, sharding, substring
+from tidemark.llm import classifier, common, conversations, fingerprint, langid, licenses, mixing, ngram_join, packing, quality_rules, sharding, substring, vector_codes
 
 
 def tokenizer_file() -> str:
@@ -111,6 +111,102 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_quality(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+# crc32 by its table; costs to go from the last row back (b), then the walk (w) from the first one on.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS tab
+), keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS k FROM conversations
+), hashed AS (
+    SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS kind FROM keyed, crc
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE kind <> 0)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), r AS (
+    SELECT *, coalesce(list_position(['s', 'u', 'a'], role[1]), 0) AS known, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS wrong,
+        lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM placed
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (wrong = 'blank') AS blank, count(*) FILTER (wrong = 'duplicate') AS duplicate,
+        count(*) FILTER (wrong = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM r GROUP BY conv_id
+), b(conv_id, i, f) AS (
+    SELECT conv_id, n + 1, [0, 6, 3, 0] FROM facts
+    UNION ALL
+    SELECT conv_id, i, [least(g[1], g[3] + 3, g[4] + 6), least(g[2], g[3] + 3, g[4] + 6), least(g[3], g[4] + 3), least(g[4], g[3] + 3)] FROM (
+        SELECT r.conv_id, r.i, CASE WHEN wrong IN ('blank', 'duplicate') THEN [4 + f[1], 4 + f[2], 4 + f[3], 4 + f[4]] ELSE [
+            least(4 + f[1], m + 3 + f[3], CASE known WHEN 1 THEN m + f[2] WHEN 2 THEN m + f[3] END), least(4 + f[2], m + 3 + f[3], CASE known WHEN 2 THEN m + f[3] END),
+            least(4 + f[3], m + 3 + f[4], CASE known WHEN 3 THEN m + f[4] END), least(4 + f[4], m + 3 + f[3], CASE known WHEN 2 THEN m + f[3] END)] END AS g
+        FROM (SELECT *, CASE WHEN wrong = 'truncated' THEN 3 ELSE 0 END AS m FROM r) r JOIN b ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1)
+), steps AS (
+    SELECT b.conv_id, b.i, b.f, a.f AS after, r.known, r.wrong, r.role, r.text, CASE WHEN wrong = 'truncated' THEN 3 ELSE 0 END AS m
+    FROM b LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i LEFT JOIN b a ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.i = b.i + 1
+), w(conv_id, i, q, audit, made) AS (
+    SELECT conv_id, 1::BIGINT, 1, '', []::VARCHAR[] FROM facts
+    UNION ALL
+    SELECT conv_id, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN kept ELSE follows END, audit || e,
+        CASE e WHEN 'D' THEN made WHEN 'K' THEN list_append(made, role || ':' || text) ELSE list_append(made, CASE follows WHEN 3 THEN 'user:' ELSE 'assistant:' END || CASE e WHEN 'R' THEN text ELSE '' END) END
+    FROM (
+        SELECT *, CASE WHEN 4 + after[q] = f[q] THEN 'D' WHEN 3 + f[follows] = f[q] THEN 'I' WHEN m + after[kept] = f[q] THEN 'K' ELSE 'R' END AS e FROM (
+            SELECT w.*, s.f, s.after, s.m, s.role, s.text, [3, 3, 4, 3][q] AS follows, CASE WHEN known = 1 AND q = 1 THEN 2 WHEN known = 2 AND q IN (1, 2, 4) THEN 3 WHEN known = 3 AND q = 3 THEN 4 END AS kept
+            FROM w JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i WHERE NOT (s.after IS NULL AND s.f[q] = 0)))
+), done AS (
+    SELECT w.* FROM w JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i WHERE s.after IS NULL AND s.f[q] = 0
+), costs AS (
+    SELECT conv_id, f[1] AS cost FROM b WHERE i = 1
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+    coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN costs ON costs.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_sql() -> str:
+    """Six rounds, written out."""
+    rounds = "".join(
+        f"""), d{i} AS MATERIALIZED (
+    SELECT p.row, p.part, min({{d: list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e: b.entry}}) AS best FROM p JOIN b{i} b USING (part) GROUP BY ALL
+"""
+        + (
+            f"""), m{i} AS (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS x FROM (
+        SELECT part, best.e AS entry, place, sum(v)::HUGEINT AS s, count(*) AS n FROM (SELECT part, best, unnest(x) AS v, unnest(range(len(x))) AS place FROM d{i} JOIN p USING (row, part)) GROUP BY ALL) GROUP BY part, entry
+), b{i + 1} AS MATERIALIZED (
+    SELECT part, entry, coalesce(m.x::BIGINT[], b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (part, entry)
+"""
+            if i < 6
+            else ""
+        )
+        for i in range(7)
+    )
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x
+    FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(embedding) > 0
+), p AS MATERIALIZED (
+    SELECT row, part, x[part * len(x) // 8 + 1:(part + 1) * len(x) // 8] AS x FROM v, range(8) t(part)
+), b0 AS (
+    SELECT part, row - 1 AS entry, x FROM p WHERE row <= 16
+{rounds}), coded AS (
+    SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM d6 GROUP BY row
+), labels AS (
+    SELECT label, sum(error)::BIGINT AS label_error FROM v JOIN coded USING (row) GROUP BY label
+)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, i)) FROM (SELECT part, entry, unnest(x) AS c, unnest(range(len(x))) AS i FROM b6)) AS codebooks_sha256
+FROM v JOIN coded USING (row) JOIN labels l ON v.label IS NOT DISTINCT FROM l.label
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -123,8 +219,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_mixing": OP2_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_mixing": OP2_SQL, "op12_conversation_repair": OP12_SQL, "op13_vector_codes": op13_sql()}
