@@ -438,7 +438,7 @@ def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def tested(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def tested(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b, linked) by the shingles of both texts."""
     schema = "a long, b long, linked boolean"
     kind = arrow_schema(schema)
@@ -448,7 +448,7 @@ def tested(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def sets(part: pa.RecordBatch, text: str) -> list[np.ndarray]:
-        return [x for _, data, offsets in slices(iter([part]), text) for x in shingle_sets(data, offsets)]
+        return [x for _, data, offsets in slices(iter([part]), text) for x in shingle_sets(data, offsets, words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, _ in slices(batches, "text_a"):
@@ -456,7 +456,7 @@ def tested(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for x, y in zip(sets(part, "text_a"), sets(part, "text_b"), strict=True):
                 z = np.sort(np.concatenate([x, y]))
                 both = int(np.count_nonzero(z[1:] == z[:-1]))
-                linked.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
+                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield table_rows({"a": part.column(0), "b": part.column(1), "linked": linked}, kind)
 
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))

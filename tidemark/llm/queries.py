@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, common, conversations, fingerprint, langid, licenses, mixing, ngram_join, packing, quality_rules, sharding, substring, vector_codes
+from tidemark.llm import classifier, common, conversations, fingerprint, hyperminhash, langid, licenses, mixing, ngram_join, packing, quality_rules, sharding, substring, vector_codes
 
 
 def tokenizer_file() -> str:
@@ -111,6 +111,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_quality(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(common.documents(spark, sf_dir))
+
+
+OP11_SQL = OP1_SQL.replace("len(t) >= 5", "len(t) >= 3").replace("len(t) - 3", "len(t) - 1").replace("i + 4", "i + 2").replace(">= 75 *", ">= 85 *").replace("c.component_id FROM", "c.component_id, d.doc_id = c.component_id AS kept FROM")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -219,10 +226,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_minhash_dedup": op11_minhash_dedup,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_mixing": OP2_SQL, "op12_conversation_repair": OP12_SQL, "op13_vector_codes": op13_sql()}
+    return {"op1_ngram_join": OP1_SQL, "op2_mixing": OP2_SQL, "op11_minhash_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_vector_codes": op13_sql()}
