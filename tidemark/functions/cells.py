@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Before the JSON of a cell that is not a string (see sources.records).
+MARK = "\ue000"
 # The default marks of a suppressed cell.
 SENTINELS = ("*", "(D)", "(S)", "")
 MAX_DIGITS = 36
@@ -36,8 +38,10 @@ def is_decimal(c: Column) -> Column:
 
 
 def decimal(c: Column, scale: int = 12) -> Column:
-    """The exact number that a text stands for; null if it stands for none."""
-    return F.when(is_decimal(c), F.replace(c.cast("string"), F.lit(","), F.lit("")).try_cast(f"decimal(38,{scale})"))
+    """The exact number that a text stands for; null if it stands for none, or for one with more than `scale` decimal places."""
+    text = c.cast("string")
+    places = F.length(F.regexp_extract(text, r"\.([0-9]+)", 1)) - F.coalesce(F.regexp_extract(text, "[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return F.when(is_decimal(c) & (places <= scale), F.replace(text, F.lit(","), F.lit("")).try_cast(f"decimal(38,{scale})"))
 
 
 def numbers_equal(a: Column, b: Column) -> Column:
@@ -53,13 +57,27 @@ def is_suppressed(old: Column, new: Column, sentinels: tuple[str, ...] = SENTINE
 
 
 def rounding_modulus(old: Column, new: Column) -> Column:
-    """The power of ten to which old was rounded to give new (half away from zero); null if it wasn't. Whole numbers only."""
-    a, b = decimal(old, 6), decimal(new, 6)
-    zeros = F.length(F.regexp_extract(F.regexp_replace(new.cast("string"), "[,.].*$|,", ""), "(0+)$", 1))
-    modulus = F.pow(F.lit(10.0), zeros).cast("decimal(20,0)")
-    halves = F.floor((F.abs(a) * 2 + modulus) / (modulus * 2)).cast("decimal(20,0)") * modulus * F.signum(a).cast("int")
-    fits = (a != b) & (b == F.floor(b)) & (a == F.floor(a)) & (zeros > 0) & (halves == b)
-    return F.when(F.coalesce(fits, F.lit(False)), modulus.cast("long"))
+    """The power of ten to which old was rounded to give the whole number new (half away from zero); null if it wasn't. One only counts
+    if old is no whole number."""
+    a, b = decimal(old), decimal(new)
+    whole = F.regexp_replace(F.abs(b).cast("decimal(26,0)").cast("string"), "^0+(?=.)", "")
+    zeros = F.length(F.regexp_extract(whole, "(0*)$", 1))
+    modulus = F.concat(F.lit("1"), F.repeat(F.lit("0"), zeros)).try_cast("decimal(26,0)")
+    away = (F.abs(a) - F.abs(b)) * 2
+    fits = (b != 0) & (b == F.floor(b)) & (a != b) & (F.signum(a) == F.signum(b)) & (away >= -modulus) & (away < modulus)
+    return F.when(F.coalesce(fits & ((zeros > 0) | (a != F.floor(a))), F.lit(False)), modulus.try_cast("long"))
+
+
+def unmarked(c: Column) -> Column:
+    """A cell without the mark before its JSON."""
+    return F.regexp_replace(c, f"^{MARK}", "")
+
+
+def kind_of(c: Column) -> Column:
+    """null, string, or by the JSON behind the mark: boolean, number, nested."""
+    first = F.substring(c, 2, 1)
+    marked = F.when(first.isin("t", "f"), "boolean").when(first == "n", "null").when(first.isin("{", "["), "nested").otherwise("number")
+    return F.when(c.isNull(), "null").when(~F.startswith(c, F.lit(MARK)), "string").otherwise(marked)
 
 
 def type_of(c: Column) -> Column:

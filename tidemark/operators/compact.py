@@ -6,7 +6,6 @@ An edit is a dict: verb, params, and what it shows (tags, visible). Tables of ed
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -82,23 +81,6 @@ def appended_rows(edits: list[Edit]) -> list[Edit] | None:
     return out
 
 
-def retyped_columns(edits: list[Edit], kind: Callable[[object], str], same: Callable[[object, object], bool]) -> list[Edit] | None:
-    """Columns all of whose edits change a cell's type alone, all in one way, become column_type_changed."""
-    by: dict[str, list[Edit]] = defaultdict(list)
-    for e in edits:
-        if e["verb"] == "tabular.edit_cell":
-            by[e["params"]["column"]].append(e)
-    done, out = set(), []
-    for column, own in by.items():
-        pairs = Counter((kind(e["params"]["from"]), kind(e["params"]["to"])) for e in own)
-        if len(pairs) == 1 and all(same(e["params"]["from"], e["params"]["to"]) for e in own):
-            (a, b), n = pairs.popitem()
-            if a != b:
-                done.add(column)
-                out.append(edit("tabular.column_type_changed", {"column": column, "from_type": a, "to_type": b, "cells": n}, ("column-type-change", "schema-change")))
-    return out + [e for e in edits if not (e["verb"] == "tabular.edit_cell" and e["params"]["column"] in done)] if done else None
-
-
 def compacted(edits: list[Edit], rules: list[Callable[[list[Edit]], list[Edit] | None]]) -> list[Edit]:
     """One sweep: each rule's rewrite counts if it costs less."""
     for rule in rules:

@@ -1,7 +1,7 @@
 """Comparison of two snapshots: items are paired by joins, pairs are explained by edits, and the result is a tree of what changed.
 
-The control plane (items without their bytes, links, edits of a pair) is as large as the number of files; the data plane (tables)
-stays in DataFrames.
+The control plane (items without their bytes, links, edits of a pair) is as large as the number of files; the data plane (contents,
+rows of tables) stays in DataFrames, and all changed pairs go through it together.
 """
 
 from __future__ import annotations
@@ -15,18 +15,17 @@ from pyspark.sql import functions as F
 
 from tidemark import plugins
 from tidemark.config import Config, Diagnostic, diagnostic, load
-from tidemark.operators import binary, documents, pairing, similarity, text
+from tidemark.operators import pairing, similarity
 from tidemark.operators.compact import Edit, cost, edit
-from tidemark.plans.tables import CONTAINERS, Table, compare_tables, is_tabular, read_tables
+from tidemark.operators.order import ROW
+from tidemark.plans.compare import Plan, compare
+from tidemark.plans.reading import content_batches, heads_of, read_files, read_pairs
+from tidemark.plans.tables import CONTAINERS, DELIMITED
 from tidemark.sources import files
-from tidemark.sources.formats import BINARY_DOCUMENTS, binary_document
-from tidemark.sources.records import document, untagged
+from tidemark.sources.records import untagged
 from tidemark.store import keep
 
-TEXT = {".txt", ".md", ".vcf", ""}
-DOCUMENTS = {".json", ".jsonld", ".geojson", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".xml", ".plist"}
 FUZZY_BYTES = 8 << 20
-PARTITION_SIDE = 256
 DIAGNOSTICS = 16
 LINKS = "left string, right string, evidence string"
 
@@ -146,9 +145,9 @@ def pair_items(left: DataFrame, right: DataFrame, config: Config) -> tuple[DataF
     links = names(_add(links, pairing.best_containers(pairing.container_votes(a, b, links), links)))
     for rule in plugins.PAIR_RULES:
         links = _add(links, rule(a, b, links))
-    claims, diagnostics = partitions(left, right, links.collect(), config)
-    claimed = [p for c in claims for p in [c["whole"], *c["parts"]]]
-    free = lambda df: df.filter(~F.col("path").isin(claimed)) if claimed else df
+    claims, diagnostics = partitions(left, right, links, config)
+    claimed = spark.createDataFrame([(p,) for c in claims for p in [c["whole"], *c["parts"]]], "path string")
+    free = lambda df: df.join(claimed, "path", "left_anti")
     links = _add(links, similar_files(free(left), free(right), links, config))
     return names(_add(links, pairing.best_containers(pairing.container_votes(a, b, links), links))), claims, diagnostics
 
@@ -172,146 +171,67 @@ def similar_files(left: DataFrame, right: DataFrame, links: DataFrame, config: C
 # --- edits of a pair --------------------------------------------------------------------------------------------------------
 
 
-def _bytes(items: DataFrame, path: str) -> bytes:
-    row = items.filter(F.col("path") == path).select("content").first()
-    return bytes(row["content"]) if row and row["content"] is not None else b""
-
-
-def document_edits(a: bytes, b: bytes, ext: str, key: str | None) -> tuple[list[Edit], list[Diagnostic]] | None:
-    try:
-        x, y = (binary_document(d, ext) if ext in BINARY_DOCUMENTS else document(d, ext) for d in (a, b))
-    except Exception:
-        return None
-    if x is None and y is None:
-        return None
-    if documents.canonical(x) == documents.canonical(y):
-        kinds = documents.serialization_kinds(a.decode("utf-8", "replace"), b.decode("utf-8", "replace")) if ext in (".json", ".jsonld", ".geojson") else ["serialization"]
-        return [edit("document.serialization_change", {"kinds": kinds}, ("serialization-change", "document-serialization-change"))], []
-    edits: list[Edit] = []
-    if key:
-        from tidemark.operators.nodes import pruned
-
-        p, q = ({k: (path, node) for k, path, node in documents.keyed_nodes(v, key)} for v in (x, y))
-        for k in sorted(p.keys() | q.keys()):
-            if k not in q:
-                edits.append(edit("document.remove_node", {"key_attribute": key, "key": k, "path": p[k][0]}, ("content-changed", "document-node-removal")))
-            elif k not in p:
-                edits.append(edit("document.add_node", {"key_attribute": key, "key": k, "path": q[k][0], "value": pruned(q[k][1], key)}, ("content-changed", "document-node-addition")))
-            elif changes := list(documents.value_changes(pruned(p[k][1], key), pruned(q[k][1], key))):
-                edits.append(edit("document.edit_node", {"key_attribute": key, "key": k, "path": q[k][0], "changes": changes[: documents.CHANGES]}, ("content-changed", "document-node-edit")))
-        x, y = pruned(x, key), pruned(y, key)
-    if changes := list(documents.value_changes(x, y)):
-        params = {"changes": changes[: documents.CHANGES], "examples_truncated": len(changes) > documents.CHANGES}
-        edits.append(edit("document.value_change", params, ("content-changed", "document-value-change")))
-    return edits, []
-
-
-def text_edits(a: bytes, b: bytes) -> list[Edit]:
-    def decoded(d: bytes) -> tuple[str, str]:
-        try:
-            return d.decode("utf-8"), "utf-8"
-        except UnicodeDecodeError:
-            return d.decode("latin-1"), "other"
-
-    (x, ex), (y, ey) = decoded(a), decoded(b)
-    out = []
-    if ex != ey:
-        out.append(edit("text.encoding_changed", {"from": ex, "to": ey}, ("encoding-change",)))
-    bom = [t.startswith(text.BOM) for t in (x, y)]
-    if bom[0] != bom[1]:
-        out.append(edit("text.bom_changed", {"from": bom[0], "to": bom[1]}, ("bom-change", "encoding-change")))
-    x, y = x.removeprefix(text.BOM), y.removeprefix(text.BOM)
-
-    def ends(t: str) -> str:
-        crlf = t.count("\r\n")
-        kinds = [k for k, n in (("crlf", crlf), ("lf", t.count("\n") - crlf), ("cr", t.count("\r") - crlf)) if n]
-        return kinds[0] if len(kinds) == 1 else "mixed" if kinds else "none"
-
-    if ends(x) != ends(y):
-        out.append(edit("text.line_endings_changed", {"from": ends(x), "to": ends(y)}, ("line-ending-change",)))
-    x, y = (t.replace("\r\n", "\n").replace("\r", "\n") for t in (x, y))
-    if x != y and "".join(x.split()) == "".join(y.split()):
-        out.append(edit("text.whitespace_only_changed", {"lines": y.count("\n") + 1}, ("whitespace-only-change",)))
-    elif x != y:
-        added, removed, examples = text.lines_changed(x, y)
-        tags = ["content-changed", *(["lines-added"] if added else []), *(["lines-removed"] if removed else [])]
-        out.append(edit("text.replace_lines", {"lines_added": added, "lines_removed": removed, "examples": examples}, tuple(tags)))
-    return out
-
+def config_number(config: Config, path: str) -> int:
+    """Place of a path's configuration in [defaults, *paths]."""
+    own = config.of(path)
+    return next((i for i, p in enumerate(config.paths, 1) if p is own), 0)
 
-def byte_edits(a: bytes, b: bytes) -> list[Edit]:
-    found = binary.changed_regions(a, b)
-    if found["unchanged"]:
-        params = {k: found[k] for k in ("left_size", "right_size", "unchanged")} | {"regions": [list(r) for r in found["regions"][: binary.REGIONS]], "region_count": len(found["regions"])}
-        return [edit("binary.byte_ranges_changed", params, ("content-changed", "binary-byte-range-change"))]
-    added, removed = binary.string_changes(a, b)
-    params = {"strings": {"added": added, "removed": removed}} if added or removed else {}
-    return [edit("binary.contents-differ", params, ("content-changed", *(["strings-changed"] if params else [])))]
 
-
-def explain(left: DataFrame, right: DataFrame, a: dict, b: dict, config: Config) -> tuple[Node, list[Diagnostic]]:
-    """Edits of two items of different bytes."""
-    cfg = config.of(b["path"])
-    node = Node(b["path"], "modify", a["path"], "file")
+def explain(left: DataFrame, right: DataFrame, changed: list[tuple[dict, dict]], config: Config) -> tuple[list[Node], list[Diagnostic]]:
+    """A node for each pair of items of different bytes, with what explains it. All pairs are read and compared together."""
+    nodes = [Node(b["path"], "modify", a["path"], "file") for a, b in changed]
+    if not changed:
+        return [], []
+    jobs, large = [], []
+    for i, (a, b) in enumerate(changed):
+        own = (i, a["path"], b["path"], a["ext"], b["ext"], config_number(config, a["path"]), config_number(config, b["path"]))
+        (jobs if a["held"] and b["held"] else large).append(own)
+    found = read_pairs(left, right, jobs, config)
     diagnostics: list[Diagnostic] = []
-    if a["ext"] != b["ext"]:
-        node.tags.append("serialization-change")
-    ext = b["ext"]
-    if ext in plugins.WRITERS and (own := plugins.WRITERS[ext](_bytes(left, a["path"]), _bytes(right, b["path"]))) is not None:
-        node.edits = own
-        return node, diagnostics
-    forced = {"text": TEXT, "binary": set()}.get(cfg.rule or "")
-    if forced is None and is_tabular(ext, cfg) and is_tabular(a["ext"], config.of(a["path"])):
-        try:
-            x = read_tables(left, a["path"], a["ext"], a["physical"], config.of(a["path"]))
-            y = read_tables(right, b["path"], ext, b["physical"], cfg)
-        except Exception as e:
-            x = y = []
-            diagnostics.append(diagnostic("error", "rule.parse_failed", str(e).splitlines()[-1][:300], b["path"]))
-        if x and y:
-            if any(t.inferred_dialect for t in y):
-                node.tags.append("dialect-inferred")
-            _compare(node, x, y, config, cfg, diagnostics, split=ext in CONTAINERS or len(x) > 1 or len(y) > 1)
-            return node, diagnostics
-    one, two = _bytes(left, a["path"]), _bytes(right, b["path"])
-    found = None
-    if forced is None and (ext in DOCUMENTS or ext in BINARY_DOCUMENTS):
-        found = document_edits(one, two, ext, cfg.node_key)
-        node.item_type = "document"
-    if found:
-        node.edits, more = found
-        diagnostics += more
-    elif (ext in TEXT or cfg.content_type == "text/plain" or forced or ext not in DOCUMENTS) and files.looks_like_text(one) and files.looks_like_text(two):
-        node.item_type = "text"
-        if ext not in TEXT - {""} and cfg.content_type != "text/plain" and not forced:
-            node.tags.append("inference.content-sniffed-type")
-        node.edits = text_edits(one, two)
-    else:
-        node.edits = byte_edits(one, two)
-    return node, diagnostics
-
-
-def _compare(node: Node, x: list[Table], y: list[Table], config: Config, cfg, diagnostics: list[Diagnostic], split: bool) -> None:
-    node.item_type = "container" if split else "table"
-    if not split:
-        node.edits, more = compare_tables(x[0], y[0], config, cfg, node.path)
-        diagnostics += more
-        return
-    old, new = {t.name: t for t in x}, {t.name: t for t in y}
-    for name in sorted(old.keys() | new.keys()):
-        path = f"{node.path}/>{name}"
-        if name not in new:
-            node.children.append(Node(path, "remove", item_type="table"))
-        elif name not in old:
-            node.children.append(Node(path, "add", item_type="table"))
-        else:
-            edits, more = compare_tables(old[name], new[name], config, config.of(path) if config.of(path) is not config.defaults else cfg, path)
-            diagnostics += more
-            if edits:
-                child = Node(path, "modify", f"{node.source}/>{name}", "table", edits=edits)
-                _finish(child)
-                if child.action != "identical":
-                    node.children.append(child)
+    for r in found.filter("kind = 'pair'").select("id", "body").collect():  # edits of a pair, up to the limits of each verb
+        body, node = json.loads(r["body"]), nodes[r["id"]]
+        node.item_type, node.tags, node.edits = body["item_type"], body["tags"], body["edits"]
+        diagnostics += body["diagnostics"]
+    heads = heads_of(found)
+    names: dict[int, dict[str, list[str]]] = defaultdict(lambda: {"l": [], "r": []})
+    for i, side, name in sorted(heads):
+        names[i][side].append(name)
+    plans: list[Plan] = []
+    holders: list[tuple[Node, Node]] = []  # the node of a plan's table, and the one that it is in
+    for i, own in sorted(names.items()):
+        a, b = changed[i]
+        node, cfg = nodes[i], config.of(b["path"])
+        if a["ext"] != b["ext"]:
+            node.tags.append("serialization-change")
+        if any(heads[i, "r", n].inferred_dialect for n in own["r"]):
+            node.tags.append("dialect-inferred")
+        if b["ext"] not in CONTAINERS and len(own["l"]) == len(own["r"]) == 1:
+            node.item_type = "table"
+            plans.append(Plan(len(plans), node.path, i, own["l"][0], own["r"][0], heads[i, "l", own["l"][0]], heads[i, "r", own["r"][0]], cfg))
+            holders.append((node, node))
+            continue
+        node.item_type = "container"
+        for name in sorted({*own["l"], *own["r"]}):
+            path = f"{node.path}/>{name}"
+            if name not in own["r"]:
+                node.children.append(Node(path, "remove", item_type="table"))
+            elif name not in own["l"]:
+                node.children.append(Node(path, "add", item_type="table"))
+            else:
+                inner = config.of(path) if config.of(path) is not config.defaults else cfg
+                plans.append(Plan(len(plans), path, i, name, name, heads[i, "l", name], heads[i, "r", name], inner))
+                holders.append((Node(path, "modify", f"{node.source}/>{name}", "table"), node))
+    compare(found, plans, config.sentinels)
+    for plan, (table, holder) in zip(plans, holders, strict=True):
+        table.edits = plan.edits
+        diagnostics += plan.diagnostics
+        if table is not holder and table.edits:
+            _finish(table)
+            if table.action != "identical":
+                holder.children.append(table)
+    for node in nodes:
+        node.children.sort(key=lambda n: n.path)
+    return nodes, diagnostics
 
 
 def _finish(node: Node) -> None:
@@ -335,7 +255,7 @@ def summarise(node: Node) -> str:
         if not e["visible"]:
             continue
         if verb == "append_rows":
-            n["row added"] += len(p["rows"])
+            n["row added"] += p.get("row_count", len(p["rows"]))
         elif verb in ("values_rounded", "values_suppressed", "column_type_changed"):
             n[{"values_rounded": "value rounded", "values_suppressed": "value suppressed", "column_type_changed": "cell retyped"}[verb]] += p["cells"]
         elif verb == "keyed_stream_summary":
@@ -351,44 +271,50 @@ def summarise(node: Node) -> str:
 # --- row sets across files ------------------------------------------------------------------------------------------------
 
 
-def partitions(left: DataFrame, right: DataFrame, links: list, config: Config) -> tuple[list[dict], list[Diagnostic]]:
-    """Claims of tables that were split or merged exactly, among unlinked delimited files; suggestions for near misses."""
-    linked = {"left": {x["left"] for x in links}, "right": {x["right"] for x in links}}
-
-    def tokens(items: DataFrame, side: str) -> DataFrame | None:
-        free = [r for r in items.filter("NOT is_dir AND ext IN ('.csv', '.tsv')").select("path", "ext", "physical").collect() if r["path"] not in linked[side]]
-        out = None
-        if len(free) > PARTITION_SIDE:
-            diagnostics.append(diagnostic("warning", "partition_limit", f"of {len(free)} unpaired tables {PARTITION_SIDE} were searched for split and merged ones", side))
-        for r in free[:PARTITION_SIDE]:
-            for t in read_tables(items, r["path"], r["ext"], r["physical"], config.of(r["path"])):
-                cells = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`"), F.lit("\0")) for c in t.columns])
-                one = t.df.select(F.lit(r["path"]).alias("item"), F.sha2(F.concat(F.lit("\x1e".join(t.columns)), cells), 256).alias("token"))
-                out = one if out is None else out.unionByName(one)
-        return out
+def partitions(left: DataFrame, right: DataFrame, links: DataFrame, config: Config) -> tuple[list[dict], list[Diagnostic]]:
+    """Claims of tables that were split or merged exactly, among all unlinked delimited files; suggestions for near misses. A row's token
+    is a hash of its table's columns and its cells; the rows of all files are read and matched together."""
+
+    def tokens(items: DataFrame, side: str) -> tuple[DataFrame, dict[int, str]] | None:
+        free = items.filter(~F.col("is_dir") & F.col("ext").isin(*DELIMITED)).join(links.select(F.col(side).alias("path")), "path", "left_anti")
+        files_ = sorted((r["path"], r["ext"]) for r in free.select("path", "ext").collect())
+        if not files_:
+            return None
+        read = read_files(items, [(i, path, ext, config_number(config, path)) for i, (path, ext) in enumerate(files_)], config)
+        heads = read.filter("kind = 'head'").select("id", "name", F.col("cells").alias("columns"))
+        cells = F.transform(F.sequence(F.lit(0), F.size("columns") - 1), lambda i: F.coalesce(F.get("cells", i), F.lit("\0")))
+        rows = read.filter("kind = 'row'").select("id", "name", "cells").join(heads, ["id", "name"])
+        token = F.sha2(F.concat(F.array_join("columns", "\x1e"), F.lit("\x1d"), F.array_join(cells, "\x1f")), 256)
+        return rows.select("id", token.alias("token")), {i: path for i, (path, _) in enumerate(files_)}
 
     claims, diagnostics = [], []
-    a, b = tokens(left, "left"), tokens(right, "right")
-    if a is None or b is None:
+    one = tokens(left, "left")
+    two = tokens(right, "right") if one else None
+    if one is None or two is None:
         return claims, diagnostics
-    a, b = keep(a), keep(b)
-    for verb, whole, part in (("split", a, b), ("merge", b, a)):
-        w, p = whole.withColumnRenamed("item", "whole"), part.withColumnRenamed("item", "part")
-        cover = keep(pairing.exact_cover(w, p))
-        owners = w.join(p, "token").select("whole", "part").distinct()
-        for row in pairing.clean_splits(cover).collect():
-            parts = sorted(r["part"] for r in owners.filter(F.col("whole") == row["whole"]).collect())
-            claims.append({"verb": verb, "whole": row["whole"], "parts": parts, "covered": row["covered"], "residual": 0})
+    for verb, (w, whole_names), (p, part_names) in (("split", one, two), ("merge", two, one)):
+        whole, part = w.withColumnRenamed("id", "whole"), p.withColumnRenamed("id", "part")
+        cover = keep(pairing.exact_cover(whole, part))
+        clean = pairing.clean_splits(cover)
+        parts = defaultdict(list)
+        for r in whole.join(clean.select("whole"), "whole", "left_semi").distinct().join(part.distinct(), "token").select("whole", "part").distinct().collect():
+            parts[r["whole"]].append(part_names[r["part"]])
+        for row in clean.collect():
+            claims.append({"verb": verb, "whole": whole_names[row["whole"]], "parts": sorted(parts[row["whole"]]), "covered": row["covered"], "residual": 0})
         for row in pairing.near_splits(cover).collect():
-            diagnostics.append(diagnostic("suggestion", "possible_split", f"{row['covered']} rows would be covered, {row['residual']} not", row["whole"]))
-    return claims, diagnostics
+            diagnostics.append(diagnostic("suggestion", "possible_split", f"{row['covered']} rows would be covered, {row['residual']} not", whole_names[row["whole"]]))
+    return sorted(claims, key=lambda c: (c["verb"] != "split", c["whole"])), diagnostics
 
 
 # --- the whole ----------------------------------------------------------------------------------------------------------------
 
 
 def diff(spark: SparkSession, left: str, right: str, config: Config | dict | str | None = None) -> Changeset:
-    config = config if isinstance(config, Config) else load(config)
+    with content_batches(spark):
+        return _diff(spark, left, right, config if isinstance(config, Config) else load(config))
+
+
+def _diff(spark: SparkSession, left: str, right: str, config: Config) -> Changeset:
     a, b = keep(files.scan(spark, left, config)), keep(files.scan(spark, right, config))
     single = all(d.filter("NOT is_dir AND NOT contains(path, '/')").count() == 1 and d.filter("is_dir").count() == 0 and d.count() == 1 for d in (a, b))
     if single and not config.pairs:
@@ -398,11 +324,14 @@ def diff(spark: SparkSession, left: str, right: str, config: Config | dict | str
     links = links.collect()
     trace = [{"phase": "pair", "rule": rule, "links": n} for rule, n in sorted(Counter(x["evidence"].split(":")[0] for x in links).items())]
     columns = ["path", "name", "parent", "ext", "size", "hash", "is_dir", "container", "physical", "problem"]
-    old, new = ({r["path"]: r.asDict() for r in d.select(*columns).collect()} for d in (a, b))
+    held = F.col("content").isNotNull().alias("held")
+    old, new = ({r["path"]: r.asDict() for r in d.select(*columns, held).collect()} for d in (a, b))
     diagnostics = list(config.diagnostics)
     diagnostics += [diagnostic("warning", r["problem"].split(":")[0], r["problem"], r["path"]) for r in [*old.values(), *new.values()] if r["problem"]]
     diagnostics += found
     nodes: list[Node] = []
+    changed: list[tuple[dict, dict]] = []
+    evidence: list[tuple[str, bool]] = []
     parent_of = {x["right"]: x["left"] for x in links}
     for x in sorted(links, key=lambda x: (x["right"], x["left"])):
         if x["left"] not in old or x["right"] not in new:
@@ -423,12 +352,15 @@ def diff(spark: SparkSession, left: str, right: str, config: Config | dict | str
             if l["path"] != r["path"] and not carried:
                 nodes.append(Node(r["path"], "move", l["path"], "container", ["move", "folder-move"]))
             continue  # what is inside has links of its own
-        node, more = explain(a, b, l, r, config)
-        diagnostics += more
-        if x["evidence"].startswith("declared") and not single:
+        changed.append((l, r))
+        evidence.append((x["evidence"], carried))
+    explained, more = explain(a, b, changed, config)
+    diagnostics += more
+    for node, (why, carried) in zip(explained, evidence, strict=True):
+        if why.startswith("declared") and not single:
             node.tags.append("declared-correspondence")
         _finish(node)
-        if l["path"] != r["path"] and not carried and not single and not x["evidence"].startswith("declared"):
+        if node.source != node.path and not carried and not single and not why.startswith("declared"):
             node.action, node.tags = "move", [*node.tags, "move", "move.modified"]
         if node.action != "identical":
             nodes.append(node)

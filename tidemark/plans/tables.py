@@ -1,33 +1,22 @@
-"""Comparison of two tables: which rows correspond, what changed, and the short way to say it.
-
-The tables stay DataFrames; what comes to the driver are headers, counts and edits up to EDIT_LIMIT. Beyond it the edits are
-summed up, with examples.
-"""
+"""Tables of files: what is one, how it is parsed, and a single file's tables as DataFrames."""
 
 from __future__ import annotations
 
 import json
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import plugins
-from tidemark.config import Config, Diagnostic, PathConfig, diagnostic
-from tidemark.functions.cells import named
-from tidemark.operators import infer, rows
-from tidemark.operators.compact import Edit, appended_rows, compacted, edit, renamed_columns, reordered_columns, retyped_columns
+from tidemark.config import PathConfig
 from tidemark.operators.order import ROW, with_row_index
 from tidemark.sources.delimited import default_delimiter, rows_of, sniff, stacked, with_header
 from tidemark.sources.formats import tables as binary_tables
-from tidemark.sources.records import MARK, json_table, kind_of, same_across_types
+from tidemark.sources.records import json_table
 
-EDIT_LIMIT, EXAMPLES, CAPTURED = 5_000, 16, 16
 DELIMITED = {".csv", ".tsv", ".tab"}
 JSON = {".json", ".jsonl", ".ndjson", ".geojson"}
 BINARY = {".sqlite", ".sqlite3", ".db", ".parquet", ".arrow", ".feather", ".ipc", ".xlsx", ".xlsm", ".ods", ".avro", ".dta", ".sas7bdat", ".dbf", ".xpt"}
@@ -43,8 +32,8 @@ class Table:
     inferred_dialect: bool = False
 
 
-def is_tabular(ext: str, config: PathConfig) -> bool:
-    return ext in plugins.PARSERS or ext in DELIMITED | JSON | BINARY or config.content_type in ("text/csv", "text/tab-separated-values") or bool(config.dialect.get("delimiter"))
+def is_tabular(ext: str, config: PathConfig, own: dict | None = None) -> bool:
+    return ext in (plugins.PARSERS if own is None else own) or ext in DELIMITED | JSON | BINARY or config.content_type in ("text/csv", "text/tab-separated-values") or bool(config.dialect.get("delimiter"))
 
 
 def parse_file(data: bytes, path: str, ext: str, config: PathConfig, own: dict) -> list[tuple[str, list[str], list[list[str | None]], dict, bool]]:
@@ -95,239 +84,3 @@ def _large(spark, physical: str, path: str, config: PathConfig) -> Table:
     schema = ", ".join(f"`{c}` string" for c in columns)
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("multiLine", False).csv(physical)
     return Table("", columns, with_row_index(df))
-
-
-# --- exact numbers of single cells ------------------------------------------------------------------------------------
-
-_NUMBER = re.compile(r"^[+-]?(?:(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d{1,2})?|[1-9]\d{0,2}(?:,\d{3})+(?:\.\d+)?)$")
-
-
-def number(cell: str | None) -> Decimal | None:
-    text = (cell or "").removeprefix(MARK)
-    return Decimal(text.replace(",", "")) if _NUMBER.match(text) and sum(c.isdigit() for c in text) <= 36 else None
-
-
-def modulus(old: str | None, new: str | None) -> int | None:
-    a, b = number(old), number(new)
-    if a is None or b is None or a == b or b == 0 or b != b.to_integral_value():
-        return None
-    digits = str(abs(int(b)))
-    m = 10 ** (len(digits) - len(digits.rstrip("0")))
-    if m == 1 and a == a.to_integral_value():
-        return None
-    return m if (a / m).quantize(Decimal(1), ROUND_HALF_UP) * m == b else None
-
-
-def reduced_precision(sentinels: tuple[str, ...]):
-    """Drops edits between texts of one number, and groups suppressed and rounded cells by column."""
-
-    def rule(edits: list[Edit]) -> list[Edit] | None:
-        hidden: dict[str, int] = Counter()
-        round_: dict[tuple[str, int], list[Edit]] = defaultdict(list)
-        out, dropped = [], 0
-        for e in edits:
-            p = e["params"]
-            if e["verb"] != "tabular.edit_cell":
-                out.append(e)
-                continue
-            a, b = p["from"], p["to"]
-            if number(a) is not None and number(a) == number(b) and kind_of(a) == kind_of(b):
-                dropped += 1
-            elif (a or "").strip() and a not in sentinels and ((b in sentinels and b) or (not b and "" in sentinels and number(a) is not None)):
-                hidden[p["column"]] += 1
-            elif (m := modulus(a, b)) is not None:
-                round_[p["column"], m].append(e)
-            else:
-                out.append(e)
-        for (column, m), own in round_.items():
-            if len(own) < 2:
-                out += own
-            else:
-                out.append(edit("tabular.values_rounded", {"column": column, "cells": len(own), "basis": {"kind": "modulus", "value": m}}, ("value-rounded", "cell-change")))
-        out += [edit("tabular.values_suppressed", {"column": c, "cells": n}, ("value-suppressed", "cell-change")) for c, n in hidden.items()]
-        if dropped and not out:
-            return [edit("tabular.numeric_canonical_equal", {"reason": "numbers are equal"}, (), False)]
-        return out if len(out) != len(edits) else None
-
-    return rule
-
-
-# --- the comparison -----------------------------------------------------------------------------------------------------
-
-
-def _values(row, columns: list[str]) -> dict:
-    return {c: row[c] for c in columns}
-
-
-def _capture(df: DataFrame, column: str) -> dict:
-    total = df.count()
-    found = [r[0] for r in df.orderBy(ROW).select(named(column)).limit(CAPTURED).collect()]
-    return {"values": found, "total_values": total, "truncated": total > len(found)}
-
-
-def _pair_edits(pairs: DataFrame, left: Table, right: Table, common: list[str], keys: list[str] | None) -> list[Edit]:
-    """Removed rows, added rows, changed cells of aligned rows; a summary if there are more than EDIT_LIMIT."""
-    by = keys or [ROW]
-    order = [named(k).cast("string") if keys else F.col(k) for k in by]
-    gone, came = pairs.filter("r IS NULL"), pairs.filter("l IS NULL")
-    cells = rows.changed_cells(pairs, [c for c in common if c not in (keys or [])], by)
-    counts = [d.count() for d in (gone, came, cells)]
-    most = EDIT_LIMIT if sum(counts) <= EDIT_LIMIT else EXAMPLES
-    name = lambda r: {"key": {k: r[k] for k in keys}} if keys else {}
-    removed = [edit("tabular.remove_row", {"index": r["l"][ROW], **name(r), "values": _values(r["l"], left.columns)}, ("row-removal",)) for r in gone.orderBy(*order).limit(most).collect()]
-    added = [edit("tabular.add_row", {"index": r["r"][ROW], **name(r), "values": _values(r["r"], right.columns)}, ("row-addition",)) for r in came.orderBy(*order).limit(most).collect()]
-    place = {c: i for i, c in enumerate(common)}
-    found = sorted(cells.orderBy(*order, "column").limit(most).collect(), key=lambda r: (tuple(r[k] for k in by), place[r["column"]]))
-    changed = [edit("tabular.edit_cell", {**(name(r) or {"row": r[ROW]}), "column": r["column"], "from": r["from"], "to": r["to"]}, ("cell-change",)) for r in found]
-    if most == EDIT_LIMIT:
-        return removed + added + changed
-    tags = [t for t, n in zip(("row-removal", "row-addition", "cell-change"), counts, strict=True) if n]
-    examples = {"removed": [e["params"] for e in removed], "added": [e["params"] for e in added], "modified": [e["params"] for e in changed], "truncated": True}
-    return [edit("tabular.keyed_stream_summary", {"keys": keys or [], "rows_removed": counts[0], "rows_added": counts[1], "cells_changed": counts[2], "examples": examples}, tuple(tags))]
-
-
-def _renamed_cells(pairs: DataFrame, rename: list[tuple[str, str]], by: list[str], keys: list[str] | None) -> list[Edit]:
-    """Cells of renamed columns that changed besides; a summary if there are more than EDIT_LIMIT."""
-    cells = rows.changed_cells(pairs, [b for _, b in rename], by, {b: a for a, b in rename})
-    n = cells.count()
-    found = cells.orderBy(*map(named, by), "column").limit(n if n <= EDIT_LIMIT else EXAMPLES).collect()
-    place = lambda r: {"key": {k: r[k] for k in keys}} if keys else {"row" if k == ROW else k: r[k] for k in by}
-    changed = [edit("tabular.edit_cell", {**place(r), "column": r["column"], "from": r["from"], "to": r["to"]}, ("cell-change",)) for r in found]
-    if n <= EDIT_LIMIT:
-        return changed
-    examples = {"removed": [], "added": [], "modified": [e["params"] for e in changed], "truncated": True}
-    return [edit("tabular.keyed_stream_summary", {"keys": keys or [], "rows_removed": 0, "rows_added": 0, "cells_changed": n, "examples": examples}, ("cell-change",))]
-
-
-def _whole_rows(ordered: DataFrame, left: Table, right: Table) -> DataFrame:
-    """left_row, right_row, l, r: sorted pairs with all columns of both sides."""
-    pack = lambda t, name, place: t.df.select(F.col(ROW).alias(place), F.struct(*[named(c) for c in t.columns]).alias(name))
-    places = ordered.select(F.col(f"l.{ROW}").alias("left_row"), F.col(f"r.{ROW}").alias("right_row"))
-    return places.join(pack(left, "l", "left_row"), "left_row").join(pack(right, "r", "right_row"), "right_row")
-
-
-def _full_pairs(left: Table, right: Table, keys: list[str]) -> DataFrame:
-    return rows.keyed_pairs(left.df, right.df, keys)
-
-
-def _positional_pairs(left: Table, right: Table) -> DataFrame:
-    pack = lambda t, name: t.df.select(ROW, F.struct(ROW, *[named(c) for c in t.columns]).alias(name))
-    return pack(left, "l").join(pack(right, "r"), ROW, "full_outer")
-
-
-def compare_tables(left: Table, right: Table, config: Config, path_config: PathConfig, location: str) -> tuple[list[Edit], list[Diagnostic]]:
-    diagnostics: list[Diagnostic] = []
-    note = lambda severity, code, text: diagnostics.append(diagnostic(severity, code, text, location))
-    edits: list[Edit] = []
-    common = [c for c in left.columns if c in right.columns]
-    removed, added = [c for c in left.columns if c not in right.columns], [c for c in right.columns if c not in left.columns]
-    if left.columns != right.columns:
-        edits.append(edit("tabular.set_headers", {"from": left.columns, "to": right.columns}, ()))
-    edits += [edit("tabular.remove_column", {"name": c, "values": _capture(left.df, c)}, ("column-removal", "schema-change")) for c in removed]
-    edits += [edit("tabular.add_column", {"name": c, "values": _capture(right.df, c)}, ("column-addition", "schema-change")) for c in added]
-
-    keys = path_config.key_columns or [left.columns[i - 1] for i in path_config.key_positions if i <= len(left.columns)]
-    mode, aligned = "positional", [ROW]
-    n_left, n_right = left.df.count(), right.df.count()
-    if keys and not all(k in common for k in keys):
-        note("warning", "row_identity_missing", f"key columns {keys} are not in both tables")
-        keys = []
-    elif keys:
-        quality = [rows.key_quality(t.df, keys).first() for t in (left, right)]
-        if any(q["null_keys"] or q["duplicate_keys"] for q in quality):
-            tags = ["identity-diagnostic", "row-identity-ambiguous"]
-            for field_, code in (("null_keys", "null_key"), ("duplicate_keys", "duplicate_key")):
-                if any(q[field_] for q in quality):
-                    tags.append(code.replace("_", "-"))
-                    note("warning", f"keyed_row_identity_degraded.{code}", f"{code.replace('_', ' ')}s in {keys}: rows are compared by place")
-            edits.append(edit("tabular.row_identity_degraded", {}, tuple(tags), False))
-            keys = []
-        else:
-            mode, aligned = "configured_key", keys
-    elif common and (found := infer.infer_key(left.df, right.df)):
-        # only a key that aligns rows otherwise than their places do is of use
-        both = left.df.select(ROW, named(found).alias("a")).join(right.df.select(ROW, named(found).alias("b")), ROW)
-        if both.filter(~F.col("a").eqNullSafe(F.col("b"))).limit(1).count():
-            mode, aligned = "auto_key", [found]
-            note("suggestion", "tabular_auto_key", f"rows were matched by {found!r}, which was not declared")
-            edits.append(edit("tabular.auto_detected_key", {"columns": [found], "left_rows": n_left, "right_rows": n_right}, ("row-identity-inferred",), False))
-
-    if mode == "positional":
-        pairs = _positional_pairs(left, right)
-        stats = rows.churn(left.df, right.df, pairs).first() if common and n_left == n_right else None
-        uncertain = by_content = False
-        if stats and 2 * stats["changed_cells"] > stats["total_cells"] > 0:
-            ordered = rows.sorted_pairs(left.df, right.df)
-            again = rows.churn(left.df, right.df, ordered).first()
-            candidates = [r["column"] for r in infer.key_candidates(left.df, right.df).collect()]
-            uncertain = not candidates and 2 * again["changed_cells"] > again["total_cells"]
-            if uncertain:
-                share = stats["changed_cells"] / stats["total_cells"]
-                params = {"mode": "positional", "changed_cell_fraction": round(share, 6), "threshold": infer.CHURN_LIMIT, **{k: stats[k] for k in ("changed_cells", "total_cells", "changed_rows", "total_rows")}, "candidate_keys": candidates}
-                edits.append(edit("tabular.row_correspondence_uncertain", params, ("row-correspondence-uncertain",)))
-                note("suggestion", "tabular_high_churn", "most cells differ: declare a row_identity")
-            elif 2 * again["changed_cells"] <= again["total_cells"] and again["changed_cells"] < stats["changed_cells"]:
-                by_content = True
-                edits += _sorted_edits(left, right, ordered, n_left, again)
-        if not by_content and not uncertain:
-            found = None
-            if n_left != n_right and max(n_left, n_right) <= rows.LCS_ROWS:
-                found = _inserted_rows(left, right, common)
-            edits += found if found is not None else _pair_edits(pairs, left, right, common, None)
-    else:
-        pairs = _full_pairs(left, right, aligned)
-        found = _pair_edits(pairs, left, right, common, aligned)
-        if not found and set(left.columns) == set(right.columns) and rows.reordered(left.df, right.df, aligned).limit(1).count():
-            found = [edit("tabular.reorder_rows", {"alignment": mode, "rows": n_right, "keys": aligned}, ("row-reorder",))]
-        edits += found
-        by_content = False
-
-    if left.meta != right.meta:
-        edits.append(metadata_edit(left.meta, right.meta, "table"))
-    rename, cells = [], []
-    if removed and added and (mode != "positional" or n_left == n_right):
-        pairs, by = (_whole_rows(ordered, left, right), ["left_row", "right_row"]) if by_content else (pairs, aligned)
-        scored = infer.scores_of_pairs(pairs, removed, added).collect()
-        rename = infer.assign([(r["equal"], r["removed"], r["added"]) for r in scored])
-        cells = _renamed_cells(pairs, rename, by, None if mode == "positional" else aligned) if rename else []
-    return compacted(
-        edits,
-        [lambda e: renamed_columns(e, rename, cells), reordered_columns, lambda e: retyped_columns(e, kind_of, same_across_types), reduced_precision(config.sentinels), appended_rows],
-    ), diagnostics
-
-
-def _sorted_edits(left: Table, right: Table, pairs: DataFrame, n: int, stats) -> list[Edit]:
-    if not stats["changed_cells"]:
-        return [edit("tabular.reorder_rows", {"alignment": "sorted_row_content", "rows": n}, ("row-reorder",))]
-    by = pairs.withColumns({"left_row": F.col(f"l.{ROW}"), "right_row": F.col(f"r.{ROW}")})
-    most = EDIT_LIMIT if stats["changed_cells"] <= EDIT_LIMIT else EXAMPLES
-    cells = rows.changed_cells(by, rows.common_columns(left.df, right.df), ["left_row", "right_row"]).orderBy("left_row", "column").limit(most).collect()
-    out = [edit("tabular.sorted_row_alignment", {"left_rows": n, "right_rows": n, "changed_cells": stats["changed_cells"], "changed_rows": stats["changed_rows"]}, ("row-alignment-inferred",), False)]
-    found = [edit("tabular.edit_cell", {"left_row": c["left_row"], "right_row": c["right_row"], "alignment": "sorted_row_content", "column": c["column"], "from": c["from"], "to": c["to"]}, ("cell-change",)) for c in cells]
-    if most == EDIT_LIMIT:
-        return out + found
-    examples = {"removed": [], "added": [], "modified": [e["params"] for e in found], "truncated": True}
-    return [*out, edit("tabular.keyed_stream_summary", {"keys": [], "rows_removed": 0, "rows_added": 0, "cells_changed": stats["changed_cells"], "examples": examples}, ("cell-change",))]
-
-
-def _inserted_rows(left: Table, right: Table, common: list[str]) -> list[Edit] | None:
-    """add_row edits, if every left row is found, in order, among the right ones; small tables only."""
-    if not common:
-        return None
-    take = lambda t: t.df.orderBy(ROW).collect()  # noqa: E731  at most LCS_ROWS rows
-    a, b = take(left), take(right)
-    sign = lambda r: json.dumps([r[c] for c in common])
-    matched = rows.lcs_pairs([sign(r) for r in a], [sign(r) for r in b])
-    if len(matched) < len(a):
-        return None
-    kept = {j for _, j in matched}
-    return [edit("tabular.add_row", {"index": j, "values": _values(r, right.columns)}, ("row-addition",)) for j, r in enumerate(b) if j not in kept]
-
-
-def metadata_edit(a: dict, b: dict, scope: str) -> Edit:
-    changes = []
-    for k in sorted(a.keys() | b.keys()):
-        if a.get(k) != b.get(k):
-            kind = "add" if k not in a else "remove" if k not in b else "change"
-            changes.append({"kind": kind, "key": k, "from": a.get(k), "to": b.get(k)})
-    return edit("metadata.value_change", {"scope": scope, "changes": changes[:32], "examples_truncated": len(changes) > 32}, ("metadata-change", f"metadata.{scope}"))

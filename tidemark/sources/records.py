@@ -12,10 +12,9 @@ import re
 import tomllib
 import xml.etree.ElementTree as ET
 
+from tidemark.functions.cells import MARK
 from tidemark.operators.documents import Number, canonical, flatten, parse
 
-MARK = "\ue000"
-
 
 def tagged(value) -> str | None:
     return None if value is None else value if isinstance(value, str) and not isinstance(value, Number) else MARK + canonical(value)
