@@ -8,7 +8,9 @@
    share bands are a block; documents of one component don't meet again, so a group of near copies is not expanded into pairs.
 4. Estimate: the share of equal registers, less the collisions that sets of these sizes have by chance. It is compared with 0.85 less
    six standard deviations, so that it drops what is hopeless and nothing else.
-5. Every pair that is left is confirmed on the full sets of both whole texts.
+5. In blocks, what the estimate leaves is counted on samples of the sets: all shingles of a set of up to SAMPLE, of larger ones those
+   whose hash ends in enough zeros. So unlinked near copies of a large group, whose number of pairs may be large, stay in their task.
+6. Every pair that is left is confirmed on the full sets of both whole texts.
 
 Pairs are sought as in the n-gram join: first each document with those that lead its blocks (linear in a group's size), then, in
 blocks that still hold several components, a forest of candidates, then all that is left.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_schema, drop_table, mix64, signed, slices, stored, table_rows
+from tidemark.llm.common import BROADCAST_ROWS, arrow_schema, drop_table, mix64, signed, slices, stored, table_rows
 from tidemark.llm.ngram_join import GROUP_TOKENS, block_table, components, open_blocks, seed_pairs, shingle_sets, tested, tree_parts
 
 WORDS = 3
@@ -35,7 +37,9 @@ BUCKETS, MANTISSA, BAND = 128, 10, 4
 BUCKET_BITS = BUCKETS.bit_length() - 1
 #: Hashed buckets that an empty one tries before it takes the next filled one.
 PROBES = 1024
-#: Estimates from here on are confirmed.
+#: Shingles of a sample, about, and at most as many times more.
+SAMPLE = 4096
+#: Estimates from here on are followed.
 LEAST = PERCENT / 100 - 6 * (PERCENT / 100 * (1 - PERCENT / 100) / BUCKETS) ** 0.5
 
 
@@ -141,20 +145,81 @@ def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(rows: DataFrame, reps: DataFrame, forest: bool) -> DataFrame:
-    """(a, b, more) that the sketches of open blocks' documents leave over; pairs of parts of a block are dealt out as in the n-gram join.
+def sample_of(tokens: np.ndarray) -> tuple[np.ndarray, int]:
+    """32 bits of the shingles whose last `level` bits are zero, and the level."""
+    level = max(0, (max(1, len(tokens) // SAMPLE)).bit_length() - 1)
+    values = (mix64(tokens) >> np.uint64(32)).astype(np.uint32)
+    return np.unique(values[values & np.uint32((1 << level) - 1) == 0]), level
+
+
+def samples(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, sample, level of some documents; ids: doc_id, stored."""
+    schema = "doc_id long, sample binary, level int"
+    kind = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in slices(batches):
+            made = [sample_of(x) for x in shingle_sets(data, offsets, WORDS)]
+            yield table_rows({"doc_id": part.column(0), "sample": [x.tobytes() for x, _ in made], "level": [level for _, level in made]}, kind)
+
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi").mapInArrow(run, schema)
+
+
+class Samples:
+    """The samples of a group's documents, as numbers of its shingles, so that one pass counts a document's overlaps with all others."""
+
+    def __init__(self, raw: list[bytes], levels: list[int]):
+        self.level = np.array(levels)
+        values = np.concatenate([np.frombuffer(x, np.uint32) for x in raw])
+        self.ends = np.cumsum([len(x) // 4 for x in raw])
+        self.starts = self.ends - [len(x) // 4 for x in raw]
+        distinct, self.number = np.unique(values, return_inverse=True)
+        self.mark = np.zeros(len(distinct), bool)
+        # by level: how many of each document's shingles are in a sample of that level
+        self.count = {level: self._sums((values & np.uint32((1 << level) - 1)) == 0) for level in set(levels)}
+
+    def _sums(self, marks: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(marks)])
+        return total[self.ends] - total[self.starts]
+
+    def may_link(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Whether the samples of k and of others allow a link."""
+        own = self.number[self.starts[k] : self.ends[k]]
+        self.mark[own] = True
+        lengths = self.ends[others] - self.starts[others]
+        before = np.cumsum(lengths) - lengths
+        places = np.repeat(self.starts[others] - before, lengths) + np.arange(lengths.sum())
+        total = np.concatenate([[0], np.cumsum(self.mark[self.number[places]])])
+        both = total[before + lengths] - total[before]
+        self.mark[own] = False
+        level = np.maximum(self.level[others], self.level[k])
+        sizes = np.zeros(len(others), np.int64)
+        for one in np.unique(level):
+            at = level == one
+            sizes[at] = self.count[int(one)][others[at]] + self.count[int(one)][k]
+        union = np.maximum(sizes - both, 1)
+        margin = np.where(level > 0, 6 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / union), 1e-9)
+        return both / union >= PERCENT / 100 - margin
+
+
+def block_pairs(rows: DataFrame, reps: DataFrame, docs: DataFrame, forest: bool) -> DataFrame:
+    """(a, b, more) that the sketches and samples of open blocks' documents leave over; pairs of parts of a block are dealt out as in the
+    n-gram join.
 
     forest: a group gives no candidate that its others make needless, should they be links; `more` tells that it held some back."""
     schema = "a long, b long, more boolean"
     kind = arrow_schema(schema)
     by = ["block", "sub", "i", "j"]
-    rows = tree_parts(rows).join(reps.select("doc_id", "sketch"), "doc_id").select(*by, "own", "doc_id", "n", "comp", "sketch")
+    ids = stored(rows.select("doc_id").distinct(), "open_ids")
+    facts = stored(samples(docs, ids).join(reps.select("doc_id", "sketch"), "doc_id"), "samples")
+    rows = tree_parts(rows).join(facts, "doc_id").select(*by, "own", "doc_id", "n", "comp", "sketch", "sample", "level")
     dealt = rows.repartition(*by).sortWithinPartitions(*by, "doc_id")
 
     def of_group(group: list[dict]) -> tuple[list[int], list[int], bool]:
         sketch = np.frombuffer(b"".join(r["sketch"] for r in group), np.uint16).reshape(-1, BUCKETS)
         ids, n, comp, own = (np.array([r[k] for r in group], np.int64) for k in ("doc_id", "n", "comp", "own"))
         within = group[0]["i"] == group[0]["j"]
+        sampled = None
         a, b, more = [], [], False
         above = {int(c): int(c) for c in comp}  # components, as far as this group's candidates would join them
 
@@ -170,7 +235,11 @@ def block_pairs(rows: DataFrame, reps: DataFrame, forest: bool) -> DataFrame:
             if not len(rest):
                 continue
             equal = (sketch[rest] == sketch[k]).sum(1)
-            for other in rest[estimate(equal, n[rest], np.full(len(rest), n[k])) >= LEAST].tolist():
+            rest = rest[estimate(equal, n[rest], np.full(len(rest), n[k])) >= LEAST]
+            if not len(rest):
+                continue
+            sampled = sampled or Samples([r["sample"] for r in group], [r["level"] for r in group])
+            for other in rest[sampled.may_link(k, rest)].tolist():
                 if forest:
                     c, d = top(int(comp[k])), top(int(comp[other]))
                     if c == d:
@@ -224,11 +293,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     done = tested(stored(plausible(seed_pairs(blocks), reps), "seeds"), docs, WORDS, PERCENT)
     for forest in (True, False):
         labels = components(done.filter("linked"))
-        found = stored(block_pairs(open_blocks(blocks, labels), reps, forest), "candidates")
+        found = stored(block_pairs(stored(open_blocks(blocks, labels), "open_rows"), reps, docs, forest), "candidates")
         fresh = stored(found.join(done.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
         if fresh.take(1):
             done = stored(done.unionByName(tested(fresh, docs, WORDS, PERCENT)), "tested")
-        if not found.filter("more").take(1):
+        # what was held back is joined already if all candidates are links
+        if not found.filter("more").take(1) or not found.join(done.filter("NOT linked"), ["a", "b"], "left_semi").take(1):
             break
     repeated = members.filter("rep IS NOT NULL AND rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = done.filter("linked").select("a", "b").unionByName(repeated.join(reps.select(F.col("doc_id").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
