@@ -106,18 +106,23 @@ def test_compaction():
 
 
 def test_sorted_edits_beyond_the_limit_are_summed_up(spark, monkeypatch):
-    from tidemark.plans import tables
-
-    def table(data):
-        return tables.Table("", ["a", "b"], spark.createDataFrame([(i, *r) for i, r in enumerate(data)], f"{ROW} long, a string, b string"))
-
-    left, right = table([(f"{i:03}", "x") for i in range(40)]), table([(f"{i:03}", "y" if i % 2 else "x") for i in range(40)][::-1])
-    pairs = rows.sorted_pairs(left.df, right.df)
-    stats = rows.churn(left.df, right.df, pairs).first()
-    whole = tables._sorted_edits(left, right, pairs, 40, stats)
-    assert sum(e["verb"] == "tabular.edit_cell" for e in whole) == stats["changed_cells"] == 20
-    monkeypatch.setattr(tables, "EDIT_LIMIT", 5)
-    summed = tables._sorted_edits(left, right, pairs, 40, stats)[-1]["params"]
+    from tidemark.config import PathConfig
+    from tidemark.plans import compare
+    from tidemark.plans.reading import READ, Head
+
+    left, right = ([(f"{i:03}", "x") for i in range(40)], [(f"{i:03}", "y" if i % 2 else "x") for i in range(40)][::-1])
+    found = spark.createDataFrame([("row", 0, side, "", i, list(r), None) for side, data in (("l", left), ("r", right)) for i, r in enumerate(data)], READ)
+
+    def edits():
+        plan = compare.Plan(0, "t", 0, "", "", Head(["a", "b"], rows=40), Head(["a", "b"], rows=40), PathConfig())
+        monkeypatch.setattr(compare.infer, "KEY_ROWS", 0)  # no key is looked for
+        compare.compare(found, [plan], ())
+        return plan.edits
+
+    whole = edits()
+    assert sum(e["verb"] == "tabular.edit_cell" for e in whole) == 20
+    monkeypatch.setattr(compare, "EDIT_LIMIT", 5)
+    summed = edits()[-1]["params"]
     assert summed["cells_changed"] == 20 and summed["examples"]["truncated"] and len(summed["examples"]["modified"]) == 16
 
 

@@ -23,7 +23,7 @@ from tidemark.operators import infer, rows
 from tidemark.operators.compact import Edit, appended_rows, cost, edit, renamed_columns, reordered_columns, value_size
 from tidemark.operators.order import ROW, with_row_index
 from tidemark.plans.reading import Head
-from tidemark.store import keep
+from tidemark.store import keep, local
 
 EDIT_LIMIT, EXAMPLES, CAPTURED = 5_000, 16, 16
 #: Row indexes of a table are below 2 ** INDEX_BITS, so (t, index) is one number.
@@ -68,7 +68,7 @@ class Plan:
 
 
 def _spec(spark, plans: list[Plan], schema: str, row) -> DataFrame:
-    return spark.createDataFrame([row(p) for p in plans], schema)
+    return local(spark, [row(p) for p in plans], schema)
 
 
 def _at(cells: Column, positions: str) -> Column:

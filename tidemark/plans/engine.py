@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from tidemark.plans.reading import content_batches, heads_of, read_files, read_p
 from tidemark.plans.tables import CONTAINERS, DELIMITED
 from tidemark.sources import files
 from tidemark.sources.records import untagged
-from tidemark.store import keep
+from tidemark.store import keep, local
 
 FUZZY_BYTES = 8 << 20
 DIAGNOSTICS = 16
@@ -110,20 +110,48 @@ def _meta(items: DataFrame) -> DataFrame:
     return items.select("path", "name", "parent", "ext", "size", "hash", "is_dir", "container")
 
 
+def _fresh(links: DataFrame, new: DataFrame) -> DataFrame:
+    """Those new links that concern an item of the right side for the first time."""
+    return new.join(links.select("right").distinct(), "right", "left_anti").select("left", "right", "evidence").dropDuplicates(["right"])
+
+
 def _add(links: DataFrame, new: DataFrame) -> DataFrame:
-    """links and those new ones that concern an item of the right side for the first time."""
-    new = new.join(links.select("right").distinct(), "right", "left_anti").select("left", "right", "evidence").dropDuplicates(["right"])
-    return keep(links.unionByName(new))
+    return keep(links.unionByName(_fresh(links, new)))
+
+
+@dataclass
+class Open:
+    """How many items have no link yet."""
+
+    left_files: int
+    right_files: int
+    left_folders: int
+    right_folders: int
+
+    @property
+    def files(self) -> bool:
+        return bool(self.left_files and self.right_files)
+
+    @property
+    def folders(self) -> bool:
+        return bool(self.left_folders and self.right_folders)
+
+
+def _open(a: DataFrame, b: DataFrame, links: DataFrame) -> Open:
+    free = lambda items, side: items.join(links.select(F.col(side).alias("path")).distinct(), "path", "left_anti").select(F.lit(side).alias("side"), (F.col("is_dir") | F.col("container")).alias("holds"), ~F.col("is_dir"))
+    both = free(a, "left").unionByName(free(b, "right")).toDF("side", "holds", "is_file")
+    count = lambda side, what: F.count_if((F.col("side") == side) & F.col(what))
+    return Open(*both.agg(count("left", "is_file"), count("right", "is_file"), count("left", "holds"), count("right", "holds")).first())
 
 
 def pair_items(left: DataFrame, right: DataFrame, config: Config) -> tuple[DataFrame, list[dict], list[Diagnostic]]:
     """(left, right, evidence), claims and diagnostics of split and merged tables. Rules in the order of their weight; names under
-    paired parents are tried again whenever parents were paired."""
+    paired parents are tried again whenever parents were paired. Rules that need unlinked items run only where there are some."""
     spark = left.sparkSession
     a, b = keep(_meta(left)), keep(_meta(right))
-    links = spark.createDataFrame([("", "", "root")], LINKS)
+    links = local(spark, [("", "", "root")], LINKS)
     if config.pairs:
-        given = spark.createDataFrame(config.pairs, "left string, right string").withColumn("evidence", F.lit("declared"))
+        given = local(spark, config.pairs, "left string, right string").withColumn("evidence", F.lit("declared"))
         links = _add(links, given.join(a.select(F.col("path").alias("left")), "left", "left_semi").join(b.select(F.col("path").alias("right")), "right", "left_semi"))
     files_a, files_b = a.filter("NOT is_dir"), b.filter("NOT is_dir")
     for rule in config.rules:
@@ -134,22 +162,36 @@ def pair_items(left: DataFrame, right: DataFrame, config: Config) -> tuple[DataF
 
     def names(links: DataFrame) -> DataFrame:
         while True:
-            new = keep(pairing.same_name_below(a, b, links))
+            new = keep(_fresh(links, pairing.same_name_below(a, b, links)))
             if not new.take(1):
                 return links
-            links = _add(links, new)
+            links = keep(links.unionByName(new))
+
+    def containers(links: DataFrame) -> DataFrame:
+        return names(_add(links, pairing.best_containers(pairing.container_votes(a, b, links), links)))
 
     links = names(links)
-    links = _add(links, pairing.moved(files_a, files_b, links))
-    links = _add(links, pairing.copied(files_a, files_b, links))
-    links = names(_add(links, pairing.best_containers(pairing.container_votes(a, b, links), links)))
+    rest = _open(a, b, links)
+    if rest.right_files:
+        if rest.left_files:
+            links = _add(links, pairing.moved(files_a, files_b, links))
+        links = _add(links, pairing.copied(files_a, files_b, links))
+    if rest.folders:
+        links = containers(links)
     for rule in plugins.PAIR_RULES:
         links = _add(links, rule(a, b, links))
+    if rest.files or rest.folders:
+        rest = _open(a, b, links)
+    if not rest.files:
+        return links, [], []
     claims, diagnostics = partitions(left, right, links, config)
-    claimed = spark.createDataFrame([(p,) for c in claims for p in [c["whole"], *c["parts"]]], "path string")
+    claimed = local(spark, [(p,) for c in claims for p in [c["whole"], *c["parts"]]], "path string")
     free = lambda df: df.join(claimed, "path", "left_anti")
-    links = _add(links, similar_files(free(left), free(right), links, config))
-    return names(_add(links, pairing.best_containers(pairing.container_votes(a, b, links), links))), claims, diagnostics
+    found = _fresh(links, similar_files(free(left), free(right), links, config))
+    if (found := keep(found)).take(1):
+        links = keep(links.unionByName(found))
+        links = containers(links) if rest.folders else names(links)
+    return links, claims, diagnostics
 
 
 def similar_files(left: DataFrame, right: DataFrame, links: DataFrame, config: Config) -> DataFrame:
@@ -164,7 +206,7 @@ def similar_files(left: DataFrame, right: DataFrame, links: DataFrame, config: C
 
     a, b = side(left, "left"), side(right, "right")
     if not a.take(1) or not b.take(1):
-        return left.sparkSession.createDataFrame([], LINKS)
+        return local(left.sparkSession, [], LINKS)
     return similarity.greedy(keep(similarity.similar_pairs(a, b, ["ext"]))).select("left", "right", F.lit("similar").alias("evidence"))
 
 
@@ -316,10 +358,10 @@ def diff(spark: SparkSession, left: str, right: str, config: Config | dict | str
 
 def _diff(spark: SparkSession, left: str, right: str, config: Config) -> Changeset:
     a, b = keep(files.scan(spark, left, config)), keep(files.scan(spark, right, config))
-    single = all(d.filter("NOT is_dir AND NOT contains(path, '/')").count() == 1 and d.filter("is_dir").count() == 0 and d.count() == 1 for d in (a, b))
+    only = [d.agg(F.count("*").alias("n"), F.count_if(F.col("is_dir") | F.contains("path", F.lit("/"))).alias("deep"), F.min("path").alias("path")).first() for d in (a, b)]
+    single = all(x["n"] == 1 and not x["deep"] for x in only)
     if single and not config.pairs:
-        names = [d.select("path").first()[0] for d in (a, b)]
-        config.pairs = [(names[0], names[1])]
+        config = replace(config, pairs=[(only[0]["path"], only[1]["path"])])
     links, claims, found = pair_items(a, b, config)
     links = links.collect()
     trace = [{"phase": "pair", "rule": rule, "links": n} for rule, n in sorted(Counter(x["evidence"].split(":")[0] for x in links).items())]

@@ -22,7 +22,7 @@ from tidemark.plans.tables import is_tabular, parse_file
 from tidemark.sources.files import looks_like_text
 from tidemark.sources.formats import BINARY_DOCUMENTS, binary_document
 from tidemark.sources.records import document, tagged
-from tidemark.store import keep
+from tidemark.store import keep, local
 
 TEXT = {".txt", ".md", ".vcf", ""}
 DOCUMENTS = {".json", ".jsonld", ".geojson", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".xml", ".plist"}
@@ -179,7 +179,7 @@ def read_pairs(left: DataFrame, right: DataFrame, jobs: list[tuple], config: Con
     """jobs: rows of SPEC; configs are numbers into [defaults, *paths]. Kept: heads and rows of the pairs that are tables on both sides,
     and for each other pair a row `pair` with its edits as JSON. What can't be parsed becomes a diagnostic, and is compared as it is."""
     spark = left.sparkSession
-    spec = spark.createDataFrame(jobs, SPEC)
+    spec = local(spark, jobs, SPEC)
     configs, parsers, writers = [config.defaults, *config.paths], dict(plugins.PARSERS), dict(plugins.WRITERS)
 
     def of_pair(i: int, a: bytes, b: bytes, lp: str, rp: str, le: str, re: str, lc: int, rc: int) -> Iterator[tuple]:
@@ -225,7 +225,7 @@ def read_pairs(left: DataFrame, right: DataFrame, jobs: list[tuple], config: Con
 def read_files(items: DataFrame, jobs: list[tuple], config: Config) -> DataFrame:
     """Heads and rows of single files, kept. jobs: (id, path, ext, config). Files that can't be parsed have none."""
     spark = items.sparkSession
-    spec = spark.createDataFrame(jobs, "id int, path string, ext string, config int")
+    spec = local(spark, jobs, "id int, path string, ext string, config int")
     configs, parsers = [config.defaults, *config.paths], dict(plugins.PARSERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,10 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +46,10 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.tidemark_path = path
     return out
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of what the driver has. It comes with its size, so Spark itself sends a small one to all tasks and shuffles a large one."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind), schema)
