@@ -205,7 +205,7 @@ def assign(kept: DataFrame, books: Codebooks) -> DataFrame:
 def with_label_errors(coded: DataFrame) -> DataFrame:
     """Adds label_error: error summed over equal labels, nulls together (null beyond a long). Sums are pre-aggregated; few labels are
     sent to every task, of many the hot ones, and the others meet their rows by a shuffle."""
-    total = F.sum(F.col("error").cast("decimal(38,0)")).try_cast("bigint")
+    total = F.when(F.count("error") == F.count("*"), F.sum(F.col("error").cast("decimal(38,0)")).try_cast("bigint"))
     sums = stored(coded.groupBy("label").agg(total.alias("label_error"), F.count("*").alias("_n")), "label_sums")
     on = lambda other: coded["label"].eqNullSafe(other["_label"])
     named = sums.withColumnRenamed("label", "_label")
