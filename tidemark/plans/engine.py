@@ -19,13 +19,15 @@ from tidemark.operators import pairing, similarity
 from tidemark.operators.compact import Edit, cost, edit
 from tidemark.operators.order import ROW
 from tidemark.plans.compare import Plan, compare
-from tidemark.plans.reading import content_batches, heads_of, read_files, read_pairs
+from tidemark.plans.reading import Head, content_batches, heads_of, read_files, read_pairs
 from tidemark.plans.tables import CONTAINERS, DELIMITED
-from tidemark.sources import files
+from tidemark.sources import files, large
 from tidemark.sources.records import untagged
 from tidemark.store import keep, local
 
 FUZZY_BYTES = 8 << 20
+#: Files that can't be cut are read whole up to this; larger ones are compared by their hashes.
+WHOLE_BYTES = 1 << 30
 DIAGNOSTICS = 16
 LINKS = "left string, right string, evidence string"
 
@@ -219,22 +221,72 @@ def config_number(config: Config, path: str) -> int:
     return next((i for i, p in enumerate(config.paths, 1) if p is own), 0)
 
 
+def with_contents(items: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
+    """path, content of items, with those of some that aren't held read from where they are. paths: (path, physical)."""
+    own = items.filter("content IS NOT NULL").select("path", "content")
+    if not paths:
+        return own
+    spark = items.sparkSession
+    read = spark.read.format("binaryFile").load(large.reader_paths([p for _, p in paths])).select(F.col("_metadata.file_path").alias("physical"), "content")
+    return own.unionByName(local(spark, paths, "path string, physical string").join(read, "physical").select("path", "content"))
+
+
+def large_pairs(left: DataFrame, right: DataFrame, changed: list[tuple[dict, dict]], config: Config) -> tuple[DataFrame | None, dict[tuple[int, str, str], Head], set[int]]:
+    """Rows and heads of the pairs of which a file is too large to be held, and the pairs of these that are no tables that can be cut."""
+    too_large = [i for i, (a, b) in enumerate(changed) if not (a["held"] and b["held"])]
+    if not too_large:
+        return None, {}, set()
+    files_, held = [], {"l": [], "r": []}
+    for i in too_large:
+        for side, item in zip("lr", changed[i], strict=True):
+            if item["held"]:
+                held[side].append((i, item["path"], item["ext"], config_number(config, item["path"])))
+            elif config.of(item["path"]).rule not in ("text", "binary"):
+                files_.append(large.File(i, side, item["path"], item["ext"], item["physical"], config.of(item["path"])))
+    rows, tables = large.read_large(left.sparkSession, [f for f in files_ if f.kind])
+    heads = {(i, side, t.name): Head(t.columns, {}, t.inferred, t.rows) for (i, side), own in tables.items() for t in own}
+    for side, items in (("l", left), ("r", right)):
+        if held[side]:
+            read = read_files(items, held[side], config)
+            heads |= {(i, side, name): head for (i, _, name), head in heads_of(read).items()}
+            more = read.filter("kind = 'row'").select("id", F.lit(side).alias("side"), "name", ROW, "cells")
+            rows = more if rows is None else rows.unionByName(more)
+    known = {(i, side) for i, side, _ in heads}
+    left_out = {i for i in too_large if not {(i, "l"), (i, "r")} <= known}
+    heads = {k: h for k, h in heads.items() if k[0] not in left_out}
+    if rows is not None:
+        rows = keep(rows.filter(~F.col("id").isin(sorted(left_out))).select(F.lit("row").alias("kind"), "id", "side", "name", ROW, "cells"), "large")
+    return rows, heads, left_out
+
+
 def explain(left: DataFrame, right: DataFrame, changed: list[tuple[dict, dict]], config: Config) -> tuple[list[Node], list[Diagnostic]]:
     """A node for each pair of items of different bytes, with what explains it. All pairs are read and compared together."""
     nodes = [Node(b["path"], "modify", a["path"], "file") for a, b in changed]
     if not changed:
         return [], []
-    jobs, large = [], []
+    diagnostics: list[Diagnostic] = []
+    large_rows, large_heads, left_out = large_pairs(left, right, changed, config)
+    jobs, whole = [], {"l": [], "r": []}
     for i, (a, b) in enumerate(changed):
         own = (i, a["path"], b["path"], a["ext"], b["ext"], config_number(config, a["path"]), config_number(config, b["path"]))
-        (jobs if a["held"] and b["held"] else large).append(own)
+        if a["held"] and b["held"]:
+            jobs.append(own)
+        elif i in left_out and max(a["size"], b["size"]) <= WHOLE_BYTES:
+            jobs.append(own)
+            for side, item in (("l", a), ("r", b)):
+                whole[side] += [] if item["held"] else [(item["path"], item["physical"])]
+        elif i in left_out:
+            diagnostics.append(diagnostic("warning", "too_large", f"files of {a['size']:,} and {b['size']:,} bytes that can't be cut are compared by their hashes", b["path"]))
+    left, right = (with_contents(items, whole[side]) for items, side in ((left, "l"), (right, "r")))
     found = read_pairs(left, right, jobs, config)
-    diagnostics: list[Diagnostic] = []
     for r in found.filter("kind = 'pair'").select("id", "body").collect():  # edits of a pair, up to the limits of each verb
         body, node = json.loads(r["body"]), nodes[r["id"]]
         node.item_type, node.tags, node.edits = body["item_type"], body["tags"], body["edits"]
         diagnostics += body["diagnostics"]
-    heads = heads_of(found)
+    heads = heads_of(found) | large_heads
+    found = found.select("kind", "id", "side", "name", ROW, "cells")
+    if large_rows is not None:
+        found = found.unionByName(large_rows)
     names: dict[int, dict[str, list[str]]] = defaultdict(lambda: {"l": [], "r": []})
     for i, side, name in sorted(heads):
         names[i][side].append(name)

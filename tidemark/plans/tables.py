@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from tidemark import plugins
 from tidemark.config import PathConfig
-from tidemark.operators.order import ROW, with_row_index
-from tidemark.sources.delimited import default_delimiter, rows_of, sniff, stacked, with_header
+from tidemark.operators.order import ROW
+from tidemark.sources import large
+from tidemark.sources.delimited import rows_of, sniff, stacked, with_header
 from tidemark.sources.formats import tables as binary_tables
+from tidemark.sources.large import DELIMITED
 from tidemark.sources.records import json_table
 
-DELIMITED = {".csv", ".tsv", ".tab"}
 JSON = {".json", ".jsonl", ".ndjson", ".geojson"}
 BINARY = {".sqlite", ".sqlite3", ".db", ".parquet", ".arrow", ".feather", ".ipc", ".xlsx", ".xlsm", ".ods", ".avro", ".dta", ".sas7bdat", ".dbf", ".xpt"}
 CONTAINERS = {".sqlite", ".sqlite3", ".db", ".xlsx", ".xlsm", ".ods", ".xpt"}
@@ -54,7 +55,7 @@ def parse_file(data: bytes, path: str, ext: str, config: PathConfig, own: dict)
 
 
 def read_tables(items: DataFrame, path: str, ext: str, physical: str | None, config: PathConfig) -> list[Table]:
-    """The tables of an item. Its bytes are parsed where they are; a file too large to be held as an item goes through Spark's reader."""
+    """The tables of an item. Its bytes are parsed where they are; a file too large to be held as an item is cut (sources.large)."""
     parsers = {k: v for k, v in plugins.PARSERS.items() if k == ext}  # goes along to the executors
     row = items.filter(F.col("path") == path).select("content").withColumn("held", F.col("content").isNotNull())
 
@@ -66,7 +67,9 @@ def read_tables(items: DataFrame, path: str, ext: str, physical: str | None, con
                     yield pd.DataFrame(head + [(name, i, list(r), None) for i, r in enumerate(found)], columns=["table", ROW, "cells", "meta"])
 
     if not row.select("held").first()["held"]:
-        return [_large(items.sparkSession, physical, path, config)] if ext in DELIMITED else []
+        found, tables = large.read_large(items.sparkSession, [f for f in [large.File(0, "", path, ext, physical, config)] if f.kind])
+        at = lambda t: found.filter(F.col("name") == t.name).select(ROW, *[F.try_element_at("cells", F.lit(i + 1)).alias(c) for i, c in enumerate(t.columns)])
+        return [Table(t.name, t.columns, at(t), {}, t.inferred) for t in tables.get((0, ""), [])]
     parsed = row.select("content").mapInPandas(run, f"table string, {ROW} long, cells array<string>, meta string").cache()
     out = []
     for head in parsed.filter(f"{ROW} = -1").orderBy("table").collect():
@@ -74,13 +77,3 @@ def read_tables(items: DataFrame, path: str, ext: str, physical: str | None, con
         cells = [F.try_element_at("cells", F.lit(i + 1)).alias(c) for i, c in enumerate(head["cells"])]
         out.append(Table(head["table"], list(head["cells"]), parsed.filter((F.col("table") == head["table"]) & (F.col(ROW) >= 0)).select(ROW, *cells), meta, inferred))
     return out
-
-
-def _large(spark, physical: str, path: str, config: PathConfig) -> Table:
-    delimiter = config.dialect.get("delimiter") or default_delimiter(path)
-    first = spark.read.text(physical).limit(1).first()
-    names = rows_of(first[0], sniff(first[0].encode(), path, {"delimiter": delimiter}))[0]
-    columns = with_header([names], PathConfig())[0]
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("multiLine", False).csv(physical)
-    return Table("", columns, with_row_index(df))
