@@ -132,3 +132,33 @@ def test_rounding(spark):
     assert [r[0] for r in df.collect()] == [1000, 1000, None, 1000, None, 1, 1, None, None, 100, 100, None]
     exact = spark.createDataFrame([("1." + "0" * 12 + "1", "1"), ("1e-13", "0"), ("1.50", "1.5"), ("1e3", "1000")], "a string, b string")
     assert [r[0] for r in exact.select(cells.numbers_equal(F.col("a"), F.col("b"))).collect()] == [False, False, True, True]
+
+
+def test_tables_pair_across_formats(spark, tmp_path):
+    people = [("id", "Name", "city"), *((str(i), f"name{i}", f"city{i % 7}") for i in range(30))]
+    rows = lambda data, sep: "".join(sep.join(r) + "\n" for r in data)
+    other = [("k", "amount"), *((f"x{i}", str(i * 13)) for i in range(25))]
+    a = write(tmp_path / "a", {"people.csv": rows(people, ","), "old/sums.csv": rows(other, ","), "note.txt": "nothing alike\n"})
+    b = write(tmp_path / "b", {"roster.tsv": rows(people[:9] + [("8", "changed", "city1")] + people[10:], "\t"), "new/totals.csv": rows([*other, ("x99", "7")], ","), "more.csv": "q,r\n1,2\n"})
+    found = api.diff(spark, a, b, KEYED)
+    node = found.find("roster.tsv")
+    assert node.source == "people.csv" and [e["params"]["to"] for e in node.edits] == ["changed"] and "serialization-change" in node.tags
+    assert found.find("new/totals.csv").source == "old/sums.csv" and found.find("more.csv").action == "add" and found.find("note.txt").action == "remove"
+
+
+def test_many_tables_of_the_same_headers(spark, monkeypatch):
+    from tidemark.operators import similarity
+
+    monkeypatch.setattr(similarity, "SAME_HEADERS", 3)
+    table = lambda n, k: (f"{k}{n}", ["a", "b"], [f"t{n}", f"u{n}"])
+    left, right = (spark.createDataFrame([table(n, k) for n in range(8)] + [(f"{k}z", ["a", "b"], [f"only{k}"])], "id string, headers array<string>, tokens array<string>") for k in "lr")
+    found = {(r["left"], r["right"]) for r in similarity.greedy(similarity.table_pairs(left, right)).collect()}
+    assert found == {(f"l{n}", f"r{n}") for n in range(8)}
+    assert [tuple(r) for r in similarity.by_place(left.filter("id = 'lz'"), right.filter("id = 'rz'")).collect()] == [("lz", "rz")]
+
+
+def test_containers_in_rounds(spark):
+    from tidemark.operators import pairing
+
+    votes = spark.createDataFrame([("l1", "r1", 5, 5), ("l2", "r1", 5, 5), ("l2", "r2", 4, 5)], "lp string, rp string, votes long, children long")
+    assert {(r["left"], r["right"]) for r in pairing.best_containers(votes).collect()} == {("l1", "r1"), ("l2", "r2")}

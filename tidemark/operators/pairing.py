@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import captured_key
+from tidemark.store import keep
 
 VOTE_SHARE = 0.8
 LINKS = "left string, right string, evidence string"
@@ -81,13 +82,20 @@ def container_votes(left: DataFrame, right: DataFrame, links: DataFrame) -> Data
 
 
 def best_containers(votes: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """Containers by their children's votes: of those with VOTE_SHARE or more each the partner with most votes, if it is so both ways."""
+    """Containers by their children's votes, one to one: of those with VOTE_SHARE or more, by falling votes, then by paths. Rounds in
+    which each pair goes that is the best of both its sides, until none is left, give what one pass over the sorted pairs would."""
     fit = votes.filter(F.col("votes") * 100 >= F.col("children") * int(VOTE_SHARE * 100)).filter("lp <> '' AND rp <> ''")
     if links is not None:
         fit = fit.join(links.select(F.col("left").alias("lp")), "lp", "left_anti").join(links.select(F.col("right").alias("rp")), "rp", "left_anti")
     order = [F.desc("votes"), "children", "lp", "rp"]
-    best = fit.withColumn("_a", F.row_number().over(Window.partitionBy("lp").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("rp").orderBy(*order)))
-    return best.filter("_a = 1 AND _b = 1").select(F.col("lp").alias("left"), F.col("rp").alias("right"), F.lit("children").alias("evidence"))
+    rest, out = keep(fit, "votes"), None
+    while True:
+        best = rest.withColumn("_a", F.row_number().over(Window.partitionBy("lp").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("rp").orderBy(*order)))
+        chosen = keep(best.filter("_a = 1 AND _b = 1").select(F.col("lp").alias("left"), F.col("rp").alias("right"), F.lit("children").alias("evidence")), "containers")
+        out = chosen if out is None else out.unionByName(chosen)
+        if not chosen.take(1):
+            return out
+        rest = keep(rest.join(chosen.select(F.col("left").alias("lp")), "lp", "left_anti").join(chosen.select(F.col("right").alias("rp")), "rp", "left_anti"), "votes")
 
 
 # --- row sets: split and merge -------------------------------------------------------------------------------------------

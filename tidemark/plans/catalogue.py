@@ -411,6 +411,21 @@ def tabular_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(*both, ["p_brand"], 60)
 
 
+@query(r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(l[1]), ' '), lambda x: x <> '')) AS h, list_distinct(regexp_extract_all(lower(array_to_string(l[2:65], ' ')), '[a-z0-9]+')) AS w FROM d),
+k AS (SELECT doc_id, unnest(h) AS k, 'h' AS f FROM t UNION ALL SELECT doc_id, unnest(w), 'w' FROM t),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) FILTER (a.f = 'h') AS hs, count(*) FILTER (a.f = 'w') AS ws FROM k a JOIN k b ON a.k = b.k AND a.f = b.f AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 GROUP BY ALL),
+s AS (SELECT x, y, hs, ws, greatest(len(a.h) + len(b.h) - hs, 1) AS ht, greatest(len(a.w) + len(b.w) - ws, 1) AS wt FROM p JOIN t a ON a.doc_id = x JOIN t b ON b.doc_id = y)
+SELECT x AS "left", y AS "right", (hs * wt + ws * ht)::BIGINT AS shared, (2 * ht * wt)::BIGINT AS total FROM s WHERE hs * wt + ws * ht >= ht * wt""")
+def table_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as tables: the first line has the headers, the next 64 are rows; even ids against odd ones."""
+    lines = F.split("text", "\n")
+    headers = F.array_distinct(F.filter(F.split(F.lower(F.get(lines, F.lit(0))), " "), lambda x: x != ""))
+    tokens = similarity.word_tokens(F.array_join(F.slice(lines, 2, similarity.HEAD_ROWS), " "))
+    df = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), headers.alias("headers"), tokens.alias("tokens"))
+    return similarity.table_pairs(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"))
+
+
 # --- documents, text, bytes ------------------------------------------------------------------------------------------------
 
 

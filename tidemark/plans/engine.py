@@ -20,7 +20,7 @@ from tidemark.operators.compact import Edit, cost, edit
 from tidemark.operators.order import ROW
 from tidemark.plans.compare import Plan, compare
 from tidemark.plans.reading import Head, content_batches, heads_of, read_files, read_pairs
-from tidemark.plans.tables import CONTAINERS, DELIMITED
+from tidemark.plans.tables import CONTAINERS, DELIMITED, is_tabular
 from tidemark.sources import files, large
 from tidemark.sources.records import untagged
 from tidemark.store import keep, local
@@ -189,13 +189,40 @@ def pair_items(left: DataFrame, right: DataFrame, config: Config) -> tuple[DataF
     claims, diagnostics = partitions(left, right, links, config)
     claimed = local(spark, [(p,) for c in claims for p in [c["whole"], *c["parts"]]], "path string")
     free = lambda df: df.join(claimed, "path", "left_anti")
-    found = _fresh(links, similar_files(free(left), free(right), links, config))
-    if (found := keep(found)).take(1):
+    found = keep(_fresh(links, similar_tables(free(left), free(right), links, config)))
+    found = keep(found.unionByName(_fresh(links.unionByName(found), similar_files(free(left), free(right), links.unionByName(found), config))))
+    if found.take(1):
         links = keep(links.unionByName(found))
         links = containers(links) if rest.folders else names(links)
     return links, claims, diagnostics
 
 
+def similar_tables(left: DataFrame, right: DataFrame, links: DataFrame, config: Config) -> DataFrame:
+    """Unlinked files that are one table each, whatever their formats, by their headers and the tokens of their first rows."""
+
+    def side(items: DataFrame, name: str) -> DataFrame | None:
+        free = items.filter(~F.col("is_dir") & ~F.col("container") & F.col("content").isNotNull()).join(links.select(F.col(name).alias("path")).distinct(), "path", "left_anti")
+        found = sorted((r["path"], r["ext"]) for r in free.select("path", "ext").collect() if config.of(r["path"]).rule not in ("text", "binary") and is_tabular(r["ext"], config.of(r["path"])))
+        if not found:
+            return None
+        read = read_files(items, [(i, path, ext, config_number(config, path)) for i, (path, ext) in enumerate(found)], config)
+        single = read.filter("kind = 'head'").groupBy("id").agg(F.count("*").alias("n"), F.first("cells").alias("columns")).filter("n = 1").select("id", F.array_distinct(F.transform("columns", F.lower)).alias("headers"))
+        cells = read.filter((F.col("kind") == "row") & (F.col(ROW) < similarity.HEAD_ROWS)).select("id", F.explode(similarity.word_tokens(F.concat_ws(" ", "cells"))).alias("token"))
+        tokens = cells.groupBy("id").agg(F.collect_set("token").alias("tokens"))  # of HEAD_ROWS rows
+        none = F.array().cast("array<string>")
+        paths = local(items.sparkSession, [(i, path) for i, (path, _) in enumerate(found)], "number int, id string")
+        joined = single.join(tokens, "id", "left").withColumnRenamed("id", "number").join(paths, "number")
+        return keep(joined.select("id", "headers", F.coalesce("tokens", none).alias("tokens")))
+
+    a = side(left, "left")
+    b = side(right, "right") if a is not None else None
+    if a is None or b is None:
+        return local(left.sparkSession, [], LINKS)
+    found = similarity.greedy(similarity.table_pairs(a, b)).select("left", "right")
+    rest = lambda df, name: df.join(found.select(F.col(name).alias("id")), "id", "left_anti")
+    return found.unionByName(similarity.by_place(rest(a, "left"), rest(b, "right"))).withColumn("evidence", F.lit("similar table"))
+
+
 def similar_files(left: DataFrame, right: DataFrame, links: DataFrame, config: Config) -> DataFrame:
     """Unlinked texts of one extension by their tokens, one to one; all of them are compared, through shared rare tokens."""
 
