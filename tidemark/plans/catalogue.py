@@ -246,6 +246,59 @@ def column_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(changes(_LEFT_NAMES, _RIGHT_NAMES), "name string, kind string")
 
 
+# --- snapshots -----------------------------------------------------------------------------------------------------------
+
+
+def _write_snapshot(df: DataFrame, folder: str, name: str, by: str) -> None:
+    """A CSV file `name_<value>.csv` for each value of `by`."""
+    df.repartition(by).write.partitionBy(by).option("header", True).csv(f"{folder}.parts")
+    jvm = df.sparkSession.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}.parts/{by}=*/part-*")):
+        value = status.getPath().getParent().getName().partition("=")[2]
+        fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}_{value}.csv"))
+
+
+def _told(node) -> dict[str, int]:
+    """Rows and cells that a table's edits speak of."""
+    n = dict.fromkeys(("rows_added", "rows_removed", "cells_suppressed", "cells_rounded", "cells_changed"), 0)
+    for e in node.edits:
+        p, verb = e["params"], e["verb"].rpartition(".")[2]
+        if verb == "append_rows":
+            n["rows_added"] += p.get("row_count", len(p["rows"]))
+        elif verb in ("values_suppressed", "values_rounded"):
+            n[verb.replace("values", "cells")] += p["cells"]
+        elif verb == "keyed_stream_summary":
+            for k in ("rows_added", "rows_removed", "cells_changed"):
+                n[k] += p[k]
+        elif verb in ("add_row", "remove_row", "edit_cell"):
+            n[{"add_row": "rows_added", "remove_row": "rows_removed", "edit_cell": "cells_changed"}[verb]] += 1
+    return n
+
+
+@query(f"""{WITH}, p AS (SELECT left(coalesce(a.o_day, b.o_day), 4) AS y, a.o_orderkey AS l, b.o_orderkey AS r, a.o_orderstatus <> b.o_orderstatus AS s, a.o_orderpriority <> b.o_orderpriority AS q, a.cents AS x, b.cents AS z FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey),
+m AS (SELECT y, length(regexp_extract(z::VARCHAR, '0*$')) AS zeros, count(*) AS n FROM p WHERE x <> z AND z <> 0 GROUP BY ALL),
+g AS (SELECT y, coalesce(sum(n) FILTER (n > 1), 0) AS grouped, coalesce(sum(n) FILTER (n = 1), 0) AS alone FROM m GROUP BY y)
+SELECT concat('orders_', p.y, '.csv') AS path, count(*) FILTER (l IS NULL)::BIGINT AS rows_added, count(*) FILTER (r IS NULL)::BIGINT AS rows_removed, count(*) FILTER (s)::BIGINT AS cells_suppressed,
+coalesce(any_value(grouped), 0)::BIGINT AS cells_rounded, (count(*) FILTER (q) + count(*) FILTER (x <> z AND z = 0) + coalesce(any_value(alone), 0))::BIGINT AS cells_changed
+FROM p LEFT JOIN g ON g.y = p.y GROUP BY p.y""")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both editions of orders as CSV files by year, compared as snapshots by the whole engine: what it tells about each file."""
+    import uuid
+
+    from tidemark import store
+    from tidemark.plans.engine import diff
+
+    top = f"{store.shared_folder(spark)}/tidemark/snapshots-{uuid.uuid4().hex}"
+    for name, df in (("a", orders_a(spark, sf_dir)), ("b", orders_b(spark, sf_dir))):
+        _write_snapshot(df.withColumn("year", F.substring("o_day", 1, 4)), f"{top}/{name}", "orders", "year")
+    found = diff(spark, f"{top}/a", f"{top}/b", {"dataset": {"defaults": {"row_identity": {"columns": ["o_orderkey"]}}}})
+    store.drop(spark, top)
+    told = [(n.path, *_told(n).values()) for n in found.root.walk() if n.edits]
+    return store.local(spark, told, "path string, rows_added long, rows_removed long, cells_suppressed long, cells_rounded long, cells_changed long")
+
+
 # --- reduced precision -------------------------------------------------------------------------------------------------
 
 
