@@ -1,5 +1,6 @@
 """All changed files at once: as many jobs for many files as for few, and one answer whatever the number of changes."""
 
+import random
 import uuid
 
 import pytest
@@ -162,3 +163,49 @@ def test_containers_in_rounds(spark):
 
     votes = spark.createDataFrame([("l1", "r1", 5, 5), ("l2", "r1", 5, 5), ("l2", "r2", 4, 5)], "lp string, rp string, votes long, children long")
     assert {(r["left"], r["right"]) for r in pairing.best_containers(votes).collect()} == {("l1", "r1"), ("l2", "r2")}
+
+
+def test_policies_of_bad_keys(spark, tmp_path):
+    files = {f"{p}.csv": "id,v\n1,a\n1,b\n,c\n" for p in ("diagnostic", "error", "ignore")}
+    a, b = write(tmp_path / "a", files), write(tmp_path / "b", {k: v.replace("c", "d") for k, v in files.items()})
+    paths = [{"match": k, "row_identity": {"columns": ["id"], "on_null_key": k[:-4], "on_duplicate_key": k[:-4]}} for k in files]
+    found = api.diff(spark, a, b, {"dataset": {"paths": paths}})
+    told = {(d["location"], d["severity"], d["code"].rpartition(".")[2]) for d in found.diagnostics}
+    codes = ("null_key", "duplicate_key")
+    assert told == {("diagnostic.csv", "warning", c) for c in codes} | {("error.csv", "error", c) for c in codes}
+    assert all("cell-change" in found.find(k).tags for k in files)
+    wrong = api.load({"dataset": {"defaults": {"row_identity": {"columns": ["id"], "on_null_key": "shout"}}}})
+    assert [d["code"] for d in wrong.diagnostics] == ["tidemark.dataset_config.invalid_on_null_key"]
+
+
+def test_inserted_rows_of_large_tables(spark, tmp_path):
+    r = random.Random(2)
+    plain = [f"{i},v{i % 40}\n" for i in range(1500)]
+    alike = ["x,1\n" if i % 3 else f"k{i},2\n" for i in range(900)]
+    a = {"top.csv": plain, "alike.csv": alike, "changed.csv": plain, "swapped.csv": plain}
+    more = list(alike)
+    places = sorted(r.sample(range(len(alike)), 12))
+    for n, i in enumerate(places):
+        more.insert(i + n, r.choice(["x,1\n", "new,3\n"]))
+    b = {"top.csv": ["first,v\n", *plain], "alike.csv": more, "changed.csv": [*plain[:700], "700,other\n", *plain[701:], "more,v\n"], "swapped.csv": ["first,v\n", *plain[1:9], plain[0], *plain[9:]]}
+    files = lambda d: {k: "id,v\n" + "".join(v) for k, v in d.items()}
+    left, right = write(tmp_path / "a", files(a)), write(tmp_path / "b", files(b))
+    config = {"dataset": {"defaults": {"row_identity": {"columns": ["nothing"]}}}}  # no key is looked for
+    found = api.diff(spark, left, right, config)
+    top = found.find("top.csv").edits
+    assert [(e["verb"], e["params"]["index"]) for e in top if e["visible"]] == [("tabular.add_row", 0)]
+    added = set()
+    for e in found.find("alike.csv").edits:
+        if e["visible"]:
+            p = e["params"]
+            added |= {p["index"]} if e["verb"] == "tabular.add_row" else set(range(p["start"], p["start"] + len(p["rows"])))
+    wanted, at = set(), iter(alike)
+    row = next(at)
+    for i, x in enumerate(more):  # matched from the front
+        if x == row:
+            row = next(at, None)
+        else:
+            wanted.add(i)
+    assert added == wanted and len(added) == 12
+    for path in ("changed.csv", "swapped.csv"):  # a left row is missing, or in another place
+        assert "cell-change" in found.find(path).tags

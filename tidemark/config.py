@@ -14,6 +14,8 @@ PATH = {"match", "content_type", "rule", "shape", "dialect", "records_path", "ro
 DIALECT = {"delimiter", "quote", "escape", "bom", "newline"}
 SHAPE = {"has_header", "header_line", "skip_lines"}
 ROW_IDENTITY = {"columns", "by_position", "on_null_key", "on_duplicate_key"}
+#: What rows without a usable key are: a warning, an error, or nothing to be told.
+POLICIES = {"diagnostic": "warning", "error": "error", "ignore": None}
 
 Diagnostic = dict
 
@@ -34,6 +36,8 @@ class PathConfig:
     records_path: str | None = None
     key_columns: list[str] = field(default_factory=list)
     key_positions: list[int] = field(default_factory=list)
+    on_null_key: str = "diagnostic"
+    on_duplicate_key: str = "diagnostic"
     node_key: str | None = None
 
 
@@ -79,6 +83,11 @@ def _path_config(raw: dict, base: PathConfig, where: str, out: list[Diagnostic])
         bad("ambiguous_row_identity", "columns and by_position exclude each other")
     if any(not isinstance(i, int) or i < 1 for i in positions):
         bad("invalid_key_position", "positions count from 1")
+    policy = {name: identity.get(name, getattr(base, name)) for name in ("on_null_key", "on_duplicate_key")}
+    for name, value in policy.items():
+        if value not in POLICIES:
+            bad(f"invalid_{name}", f"{value!r} is none of {', '.join(POLICIES)}")
+            policy[name] = "diagnostic"
     records = raw.get("records_path")
     if records is not None and not re.match(r"^\$(\.[A-Za-z_][A-Za-z0-9_-]*)*$", records):
         bad("invalid_records_path", f"{records!r} is not of the form $.a.b")
@@ -93,6 +102,7 @@ def _path_config(raw: dict, base: PathConfig, where: str, out: list[Diagnostic])
         records_path=records or base.records_path,
         key_columns=columns or ([] if positions else base.key_columns),
         key_positions=positions or ([] if columns else base.key_positions),
+        **policy,
         node_key=(raw.get("node_identity") or {}).get("key_attribute", base.node_key),
     )
 

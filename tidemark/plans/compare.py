@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import Diagnostic, PathConfig, diagnostic
+from tidemark.config import POLICIES, Diagnostic, PathConfig, diagnostic
 from tidemark.functions.cells import decimal, is_blank, is_suppressed, kind_of, rounding_modulus, unmarked
 from tidemark.operators import infer, rows
 from tidemark.operators.compact import Edit, appended_rows, cost, edit, renamed_columns, reordered_columns, value_size
@@ -29,6 +29,8 @@ EDIT_LIMIT, EXAMPLES, CAPTURED = 5_000, 16, 16
 #: Row indexes of a table are below 2 ** INDEX_BITS, so (t, index) is one number.
 INDEX_BITS = 40
 SORTED = "sorted_row_content"
+#: Rows between two that can be told apart, up to which inserted rows are looked for.
+STRETCH = 100_000
 
 
 @dataclass
@@ -112,7 +114,9 @@ def _check_keys(sides: Sides, plans: list[Plan]) -> None:
     for p in declared:
         wrong = [code for code in ("null_key", "duplicate_key") if p.t in quality and quality[p.t][code]]
         for code in wrong:
-            p.note("warning", f"keyed_row_identity_degraded.{code}", f"{code.replace('_', ' ')}s in {p.keys}: rows are compared by place")
+            severity = POLICIES[getattr(p.config, f"on_{code}")]
+            if severity:
+                p.note(severity, f"keyed_row_identity_degraded.{code}", f"{code.replace('_', ' ')}s in {p.keys}: rows are compared by place")
         if wrong:
             p.edits.append(edit("tabular.row_identity_degraded", {}, ("identity-diagnostic", "row-identity-ambiguous", *(c.replace("_", "-") for c in wrong)), False))
             p.keys = []
@@ -255,6 +259,69 @@ def _inserted(sides: Sides, plans: list[Plan]) -> DataFrame | None:
     return found.filter(F.col(ROW) >= 0)
 
 
+def _inserted_large(sides: Sides, plans: list[Plan]) -> DataFrame | None:
+    """As _inserted, of tables of any size. Rows that are as frequent on both sides can only be matched each with its like, first with
+    first; these forced matches must rise on both sides. Between two of them what is left is matched from the front, a stretch at a time."""
+    large = [p for p in plans if p.mode == "positional" and p.common and p.left.rows < p.right.rows and p.right.rows > rows.LCS_ROWS]
+    if not large:
+        return None
+    sign = lambda s: keep(sides.of(large, s).select("t", ROW, F.sha2(F.to_json(F.struct("c")), 256).alias("sign")), "signs")
+    left, right = sign("l"), sign("r")
+    both = left.withColumn("l", F.lit(1)).withColumn("r", F.lit(0)).unionByName(right.withColumn("l", F.lit(0)).withColumn("r", F.lit(1)))
+    counts = keep(both.groupBy("t", "sign").agg(F.sum("l").alias("l"), F.sum("r").alias("r")), "counts")
+    lost = {r["t"] for r in counts.filter("l > r").select("t").distinct().collect()}
+    able = [p for p in large if p.t not in lost]
+    if not able:
+        return None
+    forced = counts.filter("l = r").select("t", "sign")
+
+    def ranked(df: DataFrame, by: list[str]) -> DataFrame:
+        """Adds rank: the place of a row within `by`."""
+        placed = keep(with_row_index(df, *by, ROW, name="_i"), "ranked")
+        return placed.join(placed.groupBy(*by).agg(F.min("_i").alias("_s")), by).withColumn("rank", F.col("_i") - F.col("_s")).drop("_i", "_s")
+
+    mine = lambda df: df.filter(F.col("t").isin([p.t for p in able]))
+    one, two = (ranked(mine(df).join(forced, ["t", "sign"]), ["t", "sign"]) for df in (left, right))
+    pairs = one.withColumnRenamed(ROW, "l_row").join(two.withColumnRenamed(ROW, "r_row"), ["t", "sign", "rank"]).select("t", F.col("l_row").alias(ROW), "r_row")
+    ordered = keep(with_row_index(pairs, "t", ROW, name="_i"), "matched")
+    after = ordered.select("t", (F.col("_i") - 1).alias("_i"), F.col("r_row").alias("next"))
+    crossed = {r["t"] for r in ordered.join(after, ["t", "_i"]).filter("next < r_row").select("t").distinct().collect()}
+    able = [p for p in able if p.t not in crossed]
+    if not able:
+        return None
+    # what isn't forced, with the number of forced matches before it
+    free = lambda df, side: ranked(mine(df).join(forced, ["t", "sign"], "left_anti"), ["t"]).select("t", (F.col(ROW) - F.col("rank")).alias("stretch"), ROW, "sign", F.lit(side).alias("side"))
+    rest = keep(free(left, "l").unionByName(free(right, "r")), "stretches")
+    sizes = rest.groupBy("t", "stretch").agg(F.count("*").alias("n"), F.count_if(F.col("side") == "l").alias("l"))
+    long = {r["t"] for r in sizes.filter((F.col("n") > STRETCH) & (F.col("l") > 0)).select("t").distinct().collect()}
+    for p in able:
+        if p.t in long:
+            p.note("warning", "row_alignment_limit", f"more than {STRETCH:,} rows between rows that can be told apart: rows are compared by place")
+    able = [p for p in able if p.t not in long]
+    if not able:
+        return None
+    alone = mine(rest.join(sizes.filter("l = 0"), ["t", "stretch"], "left_semi")).select("t", ROW)
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:  # at most STRETCH rows
+        group = group.sort_values(ROW)
+        wanted = iter(group[group["side"] == "l"]["sign"].tolist())
+        at, over = next(wanted, None), []
+        for row, own in zip(group[group["side"] == "r"][ROW], group[group["side"] == "r"]["sign"], strict=True):
+            if own == at:
+                at = next(wanted, None)
+            else:
+                over.append(int(row))
+        return pd.DataFrame({"t": int(group["t"].iloc[0]), ROW: over if at is None else [*over, -1]}, dtype="int64")
+
+    mixed = mine(rest.join(sizes.filter("l > 0").select("t", "stretch"), ["t", "stretch"])).groupBy("t", "stretch").applyInPandas(walk, f"t int, {ROW} long")
+    found = keep(alone.unionByName(mixed), "inserted")
+    failed = {r["t"] for r in found.filter(F.col(ROW) < 0).select("t").distinct().collect()}
+    for p in able:
+        if p.t not in failed:
+            p.mode = "inserted"
+    return found.filter((F.col(ROW) >= 0) & ~F.col("t").isin(sorted(failed)))
+
+
 # --- what changed -------------------------------------------------------------------------------------------------------------
 
 
@@ -433,6 +500,8 @@ def compare(found: DataFrame, plans: list[Plan], sentinels: tuple[str, ...]) ->
     _check_keys(sides, plans)
     ordered = _align_rows(sides, plans)
     inserted = _inserted(sides, plans)
+    if (more := _inserted_large(sides, plans)) is not None:
+        inserted = more if inserted is None else inserted.unionByName(more)
     alike = [p for p in plans if p.mode != "uncertain"]
     for p in plans:
         if p.left.meta != p.right.meta:
