@@ -286,6 +286,30 @@ def test_every_tag_of_a_line_counts():
     assert licenses.scan(b"SPDX-License-Identifier: " + b"MIT AND " * 100 + b"GPL-3.0")[5:] == ("gpl,mit", 0.4)
 
 
+def test_expressions_go_on_over_lines_while_a_parenthesis_is_open():
+    labels = lambda text: licenses.scan(text)[5:]
+    assert labels(b"# SPDX-License-Identifier: (MIT OR\n#   AGPL-3.0-only)\nimport os") == ("agpl,mit", 1.0)
+    assert labels(b" * SPDX-License-Identifier: (GPL-2.0-only WITH\r\n *  Classpath-exception-2.0\r\n * ) AND Apache-2.0\r\n") == ("apache-2,gpl", 0.5)
+    assert labels(b"// SPDX-License-Identifier: MIT AND\n// GPL-3.0") == ("mit", 1.0)
+    assert labels(b"SPDX-License-Identifier: (MIT OR\nsome (prose) goes on\nBSD") == ("mit", 1.0)
+    assert labels(b"SPDX-License-Identifier: (" * 3 + b"ISC") == ("isc", 1.0)
+
+
+def test_words_that_are_no_identifiers_give_no_label():
+    labels = lambda text: licenses.scan(b"SPDX-License-Identifier: " + text)[5]
+    assert labels(b"hello world") == "" and labels(b"") == "" and labels(b"\n") == ""
+    assert labels(b"NOASSERTION") == "noassertion" and labels(b"NONE") == "none"
+    assert labels(b"LicenseRef-Own-1.0 AND MIT") == "licenseref-own-1.0,mit"
+    assert labels(b"DocumentRef-x:LicenseRef-y") == "documentref-x:licenseref-y"
+    assert labels(b"MIT WITH nothing") == "mit" and labels(b"MIT OR hello") == "mit"
+    for name in ("0BSD", "Apache-2.0", "BSD-3-Clause-Clear", "CC-BY-SA-4.0", "EUPL-1.2", "GPL-2.0+", "LGPL-2.1-or-later", "MPL-2.0", "OFL-1.1", "Unlicense", "Zlib", "GFDL-1.3-no-invariants-only"):
+        assert labels(name.encode()) == licenses.label_of(name.lower()), name
+
+
+def test_long_text_with_an_open_parenthesis():
+    assert licenses.scan(b"SPDX-License-Identifier: (MIT\n" + b"# a line of text\n" * 200_000)[5] == "mit"
+
+
 def test_licenses_odd(odd, empty):
     found = licenses.scan_licenses(odd).collect()
     assert len(found) == odd.count() and all(r["score"] == 0 and r["labels"] == "" for r in found)

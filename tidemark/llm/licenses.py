@@ -36,7 +36,7 @@ TAG = "spdx license identifier"
 #: How freely a label lets text be used, from 0 to 1; other labels have UNKNOWN.
 FREEDOM = {
     "mit": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "public-domain": 1.0, "apache-2": 0.9, "cc-by": 0.9, "mpl": 0.6,
-    "cc-by-sa": 0.5, "lgpl": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "all-rights-reserved": 0.0,
+    "cc-by-sa": 0.5, "lgpl": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "all-rights-reserved": 0.0, "none": 0.0,
 }
 UNKNOWN = 0.5
 #: What an exception after "with" adds to its licence.
@@ -47,10 +47,26 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 #: Words are runs outside [\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z became a-z; everything else becomes a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _TAGGED = re.compile(rb"spdx-license-identifier\s*:?[ \t]*")
-_LINE_END = re.compile(rb"[\r\n]")
+_LINE = re.compile(rb"[^\r\n]*")
+#: What a comment may begin a line with.
+_COMMENT = re.compile(rb"[ \t\r\n]*(?:#+|//+|/?\*+|--+|;+|%+|<!--|rem\b|dnl\b)?[ \t]*")
 _TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+\-:]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
+# Stems of identifiers of the public SPDX licence list (spdx.org/licenses) that are in common use, lower case. A version
+# or clause may follow, as in gpl-3.0-or-later or bsd-3-clause.
+STEMS = """
+0bsd aal afl agpl aladdin apache apsl artistic beerware blueoak bsd bsl bzip2 cal cc cc0 cc-by cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd
+cc-by-sa cc-pddc cddl cdla-permissive cdla-sharing cecill cecill-b cecill-c cern-ohl-p cern-ohl-s cern-ohl-w cpal cpl curl dl-de-by
+ecl efl elastic entessa epl etalab eupl fair fsfap ftl gfdl gpl hpnd icu ijg imagemagick intel ipa ipl isc json lgpl lgpllr libpng
+libtiff lpl lppl mit mit-0 mit-modern-variant mpl ms-pl ms-rl mulanpsl multics ncsa netcdf ngpl nokia nosl npl ntp o-uda odbl odc-by
+ofl ogc ogl-uk oldap openssl opubl osl pddl php pixar postgresql psf python qhull qpl rpl rpsl ruby sax-pd sendmail sgi-b sissl sleepycat
+spl sspl tcl tcp-wrappers tmate ucl unicode unicode-dfs unlicense upl vim vsl w3c watcom wtfpl x11 xerox xnet zend zlib zpl
+""".split()
+_VERSION = r"(?:-\d+(?:\.\d+)*[a-z]?|-clause|-only|-or-later|-clear|-patent|-attribution|-invariants|-no-invariants|-no-copyleft-exception|-[a-z]{2}|\+)*"
+_IDENTIFIER = re.compile(f"(?:{'|'.join(map(re.escape, sorted(STEMS, key=len, reverse=True)))}){_VERSION}|(?:documentref-[a-z0-9.\\-]+:)?licenseref-[a-z0-9.\\-]+|none|noassertion")
+_EXCEPTION = re.compile(r"[a-z0-9.+\-]*(?:exception|additional-terms|linking)[a-z0-9.+\-]*|(?:documentref-[a-z0-9.\-]+:)?additionref-[a-z0-9.\-]+|llvm-exception|qt-gpl-exception.*")
+
 
 def label_of(identifier: str) -> str:
     """The family label of an identifier: gpl-3.0-or-later gives gpl, apache-2.0 gives apache-2."""
@@ -64,7 +80,8 @@ def evaluate(expression: str) -> tuple[float, list[str]] | None:
     """Score and labels of a licence expression; None if it starts with none.
 
     `or` lets the reader choose (the freer side), `and` binds both (the stricter side), `with` adds an exception to a licence.
-    Reading stops where the expression stops being well formed, so text behind it does no harm.
+    Reading stops where the expression stops being well formed, or at a word that is neither an identifier of the list, a reference
+    (licenseref-...), none nor noassertion (behind `with`: an exception), so text behind it does no harm.
     """
     output: list[tuple[float, list[str]]] = []
     pending: list[str] = []
@@ -92,6 +109,8 @@ def evaluate(expression: str) -> tuple[float, list[str]] | None:
             depth += 1
         elif operand and token not in _RANK and token != ")":
             token = token.rstrip(".:-")
+            if not (_EXCEPTION if pending and pending[-1] == "with" else _IDENTIFIER).fullmatch(token):
+                break
             output.append((FREEDOM.get(label_of(token), UNKNOWN), [label_of(token)]))
             operand = False
         elif not operand and token == ")" and depth:
@@ -118,6 +137,18 @@ def evaluate(expression: str) -> tuple[float, list[str]] | None:
     return output[-1] if output else None
 
 
+def expression_at(text: bytes, start: int, end: int) -> str:
+    """The expression behind a tag: its line and, while a parenthesis is open, the next ones without their comment marks."""
+    m = _LINE.match(text, start, end)
+    parts = [m.group()]
+    depth = parts[0].count(b"(") - parts[0].count(b")")
+    while depth > 0 and m.end() < end:
+        m = _LINE.match(text, _COMMENT.match(text, m.end(), end).end(), end)
+        parts.append(m.group())
+        depth += parts[-1].count(b"(") - parts[-1].count(b")")
+    return b" ".join(parts).decode("utf-8", "replace")
+
+
 def _automaton():
     state = worker_state()
     if "licenses" not in state:
@@ -151,9 +182,8 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
     if tagged:
         lowered = text.lower()
         tags = list(_TAGGED.finditer(lowered))
-        for m, following in zip(tags, [*[x.start() for x in tags[1:]], len(text)], strict=True):  # up to the line's end or the next tag
-            end = _LINE_END.search(lowered, m.end(), following)
-            if found := evaluate(lowered[m.end() : end.start() if end else following].decode("utf-8", "replace")):
+        for m, following in zip(tags, [*[x.start() for x in tags[1:]], len(text)], strict=True):
+            if found := evaluate(expression_at(lowered, m.end(), following)):
                 scores.append(found[0])
                 labels |= set(found[1])
     first = joined.count(" ", 0, min(places)) if places else None
@@ -165,7 +195,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """One row per document: word count, places of the base phrases, labels and a score.
 
     score: the least freedom among all that was found, 0 to 1; 0 for a document without any licence. A null or empty text has
-    0 words, no labels and score 0. Repeated rows give repeated results; columns besides doc_id and text are ignored.
+    0 words, no labels and score 0; an empty table gives an empty one. Texts are read whole, in time linear in their length. Phrases
+    that overlap all count. Repeated rows give repeated results; columns besides doc_id and text are ignored.
     """
     kind = arrow_schema(SCHEMA)
 
