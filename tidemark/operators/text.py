@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.sequences import matches
+
 EXAMPLES = 8
 BOM = "\ufeff"
 
@@ -63,15 +64,16 @@ def change_kind(a: Column, b: Column) -> Column:
 
 
 def lines_changed(a: str, b: str) -> tuple[int, int, list[str]]:
-    """(added, removed, first examples) of a minimal-context line comparison."""
+    """(added, removed, first examples): the fewest lines that turn one text into the other."""
     x, y = a.splitlines(), b.splitlines()
-    added, removed, examples = 0, 0, []
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-        if kind != "equal":
-            removed += j - i
-            added += m - k
-            examples += [f"-{line}" for line in x[i:j]] + [f"+{line}" for line in y[k:m]]
-    return added, removed, examples[:EXAMPLES]
+    i = j = common = 0
+    examples: list[str] = []
+    for p, q in (*matches(x, y), (len(x), len(y))):
+        if len(examples) < EXAMPLES:
+            examples += [f"-{line}" for line in x[i : min(p, i + EXAMPLES)]] + [f"+{line}" for line in y[j : min(q, j + EXAMPLES)]]
+        i, j, common = p + 1, q + 1, common + 1
+    common -= 1  # the ends
+    return len(y) - common, len(x) - common, examples[:EXAMPLES]
 
 
 def line_changes(pairs: DataFrame, by: list[str]) -> DataFrame:
