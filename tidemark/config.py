@@ -47,7 +47,8 @@ class Config:
     defaults: PathConfig = field(default_factory=PathConfig)
     pairs: list[tuple[str, str]] = field(default_factory=list)
     rules: list[dict] = field(default_factory=list)
-    expand_renamed: bool = False
+    #: Look inside archives that were renamed but not changed, so that what was copied out of them is found.
+    expand_renamed: bool = True
     large_table_bytes: int = 32 << 20
     entry_bytes: int = 4 << 30
     total_bytes: int = 8 << 30
@@ -141,7 +142,7 @@ def load(raw: dict | str | None) -> Config:
         else:
             out.rules.append(entry)
     more = data.get("correspondence") or {}
-    out.expand_renamed = more.get("expand_renamed", out.expand_renamed)
+    out.expand_renamed = more.get("expand_renamed_unchanged_collections", out.expand_renamed)
     out.large_table_bytes = more.get("large_table_bytes", out.large_table_bytes)
     out.entry_bytes, out.total_bytes = more.get("entry_bytes", out.entry_bytes), more.get("total_bytes", out.total_bytes)
     out.sentinels = tuple((data.get("reduced_precision") or {}).get("suppression_sentinels", out.sentinels))

@@ -30,6 +30,8 @@ FUZZY_BYTES = 8 << 20
 WHOLE_BYTES = 1 << 30
 DIAGNOSTICS = 16
 LINKS = "left string, right string, evidence string"
+#: Links that settle both ends: what is below these has no part in anything else. Renames are among them if they aren't to be expanded.
+SETTLED = ("same content", "copy")
 
 
 def plain(value):
@@ -121,6 +123,24 @@ def _add(links: DataFrame, new: DataFrame) -> DataFrame:
     return keep(links.unionByName(_fresh(links, new)))
 
 
+def settling(config: Config) -> tuple[str, ...]:
+    return SETTLED if config.expand_renamed else (*SETTLED, "moved")
+
+
+def visible(items: DataFrame, links: DataFrame, side: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Items that are not below an archive which a link has settled."""
+    parts = F.split("path", "/>")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/>"))
+    settled = links.filter(F.col("evidence").isin(*kinds)).select(F.col(side).alias("above")).distinct()
+    below = items.filter(F.contains("path", F.lit("/>"))).select("path", F.explode(above).alias("above")).join(settled, "above", "left_semi")
+    return items.join(below.select("path").distinct(), "path", "left_anti")
+
+
+def below_settled(paths: set[str], settled: set[str]) -> set[str]:
+    """The same for paths on the driver."""
+    return {p for p in paths if any(p[:i] in settled for i in range(len(p)) if p.startswith("/>", i))}
+
+
 @dataclass
 class Open:
     """How many items have no link yet."""
@@ -155,12 +175,22 @@ def pair_items(left: DataFrame, right: DataFrame, config: Config) -> tuple[DataF
     if config.pairs:
         given = local(spark, config.pairs, "left string, right string").withColumn("evidence", F.lit("declared"))
         links = _add(links, given.join(a.select(F.col("path").alias("left")), "left", "left_semi").join(b.select(F.col("path").alias("right")), "right", "left_semi"))
-    files_a, files_b = a.filter("NOT is_dir"), b.filter("NOT is_dir")
+    files_of = lambda df: df.filter("NOT is_dir")
     for rule in config.rules:
-        links = _add(links, pairing.declared(files_a, files_b, rule["left"], rule["right"], rule["key"], links))
-    links = _add(links, pairing.same_content(files_a, files_b))
-    outer = lambda df: df.filter(~F.contains("path", F.lit("/>")))
-    links = _add(links, pairing.moved(outer(files_a), outer(files_b), links))
+        links = _add(links, pairing.declared(files_of(a), files_of(b), rule["left"], rule["right"], rule["key"], links))
+    outer = lambda df: files_of(df).filter(~F.contains("path", F.lit("/>")))
+    nested = bool(a.select("path").unionByName(b.select("path")).filter(F.contains("path", F.lit("/>"))).take(1))
+
+    def shown(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if not nested:
+            return a, b
+        return keep(visible(a, links, "left", settling(config))), keep(visible(b, links, "right", settling(config)))
+
+    links = _add(links, pairing.same_content(files_of(a), files_of(b)))
+    a, b = shown(links)
+    links = _add(links, pairing.moved(outer(a), outer(b), links))
+    if not config.expand_renamed:
+        a, b = shown(links)
 
     def names(links: DataFrame) -> DataFrame:
         while True:
@@ -170,14 +200,23 @@ def pair_items(left: DataFrame, right: DataFrame, config: Config) -> tuple[DataF
             links = keep(links.unionByName(new))
 
     def containers(links: DataFrame) -> DataFrame:
-        return names(_add(links, pairing.best_containers(pairing.container_votes(a, b, links), links)))
+        """Paired containers vote for their own parents, so this goes on for as many rounds as folders lie in each other."""
+        while True:
+            new = keep(_fresh(links, pairing.best_containers(pairing.container_votes(a, b, links), links)))
+            if not new.take(1):
+                return links
+            links = names(keep(links.unionByName(new)))
 
     links = names(links)
     rest = _open(a, b, links)
     if rest.right_files:
+        if nested:  # whole archives before what is in them
+            links = _add(links, pairing.copied(files_of(a), outer(b).filter("container"), links))
+            a, b = shown(links)
         if rest.left_files:
-            links = _add(links, pairing.moved(files_a, files_b, links))
-        links = _add(links, pairing.copied(files_a, files_b, links))
+            links = _add(links, pairing.moved(files_of(a), files_of(b), links))
+        links = _add(links, pairing.copied(files_of(a), files_of(b), links))
+        a, b = shown(links)
     if rest.folders:
         links = containers(links)
     for rule in plugins.PAIR_RULES:
@@ -186,6 +225,8 @@ def pair_items(left: DataFrame, right: DataFrame, config: Config) -> tuple[DataF
         rest = _open(a, b, links)
     if not rest.files:
         return links, [], []
+    if nested:
+        left, right = left.join(a.select("path"), "path", "left_semi"), right.join(b.select("path"), "path", "left_semi")
     claims, diagnostics = partitions(left, right, links, config)
     claimed = local(spark, [(p,) for c in claims for p in [c["whole"], *c["parts"]]], "path string")
     free = lambda df: df.join(claimed, "path", "left_anti")
@@ -436,7 +477,7 @@ def diff(spark: SparkSession, left: str, right: str, config: Config | dict | str
 
 
 def _diff(spark: SparkSession, left: str, right: str, config: Config) -> Changeset:
-    a, b = keep(files.scan(spark, left, config)), keep(files.scan(spark, right, config))
+    a, b = (keep(files.scan(spark, root, config, closed)) for root, closed in zip((left, right), files.closed_archives(spark, left, right, config), strict=True))
     only = [d.agg(F.count("*").alias("n"), F.count_if(F.col("is_dir") | F.contains("path", F.lit("/"))).alias("deep"), F.min("path").alias("path")).first() for d in (a, b)]
     single = all(x["n"] == 1 and not x["deep"] for x in only)
     if single and not config.pairs:
@@ -487,7 +528,10 @@ def _diff(spark: SparkSession, left: str, right: str, config: Config) -> Changes
             nodes.append(node)
     nodes = fused_layers(nodes, set(old), set(new))
     trace += [{"phase": "write", "path": n.path, "edits": len(n.edits), "cost": cost(n.edits)} for n in nodes if n.edits]
+    settled = [x for x in links if x["evidence"] in settling(config)]
     gone, came = set(old) - {x["left"] for x in links}, set(new) - {x["right"] for x in links}
+    gone -= below_settled(gone, {x["left"] for x in settled})
+    came -= below_settled(came, {x["right"] for x in settled})
     claimed = {p for c in claims for p in [c["whole"], *c["parts"]]}
     nodes += [Node(p, "remove", item_type="directory" if old[p]["is_dir"] else "file") for p in sorted(gone - claimed)]
     nodes += [Node(p, "add", item_type="directory" if new[p]["is_dir"] else "file") for p in sorted(came - claimed)]
