@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths
-from tidemark.operators import binary, documents, pairing, similarity, text
+from tidemark.operators import binary, documents, pairing, schema, similarity, text
 from tidemark.streaming.sequence import follow, key_changes
 
 
@@ -82,3 +82,22 @@ def test_sequence(spark, tmp_path):
     query.stop()
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert (row["rows_added"], row["rows_removed"], row["cells_changed"]) == (1, 1, 1)
+
+
+def test_equal_values(spark):
+    rows = [(1, '{"a": 1, "b": [1]}', '{"b":[1],"a":1}'), (2, "1", "1.0"), (3, "x", "x"), (4, None, "1"), (5, "", ""), (6, '"é"', '"\\u00e9"')]
+    found = documents.equal_values(spark.createDataFrame(rows, "i int, l string, r string"), ["i"])
+    assert {r["i"]: r["equal_value"] for r in found.collect()} == {1: True, 2: False, 3: None, 4: None, 5: None, 6: True}
+
+
+def test_string_counts(spark):
+    rows = [(1, b"abcd\0efgh", "efgh\u0001ijkl".encode("utf-16-le")), (2, None, b"long run"), (3, b"", None)]
+    found = binary.string_counts(spark.createDataFrame(rows, "i int, l binary, r binary"), ["i"])
+    assert {r["i"]: (r["added"], r["removed"]) for r in found.collect()} == {1: (1, 1), 2: (1, 0), 3: (0, 0)}
+
+
+def test_header_changes(spark):
+    pairs = [(["a", "b", "c"], ["c", "b", "d"]), ([], ["x"]), (["x"], []), ([], [])]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, l array<string>, r array<string>")
+    found = df.select("i", schema.header_changes(F.col("l"), F.col("r")).alias("c")).collect()
+    assert {r["i"]: [tuple(x) for x in r["c"]] for r in found} == {i: schema.column_changes(*p) for i, p in enumerate(pairs)}

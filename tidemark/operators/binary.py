@@ -96,3 +96,16 @@ def byte_changes(pairs: DataFrame, by: list[str]) -> DataFrame:
             yield out
 
     return pairs.select(*by, "l", "r").mapInPandas(run, schema)
+
+
+def string_counts(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """pairs: by, l, r (binary). by, added, removed: how many printable runs only one side has. A null side is empty."""
+    types = dict(pairs.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in by) + ", added long, removed long"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [(strings(bytes(a or b"")), strings(bytes(b or b""))) for a, b in zip(part["l"], part["r"], strict=True)]
+            yield part[by].assign(added=[len(y - x) for x, y in found], removed=[len(x - y) for x, y in found])
+
+    return pairs.select(*by, "l", "r").mapInPandas(run, schema)

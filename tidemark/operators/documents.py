@@ -107,6 +107,25 @@ def leaf_changes(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return pairs.filter(~F.col("from").eqNullSafe(F.col("to"))).select(*by, "path", "from", "to")
 
 
+def equal_values(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """pairs: by, l, r (JSON texts). by, equal_value: whether both are the same value, whatever the order of keys; null if one is no JSON."""
+    types = dict(pairs.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in by) + ", equal_value boolean"
+
+    def same(a: str | None, b: str | None) -> bool | None:
+        try:
+            return canonical(parse(a)) == canonical(parse(b))
+        except (TypeError, ValueError):
+            return None
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [same(a, b) for a, b in zip(part["l"], part["r"], strict=True)]
+            yield part[by].assign(equal_value=pd.array(found, dtype="boolean"))
+
+    return pairs.select(*by, "l", "r").mapInPandas(run, schema)
+
+
 def flatten(value: dict, prefix: str = "") -> dict[str, str]:
     """Dotted keys of nested objects; other values as canonical JSON, texts as they are."""
     out: dict[str, str] = {}

@@ -1,7 +1,17 @@
-"""Changes of a table's columns. Headers are few, so this is plain Python."""
+"""Changes of tables' columns: of one table's header in plain Python, of many tables' headers as an expression."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def header_changes(left: Column, right: Column) -> Column:
+    """Array of (name, kind), as column_changes gives, of two columns of distinct names (array<string>)."""
+    a, b = lambda x: F.array_position(left, x), lambda x: F.array_position(right, x)
+    kind = lambda x: F.when(b(x) == 0, "removed").when(a(x) == 0, "added").when(a(x) == b(x), "same").otherwise("moved")
+    return F.transform(F.array_union(left, right), lambda x: F.struct(x.alias("name"), kind(x).alias("kind")))
+
 
 def column_changes(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     """(name, kind): added, removed, moved (its place differs) or same."""
