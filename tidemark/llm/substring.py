@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import bisect
 import functools
-import gc
 import struct
 from collections.abc import Iterator
 
@@ -31,6 +30,8 @@ SEED_WORDS = 4
 LONG_WORDS, LONG_EVERY = 43, 8
 #: Bytes of text whose seeds make a bucket, seeds that a task packs at a time, and tasks at most.
 BUCKET_BYTES, HELD_SEEDS, BUCKET_TASKS = 6 << 20, 500_000, 4096
+#: Bytes of text beyond which seeds are dealt out in two passes, by half of the hashes each: half of them is on its way at a time.
+PASS_BYTES = 1 << 30
 #: Bytes of text whose seeds are made at a time.
 SEED_BYTES = 1 << 18
 #: A passage: so many words at least, of which so many agree with the earlier document's.
@@ -101,8 +102,9 @@ def told_apart(rolled: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
-def seeds(docs: DataFrame, bits: int) -> DataFrame:
+def seeds(docs: DataFrame, bits: int, half: int | None = None) -> DataFrame:
     """(bucket, seeds, places, docs) of every text: packed seeds, 2 ** bits buckets by their top bits. A doc_id is base plus the sum of docs' numbers so far.
+    half: only the seeds whose first bit it is.
 
     places: twice the place, and 1 for a long seed. seeds: 5 bytes of hash below the bucket's bits. Numbers are stored byte by byte (all lowest bytes first), so that they compress.
     """
@@ -139,10 +141,14 @@ def seeds(docs: DataFrame, bits: int) -> DataFrame:
             where = np.flatnonzero(doc[: len(rolled)] == doc[len(doc) - len(rolled) :])
             if not len(where):
                 continue
-            held.append((rolled[where], part.column(0).to_numpy(zero_copy_only=False)[doc[where]], 2 * (where - at[doc[where]])))
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            here = lambda x: np.ones(len(x), bool) if half is None else x >> np.uint64(63) == half
+            where = where[here(rolled[where])]
+            held.append((rolled[where], ids[doc[where]], 2 * (where - at[doc[where]])))
             rolled = told_apart(windows(hashes, LONG_WORDS), doc)
             longer = long_places(rolled, doc)
-            held.append((rolled[longer], part.column(0).to_numpy(zero_copy_only=False)[doc[longer]], 2 * (longer - at[doc[longer]]) + 1))
+            longer = longer[here(rolled[longer])]
+            held.append((rolled[longer], ids[doc[longer]], 2 * (longer - at[doc[longer]]) + 1))
             n += len(where) + len(longer)
             if n > HELD_SEEDS:
                 yield packed()
@@ -319,7 +325,7 @@ def matches_of(seed: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[list
 
 def matches(docs: DataFrame) -> DataFrame:
     """Rows of PACKED by doc_id: seeds that an earlier document has, with their first occurrence (NEW), and all that occur more than twice (RUNS).
-    `.tidemark_buckets` of the result is the number of buckets."""
+    `.tidemark_buckets` of the result is the number of buckets, `.tidemark_paths` the folders."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, size / BUCKET_BYTES))), 4, 20))
     buckets = int(max(16, min(64, size // FEW_BYTES), size // ROWS_BYTES))
@@ -334,7 +340,7 @@ def matches(docs: DataFrame) -> DataFrame:
             arrays.clear()
             give_back()
             yield from out[0].add(columns)
-            key = mix64(seed + (np.uint64(bucket) << np.uint64(40))).view(np.int64)
+            key = (seed + (np.uint64(bucket) << np.uint64(40))).view(np.int64)
             yield from out[1].add([key, ids, pos, pos, np.ones(len(pos), np.int64)])
 
         held, bucket = [], 0
@@ -350,9 +356,12 @@ def matches(docs: DataFrame) -> DataFrame:
             yield from x.rest()
         give_back()
 
-    by_hash = seeds(docs, bits).repartition(min(1 << bits, BUCKET_TASKS), "bucket").sortWithinPartitions("bucket")
-    out = stored(by_hash.mapInArrow(run, PACKED), "matches")
-    out.tidemark_buckets = buckets
+    tables = []
+    for half in (None,) if size <= PASS_BYTES else (0, 1):
+        by_hash = seeds(docs, bits, half).repartition(min(1 << bits if half is None else 1 << bits - 1, BUCKET_TASKS), "bucket").sortWithinPartitions("bucket")
+        tables.append(stored(by_hash.mapInArrow(run, PACKED), "matches"))
+    out = functools.reduce(DataFrame.unionByName, tables)
+    out.tidemark_buckets, out.tidemark_paths = buckets, [t.tidemark_path for t in tables]
     return out
 
 
@@ -494,11 +503,10 @@ def rest_matches(found: DataFrame, passages: DataFrame, few: int) -> list[DataFr
     or, if more than `few` places have them, joined to 16, 32 and 50 words. What has those is a passage, so the first one is enough."""
     buckets = found.tidemark_buckets
     tables = [stored(still_open(found, passages, buckets), "open")]
-    drop_table(found.sparkSession, found.tidemark_path)
-    clean(found)
+    for path in found.tidemark_paths:
+        drop_table(found.sparkSession, path)
     tables.append(stored(run_matches(tables[0].filter(F.col("kind") == RUNS), buckets, few), "rest"))
     for words, ahead in LINKS:
-        clean(found)
         runs = tables[-1].filter(F.col("kind") == RUNS)
         if runs.isEmpty():
             break
@@ -829,12 +837,6 @@ def region_words(chained: DataFrame, docs: DataFrame) -> DataFrame:
     return groups.join(texts, "doc_id").select("wanted", "text").mapInArrow(run, schema)
 
 
-def clean(df: DataFrame) -> None:
-    """Has Spark delete the files of shuffles that nothing refers to any more; it does so when the driver's JVM collects garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def chain_passages(chained: DataFrame, words: DataFrame) -> DataFrame:
     """Rows of SCHEMA: the passages of aligned chains; at_end: whether one is known to reach the end of its document."""
     own = words.filter("role = 0").select("chain", F.col("words").alias("own"), F.col("counts").alias("own_counts"))
@@ -872,19 +874,15 @@ def shared_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     found = matches(docs)
-    clean(docs)
     chained = chains(found)
-    clean(docs)
     words = stored(region_words(chained, docs), "words")
     first = stored(chain_passages(chained, words).distinct(), "passages")
     for table in (chained, words):
         drop_table(docs.sparkSession, table.tidemark_path)
-    clean(docs)
     rest = rest_matches(found, first, few)
     chained = chains(functools.reduce(DataFrame.unionByName, rest), lone_seeds=True)
     for table in rest:
         drop_table(docs.sparkSession, table.tidemark_path)
-    clean(docs)
     words = stored(region_words(chained, docs), "words")
     return first.unionByName(chain_passages(chained, words)).drop("at_end").distinct()
 
