@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tidemark import api
+from tidemark.plans import compare
 from tidemark.sources import large
 from tidemark.sources.delimited import Dialect
 from test_engine import write
@@ -92,3 +93,47 @@ def test_a_record_over_many_parts(spark, tmp_path, monkeypatch):
     assert all(len(p) > 5 for p in parts[0].values()) and len(parts[0]) == 2
     assert [tuple(r) for r in cells] == [(2, "t", "y", "z")]
     assert [e["params"] for e in found.edits] == [{"row": 2, "column": "t", "from": "y", "to": "z"}]
+
+
+def test_plain_lines_give_what_small_files_give(spark, tmp_path):
+    """Lines that are only split at their delimiters, among those that are not."""
+
+    def body(changed):
+        row = lambda i: f"{i},a{i % 7},{i * 3 + (i in changed)},{'' if i % 5 else 'x'}"
+        lines = [row(i) for i in range(400)]
+        return {
+            "plain.csv": "id,a,n,e\n" + "\n".join(lines),
+            "crlf.csv": "﻿id,a,n,e\r\n" + "\r\n".join(lines) + "\r\n",
+            "mixed.csv": "id,a,n,e\n" + "\n".join([*lines[:100], "", "500,\rlone,9,", "  ", *lines[100:200], '501,"q, ""r""\ns",1,', *lines[200:], "502,,,　", "﻿503,b,1,2"]) + "\n",
+            "latin.csv": ("id,a,n,e\n" + "\n".join(lines)).encode() + b"\n600,\xe9\xff,1,\n",
+            "pipes.csv": "id|a|n\n" + "\n".join(r.rpartition(",")[0].replace(",", "|") for r in lines),
+            "stacked.csv": "a,b\n" + "".join(f"{i},{i in changed}\n" for i in range(30)) + "c,d,e\n" + "".join(f"{i},x,{i}\n" for i in range(40)),
+        }
+
+    a, b = write(tmp_path / "a", body(())), write(tmp_path / "b", body({3, 17, 29}))
+    config = {"paths": [{"match": "pipes.csv", "row_identity": {"columns": ["id"]}}]}
+    small, big = (api.diff(spark, a, b, {"dataset": config | more}) for more in ({}, {"correspondence": {"large_table_bytes": 10}}))
+    assert told(big) == told(small)
+    assert {p for p, (action, *_) in told(big).items() if action == "modify"} >= {"plain.csv", "crlf.csv", "mixed.csv", "latin.csv", "pipes.csv", "stacked.csv"}
+
+
+def test_files_without_quotes_are_read_once_by_tasks(spark, tmp_path, monkeypatch):
+    seen, of = [], large._changes
+    monkeypatch.setattr(large, "_changes", lambda *a: seen.append(sorted(f.path for f in a[1].values())) or of(*a))
+    text = "id,t\n" + "".join(f"{i},x\n" for i in range(50))
+    a, b = (write(tmp_path / s, {"plain.csv": text + end, "quoted.csv": text + f'7,"{end}"'}) for s, end in (("a", "1,y\n"), ("b", "1,z\n")))
+    found = api.diff(spark, a, b, {"dataset": {"correspondence": {"large_table_bytes": 10}}})
+    assert seen == [["quoted.csv", "quoted.csv"]]
+    assert [e["params"] for e in found.find("plain.csv").edits] == [{"row": 50, "column": "t", "from": "y", "to": "z"}]
+
+
+def test_rows_at_another_place_are_not_kept(spark, tmp_path, monkeypatch):
+    kept, of = [], compare._changes
+    monkeypatch.setattr(compare, "_changes", lambda *a: kept.append(of(*a)) or kept[-1])
+    rows = [f"{i},v{i}\n" for i in range(300)]
+    a = write(tmp_path / "a", {"t.csv": "id,v\n" + "".join(rows), "sorted.csv": "id,v\n" + "".join(rows)})
+    b = write(tmp_path / "b", {"t.csv": "id,v\n" + "".join(rows[1:]), "sorted.csv": "id,v\n" + "".join(rows[::-1])})
+    found = api.diff(spark, a, b, {"dataset": {"defaults": {"row_identity": {"columns": ["id"]}}}})
+    assert kept[0].count() == 1
+    assert [e["verb"] for e in found.find("t.csv").edits] == ["tabular.remove_row"]
+    assert [e["verb"] for e in found.find("sorted.csv").edits] == ["tabular.reorder_rows"]

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -77,6 +79,31 @@ def _at(cells: Column, positions: str) -> Column:
     return F.transform(positions, lambda i: F.get(cells, i))
 
 
+def _keys(cells: Column, positions: str, plans: list[Plan]) -> Column:
+    """The cells of a key. Where all tables have keys of as many columns that takes no loop over them."""
+    widths = {len(p.keys) for p in plans if p.keys}
+    return F.array(*[F.get(cells, F.get(positions, F.lit(i))) for i in range(*widths)]) if len(widths) == 1 else _at(cells, positions)
+
+
+def _any_blank(key: Column, plans: list[Plan]) -> Column:
+    """Whether a cell of the key is blank; one whose first character is seen isn't."""
+    blank = lambda x: F.when(F.ascii(x).between(33, 126), False).otherwise(is_blank(x))
+    widths = {len(p.keys) for p in plans if p.keys}
+    return reduce(or_, (blank(F.get(key, F.lit(i))) for i in range(*widths))) if len(widths) == 1 else F.exists(key, blank)
+
+
+def _places(p: Plan, side: str) -> tuple[list[int], bool]:
+    """Where a side's common columns are among its own, and whether they are all of them, in their order."""
+    columns = p.left.columns if side == "l" else p.right.columns
+    found = [columns.index(c) for c in p.common]
+    return found, found == list(range(len(columns)))
+
+
+def _common(cells: str, positions: str, whole: str) -> Column:
+    """A row's common columns."""
+    return F.when(F.col(whole) & (F.size(cells) == F.size(positions)), F.col(cells)).otherwise(_at(F.col(cells), positions))
+
+
 class Sides:
     """Rows of both sides: t, _row, cells (the whole row), c (its common columns, in one order)."""
 
@@ -84,10 +111,9 @@ class Sides:
         self.found = found
 
     def of(self, plans: list[Plan], side: str) -> DataFrame:
-        columns = {"l": lambda p: p.left.columns, "r": lambda p: p.right.columns}[side]
-        spec = _spec(self.found.sparkSession, plans, "id int, name string, t int, pos array<int>", lambda p: (p.id, p.left_name if side == "l" else p.right_name, p.t, [columns(p).index(c) for c in p.common]))
+        spec = _spec(self.found.sparkSession, plans, "id int, name string, t int, pos array<int>, whole boolean", lambda p: (p.id, p.left_name if side == "l" else p.right_name, p.t, *_places(p, side)))
         mine = self.found.filter((F.col("kind") == "row") & (F.col("side") == side)).select("id", "name", ROW, "cells")
-        return mine.join(spec, ["id", "name"]).select("t", ROW, "cells", _at(F.col("cells"), "pos").alias("c"))
+        return mine.join(spec, ["id", "name"]).select("t", ROW, "cells", _common("cells", "pos", "whole").alias("c"))
 
 
 # --- which rows correspond ------------------------------------------------------------------------------------------------
@@ -106,10 +132,17 @@ def _check_keys(sides: Sides, plans: list[Plan]) -> None:
     if not declared:
         return
     spec = _spec(sides.found.sparkSession, declared, "t int, kpos array<int>", lambda p: (p.t, [p.common.index(k) for k in p.keys]))
-    key = lambda side: sides.of(declared, side).join(spec, "t").select("t", F.lit(side).alias("side"), _at(F.col("c"), "kpos").alias("key"))
-    counted = key("l").unionByName(key("r")).groupBy("t", "side", "key").agg(F.count("*").alias("n"))
-    blank = F.exists("key", is_blank)
-    found = counted.groupBy("t").agg(F.bool_or(blank).alias("null_key"), F.bool_or(~blank & (F.col("n") > 1)).alias("duplicate_key")).collect()
+    key = lambda side: sides.of(declared, side).join(spec, "t").select("t", F.lit(side == "l").alias("is_left"), _keys(F.col("c"), "kpos", declared).alias("key"))
+    keys = key("l").unionByName(key("r"))
+    repeats = F.bool_or(~F.col("blank") & ((F.col("l") > 1) | (F.col("r") > 1)))
+    sides_of = [F.count_if("is_left").alias("l"), F.count_if(~F.col("is_left")).alias("r")]
+    # equal keys have equal hashes: only where a hash is there twice the keys themselves are counted
+    hashed = keys.select("t", F.xxhash64("t", "key").alias("h"), "is_left", _any_blank(F.col("key"), declared).alias("blank"))
+    found = hashed.groupBy("t", "h").agg(F.bool_and("blank").alias("blank"), F.bool_or("blank").alias("some"), *sides_of).groupBy("t").agg(F.bool_or("some").alias("null_key"), repeats.alias("duplicate_key")).collect()
+    if unsure := [r["t"] for r in found if r["duplicate_key"]]:
+        counted = keys.filter(F.col("t").isin(unsure)).groupBy("t", "key").agg(*sides_of).withColumn("blank", F.exists("key", is_blank))
+        exact = {r["t"]: r["duplicate_key"] for r in counted.groupBy("t").agg(repeats.alias("duplicate_key")).collect()}
+        found = [{"t": r["t"], "null_key": r["null_key"], "duplicate_key": exact.get(r["t"], False)} for r in found]
     quality = {r["t"]: r for r in found}
     for p in declared:
         wrong = [code for code in ("null_key", "duplicate_key") if p.t in quality and quality[p.t][code]]
@@ -325,14 +358,21 @@ def _inserted_large(sides: Sides, plans: list[Plan]) -> DataFrame | None:
 # --- what changed -------------------------------------------------------------------------------------------------------------
 
 
+def _hashed(df: DataFrame, align: str) -> DataFrame:
+    """With a number for what rows meet by, so that a sort compares numbers."""
+    return df.withColumn("h", F.xxhash64("t", align))
+
+
 def _changes(sides: Sides, plans: list[Plan], ordered: DataFrame | None, inserted: DataFrame | None) -> DataFrame:
     """Kept: t, key, l_row, r_row, lcells (of removed rows and tables that may have renamed columns), rcells (added rows, the same), diff
-    (pos, from, to of changed common cells) of the aligned rows that say anything."""
+    (pos, from, to of changed common cells) of the aligned rows that say anything. One that is only at another place doesn't: after a row
+    that went, or came, that is each one."""
     spark = sides.found.sparkSession
     aligned = [p for p in plans if p.mode not in ("uncertain", "inserted")]
     out = None
     if aligned:
-        spec = _spec(spark, aligned, "t int, keyed boolean, kpos array<int>, rename boolean", lambda p: (p.t, p.keyed, [p.common.index(k) for k in p.keys] if p.keyed else [], _may_rename(p)))
+        schema = "t int, keyed boolean, kpos array<int>, rename boolean, lpos array<int>, lwhole boolean, rpos array<int>, rwhole boolean"
+        spec = _spec(spark, aligned, schema, lambda p: (p.t, p.keyed, [p.common.index(k) for k in p.keys] if p.keyed else [], _may_rename(p), *_places(p, "l"), *_places(p, "r")))
 
         def side(s: str) -> DataFrame:
             own = sides.of([p for p in aligned if p.mode != "sorted"], s).withColumn("place", F.col(ROW)) if any(p.mode != "sorted" for p in aligned) else None
@@ -340,14 +380,16 @@ def _changes(sides: Sides, plans: list[Plan], ordered: DataFrame | None, inserte
             if ranks:
                 placed = ordered.filter((F.col("side") == s) & F.col("t").isin(ranks)).drop("side")
                 own = placed if own is None else own.unionByName(placed)
-            align = F.when(F.col("keyed"), _at(F.col("c"), "kpos")).otherwise(F.array(F.col("place").cast("string")))
-            return own.join(spec.select("t", "keyed", "kpos"), "t").select("t", align.alias("align"), F.struct(ROW, "cells", "c").alias(s))
+            align = F.when(F.col("keyed"), _keys(F.col("c"), "kpos", [p for p in aligned if p.keyed])).otherwise(F.array(F.col("place").cast("string")))
+            return _hashed(own.join(spec.select("t", "keyed", "kpos"), "t").select("t", align.alias("align"), F.struct(ROW, "cells").alias(s)), "align")
 
-        pairs = side("l").join(side("r"), ["t", "align"], "full_outer").join(spec.select("t", "keyed", "rename"), "t")
+        pairs = side("l").join(side("r"), ["h", "t", "align"], "full_outer").join(spec.drop("kpos"), "t")
+        pairs = pairs.withColumns({f"{s}c": F.when(F.col(s).isNotNull(), _common(f"{s}.cells", f"{s}pos", f"{s}whole")) for s in "lr"})
         gone, came = F.col("r").isNull(), F.col("l").isNull()
-        each = F.transform("l.c", lambda x, i: F.struct(i.alias("pos"), x.alias("from"), F.get("r.c", i).alias("to")))
+        each = F.transform(F.zip_with("lc", "rc", lambda a, b: F.struct(a.alias("from"), b.alias("to"))), lambda x, i: F.struct(i.alias("pos"), x["from"].alias("from"), x["to"].alias("to")))
         diff = F.when(~gone & ~came, F.filter(each, lambda x: ~x["from"].eqNullSafe(x["to"])))
-        made = pairs.select(
+        pairs = pairs.filter(gone | came | F.col("rename") | ~F.col("lc").eqNullSafe(F.col("rc")))
+        out = pairs.select(
             "t",
             F.when(F.col("keyed"), F.col("align")).alias("key"),
             F.col(f"l.{ROW}").alias("l_row"),
@@ -355,10 +397,7 @@ def _changes(sides: Sides, plans: list[Plan], ordered: DataFrame | None, inserte
             F.when(gone | F.col("rename"), F.col("l.cells")).alias("lcells"),
             F.when(came | F.col("rename"), F.col("r.cells")).alias("rcells"),
             diff.alias("diff"),
-            F.col("rename"),
-            (F.col("keyed") & (F.col(f"l.{ROW}") != F.col(f"r.{ROW}"))).alias("moved"),
         )
-        out = made.filter(F.col("l_row").isNull() | F.col("r_row").isNull() | (F.size("diff") > 0) | F.col("moved") | F.col("rename")).drop("rename", "moved")
     placed = [p for p in plans if p.mode == "inserted"]
     if placed:
         cells = sides.of(placed, "r").join(inserted.select("t", ROW), ["t", ROW])
@@ -509,9 +548,9 @@ def compare(found: DataFrame, plans: list[Plan], sentinels: tuple[str, ...]) ->
     if alike:
         changes = _changes(sides, alike, ordered, inserted)
         _find_renames(changes, alike)
-        each = _each_edit(changes, alike, sentinels)
+        each = keep(_each_edit(changes, alike, sentinels), "edits")
         stats = _statistics(each)
-        moved = _moved(changes, [p for p in alike if p.keyed and p.t not in stats and set(p.left.columns) == set(p.right.columns)])
+        moved = _moved(sides, [p for p in alike if p.keyed and p.t not in stats and set(p.left.columns) == set(p.right.columns)])
         shown = {}
         for p in alike:
             if p.t in moved:
@@ -540,12 +579,13 @@ def _capture(sides: Sides, plans: list[Plan]) -> None:
                 p.edits.append(edit(verb, {"name": c, "values": {"values": values, "total_values": head.rows, "truncated": head.rows > len(values)}}, tags))
 
 
-def _moved(changes: DataFrame, plans: list[Plan]) -> set[int]:
-    """Tables without other edits whose rows changed their places."""
+def _moved(sides: Sides, plans: list[Plan]) -> set[int]:
+    """Keyed tables without other edits whose rows changed their places."""
     if not plans:
         return set()
-    found = changes.filter(F.col("t").isin([p.t for p in plans]) & (F.col("l_row") != F.col("r_row"))).select("t").distinct().collect()
-    return {r["t"] for r in found}
+    spec = _spec(sides.found.sparkSession, plans, "t int, kpos array<int>", lambda p: (p.t, [p.common.index(k) for k in p.keys]))
+    side = lambda s: _hashed(sides.of(plans, s).join(spec, "t").select("t", _keys(F.col("c"), "kpos", plans).alias("key"), F.col(ROW).alias(s)), "key")
+    return {r["t"] for r in side("l").join(side("r"), ["h", "t", "key"]).filter("l <> r").select("t").distinct().collect()}
 
 
 def _compact(p: Plan, stats: list) -> Shown:

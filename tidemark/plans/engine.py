@@ -323,7 +323,7 @@ def large_pairs(left: DataFrame, right: DataFrame, changed: list[tuple[dict, dic
     left_out = {i for i in too_large if not {(i, "l"), (i, "r")} <= known}
     heads = {k: h for k, h in heads.items() if k[0] not in left_out}
     if rows is not None:
-        rows = keep(rows.filter(~F.col("id").isin(sorted(left_out))).select(F.lit("row").alias("kind"), "id", "side", "name", ROW, "cells"), "large")
+        rows = rows.filter(~F.col("id").isin(sorted(left_out))).select(F.lit("row").alias("kind"), "id", "side", "name", ROW, "cells")
     return rows, heads, left_out
 
 

@@ -17,9 +17,13 @@ import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +38,11 @@ from tidemark.sources.records import tagged
 from tidemark.store import keep, local
 
 DELIMITED = {".csv", ".tsv", ".tab"}
-FOUND = "kind string, file string, start long, seq long, rank long, names array<string>, cells array<string>, body string"
+FOUND = "kind string, file string, start long, seq long, rank long, width int, names array<string>, cells array<string>, body string"
 #: Rows that are handed on together.
 HANDED = 20_000
+#: Places of headers that are looked up by place.
+PLACES = 100
 
 
 @dataclass
@@ -81,22 +87,38 @@ def _text(spark: SparkSession, files: list[File], separator: str) -> DataFrame:
     return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[bytes]]]:
-    """(file, start, values) of each part of a file, in order. Values must be used up before the next part."""
-    rows = ((f, s, v) for b in batches for f, s, v in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
-    held = next(rows, None)
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array]]:
+    """(file, start, values) of each run of a batch's rows that are of one part of a file, in order."""
+    for b in batches:
+        file, start, n = b.column(0), b.column(1), len(b)
+        if not n:
+            continue
+        differ = pc.or_(pc.not_equal(file.slice(1), file.slice(0, n - 1)), pc.not_equal(start.slice(1), start.slice(0, n - 1)))
+        cuts = [0, *(np.flatnonzero(differ.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield file[i].as_py(), start[i].as_py(), b.column(2).slice(i, j - i)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[pa.Array]]]:
+    """(file, start, arrays of values) of each part of a file, in order. Arrays must be used up before the next part."""
+    found = _stretches(batches)
+    held = next(found, None)
     while held:
         file, start, _ = held
 
-        def values() -> Iterator[bytes]:
+        def values() -> Iterator[pa.Array]:
             nonlocal held
             while held and held[:2] == (file, start):  # noqa: B023
                 yield held[2]
-                held = next(rows, None)
+                held = next(found, None)
 
         yield file, start, values()
 
 
+def _each(arrays: Iterator[pa.Array]) -> Iterator[bytes]:
+    return (v for a in arrays for v in a.to_pylist())
+
+
 # --- how text changes the state ----------------------------------------------------------------------------------------------
 
 
@@ -147,9 +169,7 @@ def _changes(text: DataFrame, files: dict[str, File]) -> dict[str, list[tuple]]:
         for file, start, values in _parts(batches):
             kind, dialect = kinds[file]
             states, depths = [False, True], [0, 0]
-            for n, value in enumerate(values):
-                if kind == "lines":
-                    continue
+            for n, value in enumerate(_each(values)):
                 if kind == "array":
                     piece = value.decode("utf-8", "replace")
                     after = {s: json_state(piece, s) for s in set(states)}
@@ -169,6 +189,16 @@ def _changes(text: DataFrame, files: dict[str, File]) -> dict[str, list[tuple]]:
     return {k: sorted(v) for k, v in out.items()}
 
 
+def _quoting(text: DataFrame, files: list[File]) -> list[File]:
+    """The files of which a line may change the state: all but JSON Lines and delimited files without any quote."""
+    quotes = sorted({f.dialect.quote for f in files if f.kind == "delimited"})
+    found = set()
+    if quotes:
+        some = text.filter(reduce(or_, (F.contains("value", F.lit(q.encode())) for q in quotes))).select("file").distinct()
+        found = {r["file"] for r in some.collect()}  # a row for each file
+    return [f for f in files if f.kind == "array" or (f.kind == "delimited" and f.physical in found)]
+
+
 def entry_states(changes: dict[str, list[tuple]]) -> dict[tuple[str, int], tuple[bool, int]]:
     """(inside of quotes, depth) at the start of each part."""
     out = {}
@@ -207,15 +237,50 @@ def _parser(kind: str, dialect: Dialect | None) -> Callable[[str], tuple[list[st
     return cells if kind == "delimited" else _json_record
 
 
+def plain_records(values: pa.Array, dialect: Dialect) -> tuple[pa.Array, np.ndarray, pa.Array] | None:
+    """Lines without their ends, their widths and numbers of cells, if each line is a record that is only to be split at its delimiters;
+    else None."""
+    try:
+        text = values.cast(pa.string())
+    except pa.ArrowInvalid:  # no UTF-8
+        return None
+    has = lambda a, what: pc.any(pc.match_substring(a, what)).as_py()
+    if dialect.escape or has(text, dialect.quote):
+        return None
+    if has(text, "\r"):
+        cut = pc.utf8_rtrim(text, "\r")
+        if has(cut, "\r") or pc.max(pc.subtract(pc.binary_length(text), pc.binary_length(cut))).as_py() > 1:
+            return None
+        text = cut
+    if pc.min(pc.binary_length(text)).as_py() == 0:  # a blank line has no cells
+        return None
+    cells = pc.add(pc.count_substring(text, dialect.delimiter), 1)
+    widths = cells.to_numpy(zero_copy_only=False).copy()
+    full = pc.and_not(pc.match_substring_regex(text, "[!-~]$"), pc.ends_with(text, dialect.delimiter))  # the last cell isn't blank
+    for i in np.flatnonzero(~full.to_numpy(zero_copy_only=False)).tolist():
+        widths[i] = _width(text[i].as_py().split(dialect.delimiter))
+    return text, widths, cells
+
+
+def _runs_of(widths: np.ndarray, seq: int) -> Iterator[tuple[int, int, int, int]]:
+    """(width, first place, end, number) of the runs of rows of one width; rows without any end no run."""
+    at = np.flatnonzero(widths)
+    own = widths[at]
+    cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(at)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if i < j:
+            yield int(own[i]), seq + int(at[i]), seq + int(at[j - 1]) + 1, j - i
+
+
 def _records(text: DataFrame, files: dict[str, File], states: dict[tuple[str, int], tuple[bool, int]]) -> DataFrame:
-    """Kept rows of FOUND: `row` (seq: its place among the records that start in the part, rank: among those that aren't empty), `open` and
-    `tail` (body: pieces of a record over a border), and for each part `part` (seq and rank: how many; names; body: runs of widths)."""
+    """Kept rows of FOUND: `row` (seq: its place among the records that start in the part, rank: among those that aren't empty, width: number of its cells,
+    body: its line, if that is only to be split), `open` and `tail` (body: pieces of a record over a border), and for each part `part` (seq and rank: how many; names; body: runs of widths)."""
     kinds = {k: (f.kind, f.dialect) for k, f in files.items()}
 
-    def of_part(file: str, start: int, values: Iterator[bytes]) -> Iterator[tuple]:
+    def of_part(file: str, start: int, arrays: Iterator[pa.Array]) -> Iterator[tuple | pa.RecordBatch]:
         kind, dialect = kinds[file]
         read = _parser(kind, dialect)
-        inside, depth = states[file, start]
+        inside, depth = states.get((file, start), (False, 0))
         tail = inside or (kind == "array" and depth > 1)
         held: list[str] = []
         seq = rank = 0
@@ -228,19 +293,48 @@ def _records(text: DataFrame, files: dict[str, File], states: dict[tuple[str, in
             held.clear()
             if tail:
                 tail = False
-                return ("tail", file, start, None, None, None, None, text)
+                return ("tail", file, start, None, None, None, None, None, text)
             own, cells = read(text.lstrip(" \t\r\n,[﻿") if kind == "array" else text)
             names.update(dict.fromkeys(own or ()))
-            if kind == "delimited" and len(runs) <= MOST + 1 and (w := _width(cells)):
-                if runs and runs[-1][0] == w:
-                    runs[-1][2:] = [seq + 1, runs[-1][3] + 1]
-                else:
-                    runs.append([w, seq, seq + 1, 1])
-            out = ("row", file, start, seq, rank if cells or own is not None else None, own, cells, None)
+            if kind == "delimited" and (w := _width(cells)):
+                noted(w, seq, seq + 1, 1)
+            out = ("row", file, start, seq, rank if cells or own is not None else None, len(cells), own, cells, None)
             seq, rank = seq + 1, rank + (out[4] is not None)
             return out
 
-        for n, value in enumerate(values):
+        def noted(w: int, first: int, end: int, n: int) -> None:
+            if len(runs) > MOST + 1:
+                return
+            if runs and runs[-1][0] == w:
+                runs[-1][2:] = [end, runs[-1][3] + n]
+            else:
+                runs.append([w, first, end, n])
+
+        def lines() -> Iterator[bytes | pa.Array]:
+            """Lines; where records neither cross them nor need a parser, many at once."""
+            first = not start
+            for values in arrays:
+                if first:
+                    yield values[0].as_py()
+                    values, first = values.slice(1), False
+                if len(values) and kind == "delimited" and not (inside or held or tail) and (found := plain_records(values, dialect)):
+                    yield found
+                else:
+                    yield from values.to_pylist()
+
+        for n, value in enumerate(lines()):
+            if isinstance(value, tuple):
+                text, widths, cells = value
+                for run in _runs_of(widths, seq):
+                    noted(*run)
+                many = len(text)
+                none = lambda t: pa.nulls(many, t)  # noqa: B023, E731
+                place = lambda at: pa.array(np.arange(at, at + many))  # noqa: B023, E731
+                same = lambda x: pa.repeat(x, many)  # noqa: B023, E731
+                columns_ = [same("row"), same(file), same(start), place(seq), place(rank), cells, none(pa.list_(pa.string())), none(pa.list_(pa.string())), text]
+                yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns_, kinds_of, strict=True)], names=columns)
+                seq, rank = seq + many, rank + many
+                continue
             if kind == "array":
                 piece = value.decode("utf-8", "replace")
                 at = depth
@@ -263,14 +357,14 @@ def _records(text: DataFrame, files: dict[str, File], states: dict[tuple[str, in
                 yield ended()
         if held and not (kind == "array" and depth < 1):
             if tail:
-                yield ("tail", file, start, None, None, None, None, "".join(held))
+                yield ("tail", file, start, None, None, None, None, None, "".join(held))
             else:
-                yield ("open", file, start, seq, rank, None, None, "".join(held))
+                yield ("open", file, start, seq, rank, None, None, None, "".join(held))
                 seq, rank = seq + 1, rank + 1
-        yield ("part", file, start, seq, rank, list(names), None, json.dumps(runs))
+        yield ("part", file, start, seq, rank, None, list(names), None, json.dumps(runs))
 
-    kinds_of = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
-    columns = ["kind", "file", "start", "seq", "rank", "names", "cells", "body"]
+    kinds_of = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
+    columns = ["kind", "file", "start", "seq", "rank", "width", "names", "cells", "body"]
     handed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds_of, strict=True)], names=columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,12 +372,15 @@ def _records(text: DataFrame, files: dict[str, File], states: dict[tuple[str, in
         for file, start, values in _parts(batches):
             try:
                 for row in of_part(file, start, values):
+                    if isinstance(row, pa.RecordBatch):
+                        yield row
+                        continue
                     rows.append(row)
                     if len(rows) >= HANDED:
                         yield handed(rows)
                         rows = []
             except (ValueError, csv.Error) as e:
-                rows.append(("bad", file, start, None, None, None, None, str(e)))
+                rows.append(("bad", file, start, None, None, None, None, None, str(e)))
                 for _ in values:
                     pass
         if rows:
@@ -335,24 +432,25 @@ def _regions(parts: list[tuple[int, list]]) -> list[tuple[int, int]]:
 
 def _sniffed(spark: SparkSession, files: list[File]) -> dict[str, bytes]:
     """The first bytes of each file."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, start, values in _parts(batches):
-            head, size = [], 0
-            for value in values:
-                if not start and size <= SAMPLE:
-                    head.append(value)
-                    size += len(value) + 1
-            if not start:
-                yield pa.RecordBatch.from_pylist([{"file": file, "head": b"\n".join(head)[: 4 * SAMPLE]}])
-
-    return {r["file"]: bytes(r["head"]) for r in _text(spark, files, "\n").mapInArrow(run, "file string, head binary").collect()}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out = {}
+    for f in files:
+        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f.physical))
+        stream, codec = where.getFileSystem(conf).open(where), codecs.getCodec(where)  # the text reader unpacks by the same codecs
+        stream = codec.createInputStream(stream) if codec else stream
+        try:
+            out[f.physical] = bytes(stream.readNBytes(4 * SAMPLE))
+        finally:
+            stream.close()
+    return out
 
 
 def _text_tables(spark: SparkSession, files: list[File], separator: str) -> tuple[list[DataFrame], dict[tuple[int, str], list[LargeTable]]]:
     by_path = {f.physical: f for f in files}
     text = _text(spark, files, separator)
-    found = _records(text, by_path, entry_states(_changes(text, by_path)))
+    quoting = {f.physical: f for f in _quoting(text, files)}
+    found = _records(text, by_path, entry_states(_changes(_text(spark, list(quoting.values()), separator), quoting)) if quoting else {})
     parts: dict[str, list] = defaultdict(list)
     bad = set()
     for r in found.filter(F.col("kind").isin("part", "bad")).select("kind", "file", "start", "seq", "rank", "names", "body").collect():  # a row for each part
@@ -363,17 +461,18 @@ def _text_tables(spark: SparkSession, files: list[File], separator: str) -> tupl
     for path, own in parts.items():
         raw = rank = 0
         for r in sorted(own, key=lambda r: r["start"]):
-            offsets.append((path, r["start"], raw, rank))
+            offsets.append((path, r["start"], raw, rank, re.escape(by_path[path].dialect.delimiter) if by_path[path].dialect else None))
             raw, rank = raw + (r["seq"] or 0), rank + (r["rank"] or 0)
         totals[path] = rank
-    before = local(spark, offsets, "file string, start long, raw_before long, rank_before long")
+    before = local(spark, offsets, "file string, start long, raw_before long, rank_before long, cut string")
     crossed = keep(_joined(found, before, by_path).filter(~F.col("file").isin(sorted(bad))), "crossed")
-    within = found.filter("kind = 'row'").join(before, ["file", "start"]).select("file", (F.col("raw_before") + F.col("seq")).alias("raw"), (F.col("rank_before") + F.col("rank")).alias("rank"), "names", "cells")
-    records = within.unionByName(crossed).filter("rank IS NOT NULL")
+    cells = F.coalesce("cells", F.split("body", F.col("cut")))
+    within = found.filter("kind = 'row'").join(before, ["file", "start"]).select("file", "seq", (F.col("raw_before") + F.col("seq")).alias("raw"), (F.col("rank_before") + F.col("rank")).alias("rank"), "width", "names", cells.alias("cells"))
+    records = within.unionByName(crossed.withColumns({"width": F.size("cells"), "seq": F.lit(None).cast("long")})).filter("rank IS NOT NULL")
     seams = defaultdict(list)
     for r in crossed.select("file", "raw", "names", "cells").collect() if any(len(p) > 1 for p in parts.values()) else []:  # at most one for each border
         seams[r["file"]].append(r)
-    start_of = {(p, s): (raw, rank) for p, s, raw, rank in offsets}
+    start_of = {(p, s): (raw, rank) for p, s, raw, rank, _ in offsets}
     # what of each file is a table: raw places, and where its header is
     wanted: list[tuple] = []  # file, table, first raw, end raw, raw place of the header (or -1)
     for path, own in parts.items():
@@ -395,12 +494,15 @@ def _text_tables(spark: SparkSession, files: list[File], separator: str) -> tupl
         spec = local(spark, [(by_path[w[0]].id, by_path[w[0]].side, *w) for w in wanted], "id int, side string, file string, name string, first long, end long, header long")
         met = records.join(spec, "file").filter((F.col("raw") >= F.least("first", "header")) & (F.col("raw") < F.col("end")))
         body = (F.col("raw") >= F.col("first")) & (F.col("raw") != F.col("header"))
-        facts = met.groupBy("file", "name").agg(F.max_by("cells", F.col("raw") == F.col("header")).alias("head"), F.bool_or(F.col("raw") == F.col("header")).alias("headed"), F.max(F.when(body, F.size("cells"))).alias("width"), F.min(F.when(body, F.col("rank"))).alias("low"), F.count_if(body).alias("n"))
+        facts = met.groupBy("file", "name").agg(F.max(F.when(body, F.col("width"))).alias("width"), F.min(F.when(body, F.col("rank"))).alias("low"), F.count_if(body).alias("n"))
         lows = []
         shapes = {(r["file"], r["name"]): r for r in facts.collect()}
+        places = {raw - before for path, _, _, _, raw in wanted for p, _, before, *_ in offsets if p == path and before <= raw}  # within their parts, so that few are read
+        few = F.col("seq").isNull() | F.col("seq").isin(sorted(places)) if len(places) <= PLACES else F.lit(True)
+        headers = {(r["file"], r["name"]): r["cells"] for r in met.filter(few & (F.col("raw") == F.col("header"))).select("file", "name", "cells").collect()}
         for path, name, *_ in wanted:
             f, r = by_path[path], shapes.get((path, name))
-            names = list(r["head"]) if r and r["headed"] else []
+            names = list(headers.get((path, name), []))
             columns = complete_headers(names, max(len(names), (r["width"] or 0) if r else 0))
             tables[f.id, f.side].append(LargeTable(name, columns, r["n"] if r else 0, f.dialect.inferred))
             lows.append((path, name, (r["low"] or 0) if r else 0))
@@ -436,7 +538,7 @@ def _parquet_rows(spark: SparkSession, f: File) -> tuple[DataFrame, LargeTable]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], names=[ROW, "cells"])
 
     indexed = df.select(F.col("_metadata.row_index").alias(ROW), *[F.col(f"`{c}`") for c in columns])
-    rows = indexed.mapInArrow(run, f"{ROW} long, cells array<string>")
+    rows = keep(indexed.mapInArrow(run, f"{ROW} long, cells array<string>"), "parquet")
     return rows.select(F.lit(f.id).alias("id"), F.lit(f.side).alias("side"), F.lit("").alias("name"), ROW, "cells"), LargeTable("", columns, df.count())
 
 
@@ -466,5 +568,3 @@ def read_large(spark: SparkSession, files: list[File]) -> tuple[DataFrame | None
     for df in frames:
         out = df if out is None else out.unionByName(df)
     return out, tables
-
-
