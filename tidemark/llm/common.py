@@ -206,7 +206,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, separ
     cut = bounds[(inside[bounds] == 1) & (inside[bounds + 1] == 1)]  # a word would run over the end of a text
     at = np.flatnonzero(edges)
     if len(cut):
-        at = np.sort(np.concatenate([at, np.repeat(np.unique(cut), 2)]))
+        cut = np.repeat(np.unique(cut), 2)
+        at = np.insert(at, np.searchsorted(at, cut), cut)
     starts, ends = at[::2], at[1::2]
     table = mix64(np.arange(1, 257, dtype=np.uint64))
     if lower:
@@ -216,14 +217,29 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, separ
     return hashes, starts, ends, np.searchsorted(starts, offsets, "left")
 
 
+#: Windows of more numbers are hashed by running sums.
+SUMMED_WINDOW = 8
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of every k consecutive numbers."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out += hashes[j : j + n] * np.uint64(pow(_BASE, 2 * j + 3, 1 << 64))
+    if k <= SUMMED_WINDOW:
+        for j in range(k):
+            out += hashes[j : j + n] * np.uint64(pow(_BASE, 2 * j + 3, 1 << 64))
+        return mix64(out)
+    power, inverse = _powers()  # the same by differences of running sums, part by part
+    power, inverse, first = power[::2], inverse[::2], np.uint64(pow(_BASE, 3, 1 << 64))
+    step = len(power) - k
+    for a in range(0, n, step):
+        part = hashes[a : min(a + step, n) + k - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * power[: len(part)], out=sums[1:])
+        here = len(part) - k + 1
+        out[a : a + here] = (sums[k:] - sums[:-k]) * inverse[:here] * first
     return mix64(out)
 
 

@@ -78,10 +78,18 @@ def planes(x: np.ndarray, width: int) -> list[np.ndarray]:
 def unpacked(raw: bytes, width: int, size: int = -1, at: int = 0) -> np.ndarray:
     """The numbers whose planes begin at a place of raw, one behind the other."""
     size = len(raw) // width if size < 0 else size
-    out = np.zeros(size, np.uint64)
-    for k in range(width):
-        out |= np.frombuffer(raw, np.uint8, size, at + k * size).astype(np.uint64) << np.uint64(8 * k)
-    return out
+    out = np.zeros((size, 8), np.uint8)
+    if size and width:
+        out[:, :width] = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T
+    return out.view("<u8").ravel()
+
+
+def seeds_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds, doc_ids and places of a row of seeds()."""
+    n = len(row["seeds"]) // 5
+    docs, places = (unpacked(row[name], len(row[name]) // n, n).view(np.int64) for name in ("docs", "places"))
+    docs = (docs >> 1 & np.int64((1 << 63) - 1)) ^ -(docs & 1)
+    return unpacked(row["seeds"], 5), np.cumsum(docs) + row["base"], places
 
 
 def told_apart(rolled: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -103,10 +111,11 @@ def told_apart(rolled: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def seeds(docs: DataFrame, bits: int, half: int | None = None) -> DataFrame:
-    """(bucket, seeds, places, docs) of every text: packed seeds, 2 ** bits buckets by their top bits. A doc_id is base plus the sum of docs' numbers so far.
+    """(bucket, seeds, places, docs) of every text: packed seeds, 2 ** bits buckets by their top bits. A doc_id is base plus the sum of docs' numbers so far (of which the lowest bit is the sign).
     half: only the seeds whose first bit it is.
 
-    places: twice the place, and 1 for a long seed. seeds: 5 bytes of hash below the bucket's bits. Numbers are stored byte by byte (all lowest bytes first), so that they compress.
+    places: twice the place, and 1 for a long seed. seeds: 5 bytes of hash below the bucket's bits. Numbers are stored byte by byte (all lowest bytes first), so that they compress;
+    places and docs with as many bytes as the largest of the row needs: few buckets or many, a row costs little beside its seeds.
     """
     schema = "bucket int, base long, seeds binary, places binary, docs binary"
     kind = arrow_schema(schema)
@@ -123,14 +132,17 @@ def seeds(docs: DataFrame, bits: int, half: int | None = None) -> DataFrame:
             ids = ids[order]
             base, ids = ids[cut], np.diff(ids, prepend=0)
             ids[cut] = 0
+            ids = (ids << 1) ^ (ids >> 63)  # long seeds come behind a slice's short ones, so some are below 0
             rows = {"bucket": bucket[order[cut]].astype(np.int32), "base": base}
             columns = [("docs", ids, 8), ("places", pos[order], 4), ("seeds", seed[order] << np.uint64(bits) >> np.uint64(24), 5)]
             del seed, ids, pos, bucket, order
             bounds = list(zip(cut.tolist(), [*cut[1:].tolist(), len(columns[0][1])], strict=True))
             while columns:  # from the last, each forgotten when it is packed
                 name, x, width = columns.pop()
-                of = planes(x.view(np.uint64), width)
-                rows[name] = [b"".join([y[a:b].tobytes() for y in of]) for a, b in bounds]
+                x = x.view(np.uint64)
+                widths = [width] * len(bounds) if name == "seeds" else [(h.bit_length() + 7) // 8 for h in np.maximum.reduceat(x, cut).tolist()]
+                of = planes(x, max(widths))
+                rows[name] = [b"".join([y[a:b].tobytes() for y in of[:w]]) for (a, b), w in zip(bounds, widths, strict=True)]
             return table_rows(rows, kind)
 
         n = 0
@@ -349,7 +361,7 @@ def matches(docs: DataFrame) -> DataFrame:
                 if held and r["bucket"] != bucket:
                     yield from found(held, bucket)
                 bucket = r["bucket"]
-                held.append((unpacked(r["seeds"], 5), np.cumsum(unpacked(r["docs"], 8).view(np.int64)) + r["base"], unpacked(r["places"], 4).view(np.int64)))
+                held.append(seeds_of(r))
         if held:
             yield from found(held, bucket)
         for x in out:
